@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, url_filter
+from . import mixing, packing, pii, quality, simhash, sketches, toxicity, url_filter
 from .common import table
 
 
@@ -14,11 +14,20 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
     return lambda spark, sf_dir: query(table(spark, sf_dir, name))
 
 
+def _labelled(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over its whole table."""
     return {
+        "op1_toxicity": _labelled(toxicity.query),
         "op3_url_filter": _over("pages", url_filter.query),
+        "op4_document_fingerprints": _over("documents", sketches.query),
+        "op5_simhash_groups": _over("documents", simhash.query),
         "op6_source_mixing": _over("documents", mixing.query),
+        "op7_mixture_packing": _over("documents", packing.query),
+        "op9_quality": _labelled(quality.query),
         "op10_personal_data": _over("documents", pii.query),
     }
 
