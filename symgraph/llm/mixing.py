@@ -36,9 +36,9 @@ PHI = 0.6180339887498949
 SEED = 17
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text)."""
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, th: Column | None = None) -> DataFrame:
+    """doc_id, source, th (what tells documents of one id apart), size (words of the text)."""
+    return docs.select("doc_id", "source", (F.lit(0).cast("long") if th is None else th).alias("th"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -101,12 +101,12 @@ def pieces(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     return cut.select("row", "s", "block", words.alias("words"))
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken."""
-    sizes = materialize(sized(docs), "mix-sizes")
+def mix(docs: DataFrame, seed: int = SEED, th: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, source, th, size, source_size, target, taken."""
+    sizes = materialize(sized(docs, th), "mix-sizes")
     targets = source_targets(sizes)
     # equal documents, as to id, source and size, are one row here with a count
-    rows = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    rows = sizes.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("copies"))
     total = F.sum("target").over(W.partitionBy())
     words = F.greatest(F.lit(MIN_BLOCK), F.least(F.lit(BLOCK), F.floor(total / LEAST_SLOTS))).cast("long")
     number = W.orderBy(F.col("source").asc_nulls_last())
@@ -121,12 +121,30 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     numbered = rows.join(sources.select("s", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # each copy of a row gets its number, so that all of them are laid out
     numbered = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
-    numbered = materialize(numbered.withColumn("row", F.struct("doc_id", "size", "copy")), "mix-rows")
+    numbered = materialize(numbered.withColumn("row", F.struct("doc_id", "th", "size", "copy")), "mix-rows")
     takes = schedule(sources, seed).join(pieces(numbered, sources, seed), ["s", "block"]).groupBy("row", "s").agg(F.sum("words").alias("taken"))
-    left = numbered.select("doc_id", "source", "size", "s", "row")
+    left = numbered.select("doc_id", "source", "th", "size", "s", "row")
     out = left.join(takes.withColumnRenamed("s", "_s").withColumnRenamed("row", "_row"), (F.col("s") == F.col("_s")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     per = sources.select(F.col("s").alias("_t"), "source_size", "target")
-    return out.join(per, F.col("s") == F.col("_t")).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).cast("long").alias("taken"))
+    return out.join(per, F.col("s") == F.col("_t")).select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: taken / size times, the fraction by a hash of the document.
+
+    A document that the mix takes no word of goes; one without words, which no weight concerns, stays once.
+    """
+    key = [F.col("doc_id"), F.xxhash64(text_of())]
+    taken = mix(docs.select("doc_id", "text", "source"), seed, F.xxhash64(text_of())).groupBy("doc_id", "th", "source").agg(F.max("size").alias("size"), F.avg("taken").alias("taken"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"), "size", "taken")
+    times = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("taken") / F.col("size"))
+    whole = F.floor(times)
+    chance = F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    copies = (whole + F.when(chance < times - whole, 1).otherwise(0)).cast("int")
+    marked = docs.withColumn("_own", key[1])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_source"))
+    drawn = marked.join(taken, same).withColumn("_copies", copies).where(F.col("_copies") > 0)
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

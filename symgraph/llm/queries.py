@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, simhash, sketches, toxicity, url_filter
+from . import html_text, mixing, neighbours, packing, pii, quality, simhash, sketches, toxicity, url_filter
 from .common import table
 
 
@@ -22,11 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over its whole table."""
     return {
         "op1_toxicity": _labelled(toxicity.query),
+        "op2_neighbours": _over("embeddings", neighbours.query),
         "op3_url_filter": _over("pages", url_filter.query),
         "op4_document_fingerprints": _over("documents", sketches.query),
         "op5_simhash_groups": _over("documents", simhash.query),
         "op6_source_mixing": _over("documents", mixing.query),
         "op7_mixture_packing": _over("documents", packing.query),
+        "op8_html_text": _over("pages", html_text.query),
         "op9_quality": _labelled(quality.query),
         "op10_personal_data": _over("documents", pii.query),
     }

@@ -78,7 +78,7 @@ def _mix(h: np.ndarray, j: int) -> np.ndarray:
     """The j-th 64-bit word made of a 64-bit hash; the first is the hash itself."""
     if not j:
         return h
-    z = h + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15)
+    z = h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
