@@ -1,11 +1,15 @@
-"""What a session needs so that Python workers can import this package."""
+"""What a session needs: workers that can import this package, and a folder that all machines share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +21,21 @@ def share_code(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``); only where none is set, a temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("symgraph.shared.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="symgraph-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("symgraph.shared.dir", folder)
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again; this cuts the lineage and outlives any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
