@@ -86,7 +86,7 @@ def bloom_filter(keys: DataFrame) -> DataFrame:
 
 def might_contain(bits: Column, key: Column) -> Column:
     """Whether the filter lets a key through; false positives are possible, false negatives are not."""
-    at = (_block(key, F.size(bits) / WORDS) * WORDS).cast("int")
+    at = (_block(key, (F.size(bits) / WORDS).cast("long")) * WORDS).cast("int")
     found = F.lit(True)
     for w in range(WORDS):
         mask = _mask(key, w)
