@@ -102,7 +102,7 @@ def impact(symbols: DataFrame, edges: DataFrame, targets: DataFrame, depth: int
     (via, overrides first, relation). ``truncated``: more than ``max_symbols`` were reachable.
     """
     place = symbols.select("node", "filepath", "qualified_name", "type")
-    named = targets.join(symbols.select("node", "qualified_name", "filepath"), "node")
+    named = targets.select("node").join(symbols.select("node", "qualified_name", "filepath"), "node")
     made = named.where(last_segment(F.regexp_replace("qualified_name", r"#\d+$", "")).isin(*CONSTRUCTORS))
     owners = made.select("filepath", owner_of(F.col("qualified_name")).alias("qualified_name")).join(symbols.where("type = 'class'"), ["filepath", "qualified_name"]).select("node")
     seen = materialize(targets.select("node").union(owners).distinct(), "impact")
