@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
 def score_documents(docs: DataFrame, model: ByteNetwork, into: str = "score") -> DataFrame:
     """``docs`` with a double column ``into`` (0 to 1), scored over whole texts."""
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([model.score(t) for t in part], dtype="float64")
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:  # one text at a time is a Python string
+            yield pa.array([model.score(t.as_py()) for t in part], pa.float64())
 
     return docs.withColumn(into, scores(text_of()))
 

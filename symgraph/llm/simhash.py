@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .components import connected_components
+from .url_filter import bloom_filter, might_contain
 
 
 @dataclass(frozen=True)
@@ -283,16 +283,16 @@ def links(classes: DataFrame, search: Search) -> DataFrame:
 def similar(pairs: DataFrame, at_least: float, shingle: int) -> DataFrame:
     """The rows of ``pairs`` (a, b, text_a, text_b) whose sets of word shingles have Jaccard similarity ``at_least``; a, b."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.text_a, batch.text_b, strict=True):
-                p, q = set(shingles(words(x), shingle)), set(shingles(words(y), shingle))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time is Python strings
+                p, q = set(shingles(words(x.as_py()), shingle)), set(shingles(words(y.as_py()), shingle))
                 either = len(p | q)
                 keep.append(not either or len(p & q) >= at_least * either)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInPandas(run, "a binary, b binary")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, search: Search = EXACT, at_least: float | None = None, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -308,7 +308,12 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT, at_least: float | N
         pairs = materialize(pairs, "simhash-pairs")
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         ends = ends.join(classes, "fp").select("fp", F.col("least.doc_id").alias("_id"), F.col("least.th").alias("_th"))
+        ends = materialize(ends, "simhash-ends")
         source = docs.select("doc_id", text_of().alias("text")).withColumn("th", F.xxhash64("text"))
+        # a filter of bounded size keeps most other texts out of the shuffle; the join is what decides
+        key = lambda id, th: F.concat_ws(":", F.col(id).cast("string"), F.col(th).cast("string"))
+        bits = bloom_filter(ends.select(key("_id", "_th").alias("key"))).scalar()
+        source = source.where(might_contain(bits, key("doc_id", "th")))
         texts = source.join(ends, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("fp", "text").dropDuplicates(["fp"])
         texts = materialize(texts, "simhash-texts")
         both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")

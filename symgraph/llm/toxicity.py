@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ LEAST_DOCS, LEAST_CHI, TERMS = 4, 24.0, 8192
 STEMS = (4, 5)
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers the terms of.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 def terms_of_word(word: str) -> list[int]:
@@ -122,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(t).tobytes() for t in batch.column(1).to_pylist()]
+            found = [terms(t).tobytes() for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "terms", "label"])
 
     chosen = sample(docs, labels, label, F.lit(True) if usable is None else usable, most or SAMPLE, seed)
@@ -134,10 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
 def score_documents(docs: DataFrame, model: FactorizationMachine, into: str = "score") -> DataFrame:
     """``docs`` with a double column ``into`` (0 to 1), scored over whole texts."""
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([model.score(model.rows_of(t)) for t in part], dtype="float64")
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:  # one text at a time is a Python string
+            yield pa.array([model.score(model.rows_of(t.as_py())) for t in part], pa.float64())
 
     return docs.withColumn(into, scores(text_of()))
 
