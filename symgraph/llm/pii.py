@@ -127,11 +127,15 @@ def find_personal_data(docs: DataFrame, text: str = "text", into: str = "pii_spa
     return docs.withColumn(into, F.concat(*[spans_of(text_of(text), k) for k in KINDS]))
 
 
-def mask_personal_data(text: Column) -> Column:
-    """The text with every confirmed span replaced by its kind in angle brackets, one kind after another."""
+def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs``, in column ``text`` every confirmed span replaced by its kind in angle brackets, one kind after another.
+
+    Each kind is a projection of its own: nested in one expression, the text so far would be computed anew at each use.
+    """
+    docs = docs.withColumn(text, text_of(text))
     for k in KINDS:
-        text = _masked(text, k)
-    return text
+        docs = docs.withColumn(text, _masked(F.col(text), k))
+    return docs
 
 
 def _masked(text: Column, kind: Kind) -> Column:
