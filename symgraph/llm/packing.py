@@ -44,10 +44,9 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_for(tokenizer)
-        kind = "<u2" if len(tokens.ends) <= 1 << 16 else "<u4"
-        end = np.array([END_ID], dtype=kind)
+        end = np.array([END_ID], dtype=tokens.dtype)
         for batch in batches:
-            ids = [np.concatenate((x.astype(kind), end)) for x in tokens.ids(batch.column(3).to_pylist())]
+            ids = [np.concatenate((x, end)) for x in tokens.ids((x.as_py() for x in batch.column(3)))]
             n = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "source", "h", "n", "ids"])
 

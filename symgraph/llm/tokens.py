@@ -1,32 +1,51 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of words.
 
 The vocabulary ``word_bpe_49k.json`` splits a text into words before it merges, so a word's ids depend on the word
-alone. For texts within Latin letters (code points under 0x250, where composing changes nothing and lower case is one rule) the
-text is cut at white space and each distinct word goes to the tokenizer once; all other texts go there whole.
-Both ways give the same ids.
+alone. Texts within Latin letters (code points under 0x250, where composing changes nothing and lower case is one rule)
+are cut at white space, and the ids of a word's parts come from the vocabulary's merges, or from a cache; all other texts
+go to the tokenizer whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers, at most; then it starts afresh.
-REMEMBER = 400_000
+#: Entries in a cache, of which a worker has two; how many times as many may pass it by before it starts afresh.
+REMEMBER, AFRESH = 150_000, 40
 
 _LATIN = [chr(c) for c in range(0x250)]
 _LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
-_BLANK = " \t-\r\x85\xa0"
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANK}{_LETTERS}{_NUMBERS}]+")
-_BLANKS = re.compile(rf"[{_BLANK}]+")
-#: Outside Latin, or a letter whose lower case is two characters.
-_OTHER = re.compile("[^\\x00-ɏ]|İ")
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: Beyond Latin; a letter whose lower case is two characters; separators that Python alone takes for white space.
+_OTHER = re.compile("[^\x00-\u024f]|[\u0130\x1c-\x1f]")
+
+
+def _plain(text: str) -> bool:
+    """Whether a text is within Latin and without odd separators; most texts show it by being ASCII or Latin-1."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not _OTHER.search(text)
+    return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def path_of(tokenizer: str) -> str:
@@ -38,57 +57,73 @@ def path_of(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+class _Cache(dict):
+    """Ids by string, as packed numbers; ``make`` gives those that are new.
+
+    The strings that come first are kept, as frequent ones do; once very many others have come, it starts afresh.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.room, self.passed = make, REMEMBER, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if self.room:
+            self.room -= 1
+            self[key] = found
+        else:
+            self.passed += 1
+            if self.passed > AFRESH * REMEMBER:
+                self.clear()
+                self.room, self.passed = REMEMBER, 0
+        return found
+
+
 class WordTokenizer:
-    """ids(text) for the tokenizer file; one for each worker process."""
+    """ids(texts) for the tokenizer file; one for each worker process."""
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path_of(tokenizer))
-        vocabulary = self.full.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.model = self.full.model
+        size = 1 + max(self.full.get_vocab(with_added_tokens=True).values())
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts = _Cache(self._part)
+        self.words = _Cache(self._word)
 
     def whole(self, text: str) -> list[int]:
+        """The ids as the tokenizer gives them."""
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: their parts, joined by blanks, are encoded in one go and cut where a word ends."""
-        cut = [_PARTS.findall(w.lower()) for w in words]
-        new = list({p for parts in cut for p in parts if p not in self.parts})
-        if new:
-            ids = np.array(self.whole(" ".join(new)), dtype=np.int64)
-            pieces = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            for part, piece in zip(new, pieces, strict=True):
-                self.parts[part] = piece.tolist()
-        for word, parts in zip(words, cut, strict=True):
-            self.words[word] = [i for p in parts for i in self.parts[p]]
-
-    def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        word = word.lower()
+        if word.isalpha():  # letters alone are one part
+            return self.parts[word]
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return self.parts[word[:-1]] + self.parts[word[-1]]
+        return b"".join([self.parts[p] for p in _PARTS.findall(word)])
+
+    def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        out, todo = [], []
+        word = self.words.__getitem__
         for text in texts:
-            if _OTHER.search(text) or any(s in text for s in self.special):
-                out.append(np.array(self.whole(text), dtype=np.uint32))
-                continue
-            if len(self.words) + len(self.parts) > REMEMBER:
-                self.words.clear()
-                self.parts.clear()
-            words = _BLANKS.split(text)
-            todo = [w for w in set(words) if w not in self.words]
-            if todo:
-                self._learn(todo)
-            ids: list[int] = []
-            for found in map(self.words.__getitem__, words):
-                ids += found
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+            if not _plain(text) or any(s in text for s in self.special):
+                yield np.array(self.whole(text), dtype=self.dtype)
+            else:
+                yield np.frombuffer(b"".join(map(word, text.split())), dtype=self.dtype)
 
 
+_CONTROL = re.compile("[\x1c-\x1f]")
 _open: dict[str, WordTokenizer] = {}
 
 
