@@ -2,8 +2,9 @@
 
 The bytes of the whole text are covered by chunks of two BLOCKs that overlap by one. Each of FILTERS learned filters
 spans KERNEL bytes (a table of a weight for every byte at every place) and is max-pooled over a chunk. A document's features are
-the mean, the largest and the smallest of its chunks' pooled values; one hidden layer combines them into a probability.
-The smallest tells what a text lacks: one that repeats itself never shows most of the usual patterns.
+the mean, the largest and the smallest of its chunks' pooled values, and two of its length; one hidden layer combines
+them into a probability. The smallest tells what a text lacks: one that repeats itself never shows most of the usual
+patterns, while a short one has no room for them, which its length tells.
 
 The network is trained on the driver by Adam on at most SAMPLE documents of each label, each by at most TRAIN_BLOCKS
 consecutive blocks (scoring takes all of them); its parameters are some twenty thousand numbers.
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import held_out, text_of
 from .labelled import sample
 
-SAMPLE = {1: 1400, 0: 1000}
+SAMPLE = {1: 2400, 0: 1400}
 BLOCK, KERNEL, FILTERS, HIDDEN = 256, 5, 16, 16
-EPOCHS, BATCH, RATE, TRAIN_BLOCKS = 8, 32, 0.01, 12
+EPOCHS, BATCH, RATE, TRAIN_BLOCKS = 10, 32, 0.01, 12
 #: Blocks convolved at a time: bounds memory for any length of text and keeps the sums in cache.
 AT_ONCE = 64
 
@@ -41,6 +42,12 @@ def blocks_of(text: str) -> tuple[np.ndarray, int]:
     return out, n
 
 
+def of_length(data: np.ndarray, n: int) -> list[float]:
+    """Two numbers for the length of a text: its logarithm, and how far it fills the first chunk."""
+    size = max(1, n * BLOCK - int(np.argmax(data[: n * BLOCK][::-1] != 0)))
+    return [np.log2(size) / 10, min(1.0, size / (2 * BLOCK))]
+
+
 def _convolved(tables: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     out = tables[0][data[:n]]
     for j in range(1, KERNEL):
@@ -71,7 +78,7 @@ class ByteNetwork:
         data, n = blocks_of(text)
         blocks = pooled_blocks(p["tables"], data, n)
         chunks = np.maximum(np.maximum(blocks[:-1], blocks[1:]) + p["shift"], 0)
-        z = np.concatenate((chunks.mean(axis=0), chunks.max(axis=0), chunks.min(axis=0)))
+        z = np.concatenate((chunks.mean(axis=0), chunks.max(axis=0), chunks.min(axis=0), of_length(data, n)))
         out = float(np.tanh(z @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0])
         return float(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
@@ -80,7 +87,7 @@ def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     f = np.float32
     return {
         "tables": rng.normal(0, 0.3, (KERNEL, 256, FILTERS)).astype(f), "shift": np.zeros(FILTERS, dtype=f),
-        "w1": rng.normal(0, 0.2, (3 * FILTERS, HIDDEN)).astype(f), "b1": np.zeros(HIDDEN, dtype=f),
+        "w1": rng.normal(0, 0.2, (3 * FILTERS + 2, HIDDEN)).astype(f), "b1": np.zeros(HIDDEN, dtype=f),
         "w2": rng.normal(0, 0.3, HIDDEN).astype(f), "b2": np.zeros(1, dtype=f),
     }
 
@@ -97,7 +104,7 @@ def _gradient(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, int]], y: n
         raw = np.where(second, blocks[1:], blocks[:-1]) + p["shift"]
         chunks = np.maximum(raw, 0)
         top, low = chunks.argmax(axis=0), chunks.argmin(axis=0)
-        zs.append(np.concatenate((chunks.mean(axis=0), chunks[top, cols], chunks[low, cols])))
+        zs.append(np.concatenate((chunks.mean(axis=0), chunks[top, cols], chunks[low, cols], of_length(data, n))))
         pooled.append(raw)
         places.append(place)
         picks.append((second, top, low))
@@ -111,7 +118,7 @@ def _gradient(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, int]], y: n
     for (data, _), raw, place, (second, top, low), one in zip(docs, pooled, places, picks, gz, strict=True):
         gc = np.repeat(one[None, :FILTERS] / len(raw), len(raw), axis=0)
         gc[top, cols] += one[FILTERS : 2 * FILTERS]
-        gc[low, cols] += one[2 * FILTERS :]
+        gc[low, cols] += one[2 * FILTERS : 3 * FILTERS]
         gc *= raw > 0
         grad["shift"] += gc.sum(axis=0)
         block = np.arange(len(raw))[:, None] + second
