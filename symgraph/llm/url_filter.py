@@ -11,6 +11,7 @@ only makes it pass more. Only distinct (host, path) pairs with a possible hit ar
 and the join back onto pages is one that Spark can split where a url is hot.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an empty list allows all;
+columns of the input stay, but for ones named host, path, rule or verdict, which are replaced;
 duplicate rules count once, and of rules for the same host and path with both verdicts ``block`` holds.
 """
 
@@ -105,10 +106,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
     fits = passed.join(listed, "key").where(F.startswith(F.col("path"), F.col("r_path")))
     rule = F.concat("r_host", "r_path")
     best = fits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best")
+        F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("_best")
     )
     out = judged.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(unlisted))}).drop("best")
+    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(unlisted))}).drop("_best")
 
 
 def query(pages: DataFrame) -> DataFrame:

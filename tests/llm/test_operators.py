@@ -389,3 +389,15 @@ def test_pages_keep_their_columns(spark):
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_text.query(pages.drop("text")).collect() if r.url) + [r.text for r in html_text.extract(pages).where("page_id = 2").collect()]
     assert got == [(1, "u", "", 0), (1, "u", "", 0), "Words of a text."]
     assert html_text.query(pages.limit(0)).count() == 0
+
+
+def test_columns_of_the_same_names_do_not_clash(spark, docs):
+    more = docs.withColumns({c: F.lit("mine") for c in ("size", "taken", "target", "th", "root", "component_id", "lane", "pii_spans", "best", "rank", "h", "ids", "n")})
+    assert mixing.repeated(more).columns == more.columns and {r.taken for r in mixing.repeated(more).collect()} == {"mine"}
+    assert simhash.deduplicated(more).columns == more.columns
+    assert pii.mask_personal_data(more).columns == more.columns
+    assert packing.pack(more).count() == packing.pack(docs).count()
+    pages = spark.createDataFrame([(1, "http://example.com/en/", "x", "y")], "page_id bigint, url string, best string, r_path string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    row = url_filter.judge_urls(pages, rules).first()
+    assert (row.best, row.r_path, row.rule, row.verdict) == ("x", "y", "example.com/en/", "block")
