@@ -31,7 +31,7 @@ BUDGET, MOST = 1.5, 2.0
 #: Words in a slot, and how many slots a small mix has at least (slots get smaller for that, not under MIN_BLOCK).
 BLOCK, MIN_BLOCK, LEAST_SLOTS = 512, 8, 16384
 #: Rows in a bucket of a running sum, about; slots in a chunk of their ranking.
-BUCKET_ROWS, CHUNK = 8192, 1 << 14
+BUCKET_ROWS, CHUNK = 8192, 1 << 12
 PHI = 0.6180339887498949
 SEED = 17
 
@@ -136,8 +136,8 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     key = [F.col("doc_id"), F.xxhash64(text_of())]
     taken = mix(docs.select("doc_id", "text", "source"), seed, F.xxhash64(text_of())).groupBy("doc_id", "th", "source").agg(F.max("size").alias("size"), F.avg("taken").alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"), "size", "taken")
-    times = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("taken") / F.col("size"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    times = F.when(F.col("_size") == 0, F.lit(1.0)).otherwise(F.col("_taken") / F.col("_size"))
     whole = F.floor(times)
     chance = F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     copies = (whole + F.when(chance < times - whole, 1).otherwise(0)).cast("int")
