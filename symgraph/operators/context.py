@@ -107,3 +107,9 @@ def degraded(hits: DataFrame, most: int = 10) -> DataFrame:
     """Without a model: the located hits, as a list."""
     line = F.concat(F.lit("- `"), F.col("filepath"), F.lit(":"), F.col("start_line").cast("string"), F.lit("` "), F.coalesce("symbol", F.lit("")))
     return hits.where("filepath IS NOT NULL AND start_line IS NOT NULL").orderBy("rank").limit(most).select("rank", line.alias("line"))
+
+
+def impact_lines(affected: DataFrame, most: int = 40) -> DataFrame:
+    """ord, line: an impact report as a prompt lists it."""
+    line = F.concat(F.lit("- "), F.col("qualified_name"), F.lit(" ("), F.col("filepath"), F.lit("): "), F.col("relation"), F.lit(" "), F.col("via_name"), F.lit(", "), F.col("hops").cast("string"), F.lit(" steps away"))
+    return affected.where(F.col("ord") <= most).select("ord", line.alias("line"))

@@ -83,3 +83,17 @@ def baseline_diff(now: DataFrame, before: DataFrame) -> DataFrame:
 def rank_lists(rows: DataFrame, score: str) -> DataFrame:
     """rows with ``rank`` by descending score within each case."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc(score), "filepath", "symbol")))
+
+
+def gold_spans(gold: DataFrame, symbols: DataFrame) -> DataFrame:
+    """case_id, filepath, start_line, end_line of gold symbols, those numbered apart included (symbols: qualified_name, filepath, lines)."""
+    s = symbols.select(base_name(F.col("qualified_name")).alias("_n"), F.col("filepath").alias("_f"), "start_line", "end_line")
+    same = (F.col("name") == F.col("_n")) & (F.col("filepath").isNull() | (F.col("filepath") == F.col("_f")))
+    return gold.join(s, same).select("case_id", F.col("_f").alias("filepath"), "start_line", "end_line")
+
+
+def answer_scores(answers: DataFrame, checked: DataFrame, gold: DataFrame) -> DataFrame:
+    """answer_id, citations, citation_validity, cites_gold, abstained of each answer (answers: answer_id, answer)."""
+    counts = checked.groupBy("answer_id").agg(F.count("*").alias("citations"), F.count_if(F.col("status").isin("verified", "graph")).alias("backed"))
+    out = answers.select("answer_id", abstained(F.col("answer")).alias("abstained")).join(counts, "answer_id", "left").join(cites_gold(checked, gold), "answer_id", "left")
+    return out.select("answer_id", F.coalesce("citations", F.lit(0)).alias("citations"), (F.col("backed") / F.col("citations")).alias("citation_validity"), F.coalesce("cites_gold", F.lit(False)).alias("cites_gold"), "abstained")

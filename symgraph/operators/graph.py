@@ -143,3 +143,55 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     a, b = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")
+
+
+def symbol_context(symbols: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int = 3, fanout: int = 10) -> DataFrame:
+    """What surrounds each anchor (node): callees, callers, owner, bases, subclasses, methods, overrides both ways.
+
+    Lists are cut to ``fanout`` nearest first, but for bases and overridden methods; each is cut before it is gathered.
+    """
+    at = anchors.select("node").distinct()
+    calls = of_type(edges, "CALLS")
+    member, inherits = of_type(edges, "HAS_METHOD"), of_type(edges, "INHERITS")
+    place = symbols.select("node", "filepath", "qualified_name", F.col("start_line").alias("line"), "name")
+
+    def listed(rows: DataFrame, name: str, cut: int | None, hops: bool = False) -> DataFrame:
+        """``name``: a list of rows (start, node, hops)."""
+        order = W.partitionBy("start").orderBy("hops", "qualified_name", "filepath")
+        r = rows.join(place, "node").withColumn("rn", F.row_number().over(order))
+        r = r if cut is None else r.where(F.col("rn") <= cut)
+        item = F.struct("rn", F.col("qualified_name").alias("name"), "filepath", "line", *(["hops"] if hops else []))
+        return r.groupBy("start").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("rn")).alias(name))
+
+    step = lambda pairs: pairs.join(at, pairs.src == at.node, "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("hops"))
+    owned = member.select(F.col("src").alias("owner"), F.col("dst").alias("node"))
+    over = overrides(owned.join(place.select("node", "name"), "node"), inherits)
+    up = materialize(over.select(F.col("method").alias("src"), F.col("overridden").alias("dst"), "level"), "overrides")
+    both = lambda a, b: up.select(F.col(a).alias("start"), F.col(b).alias("node"), F.col("level").alias("hops")).join(at.withColumnRenamed("node", "start"), "start", "left_semi")
+    parts = [
+        listed(reach(calls, at, depth), "calls", fanout, True), listed(reach(reversed_(calls), at, depth), "called_by", fanout, True),
+        listed(step(inherits), "bases", None), listed(step(reversed_(inherits)), "subclasses", fanout), listed(step(member), "methods", fanout),
+        listed(both("src", "dst"), "overrides", None), listed(both("dst", "src"), "overridden_by", fanout),
+    ]
+    owner = step(reversed_(member)).join(place, "node").groupBy("start").agg(F.min("qualified_name").alias("owner"))
+    out = symbols.join(at, "node", "left_semi").select("node", "filepath", "qualified_name", "type", "start_line", "end_line")
+    for part in [*parts, owner]:
+        out = out.join(part.withColumnRenamed("start", "node"), "node", "left")
+    return out
+
+
+def in_out(edges: DataFrame, node: str) -> DataFrame:
+    """direction, type, node: the direct neighbours of one symbol."""
+    out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), "type", F.col("dst").alias("node"))
+    return out.unionByName(edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "type", F.col("src").alias("node"))).distinct()
+
+
+def payload(contexts: DataFrame) -> DataFrame:
+    """source, target, type: the edges that symbol contexts show, each once."""
+    pairs = {"calls": ("CALLS", True), "called_by": ("CALLS", False), "bases": ("INHERITS", True), "subclasses": ("INHERITS", False), "methods": ("HAS_METHOD", True), "overrides": ("OVERRIDES", True), "overridden_by": ("OVERRIDES", False)}
+    rows = None
+    for column, (kind, outward) in pairs.items():
+        one = contexts.select(F.col("qualified_name").alias("here"), F.explode(column).alias("x")).select("here", F.col("x.name").alias("there"))
+        one = one.select(F.col("here" if outward else "there").alias("source"), F.col("there" if outward else "here").alias("target"), F.lit(kind).alias("type"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIMIT, THRESHOLD = 20, 0.25
+#: A cached vector counts for thirty days.
+CACHE_MILLIS = 30 * 24 * 3600 * 1000
+#: Model and dimensions of each provider of embeddings.
+PROVIDERS = {"local": ("bge-small-en-v1.5", 384), "hashed": ("hashed", 64)}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Which vectors a store holds; another model or dimension is another collection."""
+
+    model: str
+    dims: int
+
+    @classmethod
+    def of(cls, provider: str, model: str | None = None, dims: int | None = None) -> Settings:
+        """A provider's own model, or another one, of which the dimension must be given."""
+        own = PROVIDERS.get(provider)
+        if model is None:
+            if own is None:
+                raise ValueError(f"{provider} has no default model")
+            return cls(own[0], dims or own[1])
+        if dims is None and (own is None or own[0] != model):
+            raise ValueError("another model needs its dimension")
+        return cls(model, dims or own[1])
+
+    @property
+    def collection(self) -> str:
+        return f"code_{re.sub('[^a-z0-9]+', '-', self.model.lower()).strip('-')}_{self.dims}"
+
+
+def live(cache: DataFrame, now: int, ttl: int = CACHE_MILLIS) -> DataFrame:
+    """Cached vectors that have not expired; none if ``ttl`` is 0."""
+    return cache.where(F.col("created_at") > now - ttl) if ttl else cache.limit(0)
 KEY = ["filepath", "symbol", "start_line"]
 
 
@@ -81,7 +116,6 @@ def hashed_words(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder: hashed words, at length 1."""
 
     def run(texts: list[str]) -> list[list[float]]:
-        import re
         import zlib
 
         out = []

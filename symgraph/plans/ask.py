@@ -6,8 +6,10 @@ fails leaves a note and the answer goes on without it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +62,23 @@ class Plan:
     queries: list[str] = field(default_factory=list)
 
 
+class RecordedPlanner:
+    """Plans read from a JSON file by question; ``record`` plans new ones with another planner and adds them."""
+
+    def __init__(self, path: str, record: Callable[[str, list[dict]], Plan] | None = None) -> None:
+        self.path, self.record = Path(path), record
+        self.plans = json.loads(self.path.read_text()) if self.path.exists() else {}
+
+    def __call__(self, question: str, history: list[dict]) -> Plan:
+        key = question.strip()
+        if key not in self.plans:
+            if self.record is None:
+                raise KeyError(f"no recorded plan for: {key}")
+            self.plans[key] = asdict(self.record(question, history))
+            self.path.write_text(json.dumps(self.plans, indent=1, sort_keys=True))
+        return Plan(**self.plans[key])
+
+
 @dataclass
 class Answer:
     """Text, status (ok or degraded), checked citations, what was shown, notes of stages that failed."""
@@ -252,4 +271,4 @@ def city(files: DataFrame) -> DataFrame:
     return ranked.select("filepath", "lines", "symbols", F.round(height(F.col("lines")), 6).alias("height"), (F.col("place") % n).alias("x"), F.floor(F.col("place") / n).alias("y"))
 
 
-__all__ = ["Answer", "Asker", "Config", "Plan", "VARIANTS", "city", "evaluate_retrieval"]
+__all__ = ["Answer", "Asker", "Config", "Plan", "RecordedPlanner", "VARIANTS", "city", "evaluate_retrieval"]

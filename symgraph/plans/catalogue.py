@@ -738,6 +738,81 @@ def kind_counts(v: Views) -> DataFrame:
     return explore.kind_counts(v.symbols())
 
 
+_CONTEXT = _CLOSURE + """, anchors AS (SELECT * FROM symbols_v WHERE node IN ('c1', 'c2', 'c5', 'm4', 'm9', 'f17', 'f3')),
+w AS (SELECT 'calls' AS k, src AS start, dst AS node, 1 AS hops FROM calls_v UNION ALL SELECT 'called_by', dst, src, 1 FROM calls_v UNION ALL SELECT 'bases', src, dst, 1 FROM inherits_v UNION ALL SELECT 'subclasses', dst, src, 1 FROM inherits_v
+  UNION ALL SELECT 'methods', src, dst, 1 FROM has_method_v UNION ALL SELECT 'overrides', o.method, o.overridden, level FROM over_v o JOIN has_method_v h ON h.dst = o.method JOIN has_method_v g ON g.dst = o.overridden
+  UNION ALL SELECT 'overridden_by', o.overridden, o.method, level FROM over_v o JOIN has_method_v h ON h.dst = o.method JOIN has_method_v g ON g.dst = o.overridden),
+r AS (SELECT w.k, w.start, s.qualified_name, row_number() OVER (PARTITION BY w.k, w.start ORDER BY w.hops, s.qualified_name, s.filepath) AS rn FROM w JOIN symbols_v s ON s.node = w.node JOIN anchors a ON a.node = w.start)"""
+_KINDS = ("calls", "called_by", "bases", "subclasses", "methods", "overrides", "overridden_by")
+
+
+def _context(v: Views) -> DataFrame:
+    anchors = v.symbols().where(F.col("node").isin("c1", "c2", "c5", "m4", "m9", "f17", "f3"))
+    return graph.symbol_context(v.symbols(), v.edges(), anchors, 1, 10)
+
+
+@_query(
+    _CONTEXT + " SELECT a.node, " + ", ".join(f"(SELECT string_agg(qualified_name, ',' ORDER BY rn) FROM r WHERE r.start = a.node AND k = '{k}'" + ("" if k in ("bases", "overrides") else " AND rn <= 10") + f") AS {k}" for k in _KINDS)
+    + ", (SELECT min(s.qualified_name) FROM has_method_v h JOIN symbols_v s ON s.node = h.src WHERE h.dst = a.node) AS owner FROM anchors a",
+    recursive=True,
+)
+def symbol_context_lists(v: Views) -> DataFrame:
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c)
+    return _context(v).select("node", *map(names, _KINDS), "owner")
+
+
+_SHOWN = {"calls": ("CALLS", True), "called_by": ("CALLS", False), "bases": ("INHERITS", True), "subclasses": ("INHERITS", False), "methods": ("HAS_METHOD", True), "overrides": ("OVERRIDES", True), "overridden_by": ("OVERRIDES", False)}
+
+
+@_query(
+    _CONTEXT + " " + " UNION ".join(
+        f"SELECT {'a.qualified_name' if out else 'r.qualified_name'} AS source, {'r.qualified_name' if out else 'a.qualified_name'} AS target, '{kind}' AS type FROM r JOIN anchors a ON a.node = r.start WHERE k = '{k}'" + ("" if k in ("bases", "overrides") else " AND rn <= 10")
+        for k, (kind, out) in _SHOWN.items()
+    ),
+    recursive=True,
+)
+def symbol_context_payload(v: Views) -> DataFrame:
+    return graph.payload(_context(v))
+
+
+@_query(" SELECT DISTINCT * FROM (SELECT 'out' AS direction, type, dst AS node FROM edges_v WHERE src = 'c2' UNION ALL SELECT 'in', type, src FROM edges_v WHERE dst = 'c2')")
+def neighbours_in_out(v: Views) -> DataFrame:
+    return graph.in_out(v.edges(), "c2")
+
+
+@_query(_impact_sql(_TARGET, 3, 300) + " SELECT ord, '- ' || qualified_name || ' (' || filepath || '): ' || relation || ' ' || via_name || ', ' || hops || ' steps away' AS line FROM affected WHERE ord <= 4")
+def impact_lines(v: Views) -> DataFrame:
+    return context.impact_lines(_impact(v, graph.find(v.symbols(), "fn_17"), 300), 4)
+
+
+@_query(_RANKED + " SELECT g.case_id, s.filepath, s.start_line, s.end_line FROM gold g JOIN chunks_v s ON g.name = s.symbol AND (g.filepath IS NULL OR g.filepath = s.filepath)")
+def gold_spans(v: Views) -> DataFrame:
+    return evaluate.gold_spans(_gold(v)[0], v.chunks().withColumnRenamed("symbol", "qualified_name"))
+
+
+@_query(" SELECT filepath, qualified_name FROM symbols_v WHERE (filepath = 'cls_7.py' OR starts_with(filepath, 'cls_7.py/')) AND contains(lower(name), 'brand#1')")
+def select_symbols(v: Views) -> DataFrame:
+    return explore.select_symbols(v.symbols(), "cls_7.py", "Brand#1").select("filepath", "qualified_name")
+
+
+@_query(" SELECT coalesce(a.url, b.url) AS url, b.last_indexed, b.symbols, coalesce(a.state, 'indexed') AS state FROM (SELECT DISTINCT repo_url AS url, 'pending' AS state FROM chunks_v WHERE doc_id % 2 = 0) a FULL JOIN (SELECT repo_url AS url, max(doc_id) AS last_indexed, count(*) AS symbols FROM chunks_v WHERE doc_id % 3 = 0 GROUP BY repo_url) b ON a.url = b.url")
+def merge_repositories(v: Views) -> DataFrame:
+    c = v.chunks()
+    local = c.where("doc_id % 2 = 0").select(F.col("repo_url").alias("url"), F.lit("pending").alias("state")).distinct()
+    server = c.where("doc_id % 3 = 0").groupBy(F.col("repo_url").alias("url")).agg(F.max("doc_id").alias("last_indexed"), F.count("*").alias("symbols"))
+    return explore.merge_repositories(local, server)
+
+
+@_query(_RERANK + f" SELECT filepath, symbol, retrieval_rank - rank AS rank_change FROM kept WHERE rank <= {fusion.KEPT}")
+def rank_change(v: Views) -> DataFrame:
+    return explore.rank_change(_reranked(v, fusion.KEPT)).select("filepath", "symbol", "rank_change")
+
+
+@_query(" SELECT DISTINCT filepath AS path FROM symbols_v")
+def indexed_paths(v: Views) -> DataFrame:
+    return v.symbols().select(F.col("filepath").alias("path")).distinct()
+
+
 # Parsing and linking, over source fixtures
 
 

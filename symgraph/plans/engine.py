@@ -77,7 +77,7 @@ class Engine:
     def _embedded(self, chunks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
         """Vectors of chunks, and the paths of files of which any chunk failed; new vectors go to the cache."""
         named = chunks.withColumn("code_text", F.col("source_code")).withColumn("key", vector.text_key(F.col("source_code"), self.model, self.dims, "passage"))
-        cache = self.store.read("embedding_cache").where(F.col("model") == self.model)
+        cache = vector.live(self.store.read("embedding_cache").where(F.col("model") == self.model), now)
         texts = vector.distinct_texts(named, self.model, self.dims)
         made = materialize(vector.embed(vector.cache_misses(texts, cache), self.embedder, self.dims), "vectors")
         good = made.where("error IS NULL").select("key", "vector")
@@ -143,6 +143,18 @@ class Engine:
         """The innermost symbol around a line, with its code."""
         return graph.at_line(self.symbols(url), self.spark.createDataFrame([(filepath, line)], "filepath string, line int"))
 
+    def symbol_code(self, url: str, name: str, filepath: str | None = None) -> DataFrame:
+        """The code of the symbols of a name."""
+        return self.find(url, name, filepath).select("filepath", "qualified_name", "type", "start_line", "end_line", "source_code")
+
+    def context(self, url: str, name: str, depth: int = 3) -> DataFrame:
+        """What surrounds the symbols of a name."""
+        return graph.symbol_context(self.symbols(url), self.edges(url), self.find(url, name), _clamped(depth, DEPTHS))
+
+    def indexed_paths(self, url: str) -> DataFrame:
+        """path of every file that has symbols."""
+        return self.store.read("chunks", url).select(F.col("file_path").alias("path")).distinct()
+
     def graph(self, url: str, limit: int = 400) -> tuple[DataFrame, DataFrame]:
         """The best connected symbols, and the edges among them."""
         nodes = graph.top_degree(self.symbols(url), self.edges(url), _clamped(limit, (1, 2000)))
