@@ -11,6 +11,7 @@ from symgraph.functions import text as tx
 from symgraph.operators import context, evaluate, explore, fusion, graph, incremental, lexical, resolve, vector
 from symgraph.plans import fixtures
 from symgraph.plans.views import SQL, Views
+from symgraph.session import materialize
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -383,8 +384,13 @@ def _impact_sql(targets: str, depth: int, most: int, over: bool = False) -> str:
     return ",\n".join(parts)
 
 
+def _tables(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges, written once as an engine's tables are: a search reads them at every level."""
+    return materialize(v.symbols(), "symbols"), materialize(v.edges(), "edges")
+
+
 def _impact(v: Views, targets: DataFrame, most: int, overriding: DataFrame | None = None) -> DataFrame:
-    return graph.impact(v.symbols(), v.edges(), targets.select("node"), 3, most, overriding)
+    return graph.impact(*_tables(v), targets.select("node"), 3, most, overriding)
 
 
 _TARGET = "SELECT node FROM symbols_v WHERE qualified_name = 'fn_17'"
@@ -748,7 +754,7 @@ _KINDS = ("calls", "called_by", "bases", "subclasses", "methods", "overrides", "
 
 def _context(v: Views) -> DataFrame:
     anchors = v.symbols().where(F.col("node").isin("c1", "c2", "c5", "m4", "m9", "f17", "f3"))
-    return graph.symbol_context(v.symbols(), v.edges(), anchors, 1, 10)
+    return graph.symbol_context(*_tables(v), anchors, 1, 10)
 
 
 @_query(
