@@ -114,7 +114,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
 
 def query(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    rules = pages.sparkSession.createDataFrame(RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    rules = pages.sparkSession.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return judge_urls(pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
