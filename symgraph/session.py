@@ -34,8 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again; this cuts the lineage and outlives any executor."""
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    This cuts the lineage: what reads the result never recomputes what made it, and the files outlive any executor. They
+    stay until ``sweep``, as a result that is not yet read may need them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, once no result that reads it is needed; returns how many tables."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

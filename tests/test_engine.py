@@ -112,3 +112,13 @@ def test_read_repository(spark, tmp_path):
     got = {r.path: (r.sha, r.error) for r in read_repository(spark, str(tmp_path), "r").collect()}
     assert got["pkg/a.py"] == (hashlib.sha1(b"blob 6\0x = 1\n").hexdigest(), None)
     assert got["pkg/bad.py"][1] == "not UTF-8"
+
+
+def test_sweep_deletes_what_was_written(spark):
+    from symgraph.session import materialize, sweep
+
+    sweep(spark)
+    path = materialize(spark.range(3), "swept").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and sweep(spark) == 1 and not os.path.isdir(path)
