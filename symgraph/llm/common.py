@@ -1,15 +1,14 @@
-"""What the training-data operators share: tables, the shared folder, hashing of row identities."""
+"""What the training-data operators share: tables, the shared folder, texts, the rows that learning leaves out."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.session import materialize, shared_dir, sweep
+
+__all__ = ["SPACE", "WORD", "held_out", "materialize", "shared_dir", "sweep", "table", "text_of"]
+
 #: White space as the query contracts define it: space and the six ASCII controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -20,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests on one machine, a temporary folder is made and removed at exit.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("symgraph.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="symgraph-shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("symgraph.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage: what reads the result never recomputes what made it, and the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, a null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
