@@ -83,7 +83,10 @@ def schedule(sources: DataFrame, seed: int = SEED) -> DataFrame:
     slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.col("chunk") * CHUNK + CHUNK - 1)).alias("slot")).where(F.col("slot") < n)
     slots = slots.withColumn("u", point(F.col("slot"))).withColumn("bin", F.floor(F.col("u") * bins))
     spans = sources.where("target > 0").select("s", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.floor(F.col("hi") * bins))).alias("bin"))
-    placed = slots.join(spans, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "chunk", "s", "blocks")
+    # the planner cannot know how many slots the generator makes and would send them to every task: the hint forbids it here, and
+    # what is written has its true size for the joins that follow
+    placed = slots.hint("merge").join(spans, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "chunk", "s", "blocks")
+    placed = materialize(placed, "mix-slots")
     ranked = _running(placed, ["s"], [F.col("slot")], "chunk", F.lit(1), "rank")
     return ranked.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "s", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
@@ -115,14 +118,14 @@ def mix(docs: DataFrame, seed: int = SEED, th: Column | None = None) -> DataFram
         F.ceil(F.col("source_size") / words).cast("long").alias("blocks"), F.ceil(total / words).cast("long").alias("slots"),
         (F.coalesce(F.sum("target").over(number.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / total).alias("lo"),
         F.when(F.row_number().over(number) == F.count("*").over(W.partitionBy()), F.lit(1.0)).otherwise(F.sum("target").over(number) / total).alias("hi"),
-        (F.count("*").over(W.partitionBy()) * 16).alias("bins"),
+        F.greatest(F.count("*").over(W.partitionBy()) * 16, F.ceil(total / words / CHUNK)).cast("long").alias("bins"),
     )
     sources = materialize(sources, "mix-sources")
     numbered = rows.join(sources.select("s", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # each copy of a row gets its number, so that all of them are laid out
     numbered = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     numbered = materialize(numbered.withColumn("row", F.struct("doc_id", "th", "size", "copy")), "mix-rows")
-    takes = schedule(sources, seed).join(pieces(numbered, sources, seed), ["s", "block"]).groupBy("row", "s").agg(F.sum("words").alias("taken"))
+    takes = schedule(sources, seed).hint("merge").join(pieces(numbered, sources, seed), ["s", "block"]).groupBy("row", "s").agg(F.sum("words").alias("taken"))
     left = numbered.select("doc_id", "source", "th", "size", "s", "row")
     out = left.join(takes.withColumnRenamed("s", "_s").withColumnRenamed("row", "_row"), (F.col("s") == F.col("_s")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     per = sources.select(F.col("s").alias("_t"), "source_size", "target")
