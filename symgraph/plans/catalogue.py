@@ -85,9 +85,34 @@ def blob_sha(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", tx.blob_sha(F.col("text")).alias("sha"))
 
 
+@_query(" SELECT r.ord, c.filepath, c.symbol, length(c.code_text) AS chars FROM (SELECT item_id AS ord, item_id * 3 AS doc_id FROM benchmark) r JOIN chunks_v c ON c.doc_id = r.doc_id")
+def chunk_points(v: Views) -> DataFrame:
+    refs = v.table("benchmark").select(F.col("item_id").alias("ord"), (F.col("item_id") * 3).alias("doc_id"))
+    return refs.join(v.chunks(), "doc_id").select("ord", "filepath", "symbol", F.length("code_text").alias("chars"))
+
+
+@_query(" SELECT vec_id, round(embedding[1]::DOUBLE, 4) AS first, round(embedding[24]::DOUBLE, 4) AS last FROM embeddings")
+def vector_fingerprint(v: Views) -> DataFrame:
+    kept = vector.fingerprint(F.col("embedding"))
+    return v.table("embeddings").select("vec_id", F.get(kept, F.lit(0)).alias("first"), F.get(kept, F.lit(23)).alias("last"))
+
+
 # Search
 
 
+_POSTINGS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, unnest({_TOKENS.format(f)}) AS term FROM chunks_v" for f in lexical.FIELDS)
+
+
+@_query(f", p AS (SELECT doc_id, field, term, count(*) AS tf FROM ({_POSTINGS}) GROUP BY ALL) SELECT field, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY field")
+def inverted_index(v: Views) -> DataFrame:
+    return lexical.postings(v.chunks()).groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
+
+
+@_query(f" SELECT filepath, {' + '.join(f'len({_TOKENS.format(f)})' for f in lexical.FIELDS)} AS dl FROM chunks_v")
+def document_lengths(v: Views) -> DataFrame:
+    return lexical.lengths(v.chunks()).select("filepath", "dl")
+
+
 def _bm25_sql(terms: list[str], fields: tuple[str, ...], name: str = "bm25") -> str:
     each = " UNION ALL ".join(f"SELECT filepath, symbol, start_line, {lexical.FIELDS[f]} AS w, unnest({_TOKENS.format(f)}) AS term FROM chunks_v" for f in fields)
     dl = " + ".join(f"len({_TOKENS.format(f)})" for f in lexical.FIELDS)
