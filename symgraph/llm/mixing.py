@@ -116,8 +116,8 @@ def mix(docs: DataFrame, seed: int = SEED, th: Column | None = None) -> DataFram
     sources = targets.select(
         "source", "source_size", "docs", "target", F.row_number().over(number).cast("long").alias("s"), words.alias("block_words"),
         F.ceil(F.col("source_size") / words).cast("long").alias("blocks"), F.ceil(total / words).cast("long").alias("slots"),
-        (F.coalesce(F.sum("target").over(number.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) / total).alias("lo"),
-        F.when(F.row_number().over(number) == F.count("*").over(W.partitionBy()), F.lit(1.0)).otherwise(F.sum("target").over(number) / total).alias("hi"),
+        F.try_divide(F.coalesce(F.sum("target").over(number.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), total).alias("lo"),
+        F.when(F.row_number().over(number) == F.count("*").over(W.partitionBy()), F.lit(1.0)).otherwise(F.try_divide(F.sum("target").over(number), total)).alias("hi"),
         F.greatest(F.count("*").over(W.partitionBy()) * 16, F.ceil(total / words / CHUNK)).cast("long").alias("bins"),
     )
     sources = materialize(sources, "mix-sources")
