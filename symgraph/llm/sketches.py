@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -74,19 +74,18 @@ def _bucketed(rows: DataFrame, rows_a_bucket: int) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("doc_id", at, 10 * n)).first()[0] if at else None
     cuts = np.array(bounds or [], dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(cuts, ids[known].astype(np.int64), side="right")
-        return pd.Series(out)
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        out = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+        out[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.array(out)
 
     return rows.withColumn("bucket", bucket("doc_id"))
 
 
 def with_next(docs: DataFrame, rows_a_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Rows by bucket, each bucket ended by the first row of the next one (``guest`` 1), in order, for streaming."""
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     rows = _bucketed(rows, rows_a_bucket).withColumn("guest", F.lit(0))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th")).alias("f"))
     # one row a bucket
@@ -106,21 +105,23 @@ def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = BUCKET_ROWS) ->
         new = sketch(changed)
         return one[0], len(one[1]), hashlib.sha256(changed.encode()).hexdigest(), written(one[2]), written(new), containment(one[2], new), containment(one[2], other[2])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = None, None
         for batch in batches:
             out = []
-            for doc_id, text, where, guest in zip(batch.doc_id.astype(object), batch.text, batch.bucket, batch.guest, strict=True):
-                now = (None if pd.isna(doc_id) else int(doc_id), text, sketch(text))
+            for doc_id, text, where, guest in zip(*batch.columns, strict=True):  # one text at a time is a Python string
+                text, where = text.as_py(), where.as_py()
+                now = (doc_id.as_py(), text, sketch(text))
                 if held is not None and bucket == where:
                     out.append(row(held, now))
-                held, bucket = (None if guest else now), where
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                held, bucket = (None if guest.as_py() else now), where
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, rows_a_bucket).select("doc_id", "text", "bucket", "guest").mapInPandas(run, schema)
+    return with_next(docs, rows_a_bucket).select("doc_id", "text", "bucket", "guest").mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
