@@ -135,6 +135,8 @@ def test_mix_meets_its_targets(spark, docs, none):
     again = {(r.doc_id, r.taken) for r in mixing.query(docs.repartition(3)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     assert mixing.query(none).count() == 0
+    wordless = mixing.query(docs.where("doc_id IN (1, 2, 3)")).collect()
+    assert [(r.size, r.target, r.taken) for r in wordless] == [(0, 0.0, 0)] * 3
     assert set(mixing.repeated(docs).columns) == set(docs.columns)
 
 
@@ -236,6 +238,9 @@ def test_fingerprints_and_edits(spark, docs, none):
     a, b = (set(simhash.shingles(simhash.words(x), 5)) for x in (t, sketches.edited(t, nxt)))
     assert abs(got[9].near_edited - len(a & b) / min(len(a), len(b))) < 0.03
     assert sketches.query(docs).count() == docs.count() and sketches.query(none).count() == 0
+    big = [(None, "no id"), *[((1 << 62) + i, f"text number {i} of a few words more") for i in range(40)]]
+    huge = sketches.fingerprint_documents(spark.createDataFrame(big, "doc_id bigint, text string"), 3).collect()
+    assert {r.doc_id for r in huge} == {i for i, _ in big}
     a, b = sketches.sketch(want[8][1]), sketches.sketch(want[-1][1])
     assert sketches.containment(a, sketches.merged(a, b)) == 1.0
 
