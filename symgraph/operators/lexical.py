@@ -33,11 +33,11 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 def matches(chunks: DataFrame, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
     """repo_url, key, dl and ``hits``, the weighted occurrences of the searched terms, of every chunk: one pass over the texts, without a shuffle."""
-    total = reduce(lambda a, b: a + b, [F.regexp_count(F.col(f), F.lit(TERM)) for f in FIELDS])
-    # only the terms' own occurrences are cut out, as whole identifiers and in any case
-    whole = "(?i)(?<![A-Za-z_])(?<![A-Za-z_][0-9]{1,40})(?:" + "|".join(terms) + ")(?![A-Za-z0-9_])"
-    found = [F.transform(F.regexp_extract_all(F.col(f), F.lit(whole), F.lit(0)), _weighed(FIELDS[f])) for f in fields]
-    return chunks.select("repo_url", *KEY, total.alias("dl"), F.concat(*found).alias("hits"))
+    found = lambda f: F.regexp_extract_all(F.coalesce(F.col(f), F.lit("")), F.lit(f"({TERM})"), F.lit(1)).alias(f"_{f}")
+    rows = chunks.select("repo_url", *KEY, *map(found, FIELDS))
+    total = reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS])
+    hits = [F.transform(F.filter(f"_{f}", lambda t: F.lower(t).isin(terms)), _weighed(FIELDS[f])) for f in fields]
+    return rows.select("repo_url", *KEY, total.alias("dl"), F.concat(*hits).alias("hits"))
 
 
 def _weighed(weight: float):

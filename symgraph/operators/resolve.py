@@ -1,4 +1,4 @@
-"""Linking references to symbols: calls, base classes and membership, as joins and one aggregate a reference.
+"""Linking references to symbols: calls, base classes and membership, as equi-joins with counts of candidates.
 
 ``chunks`` is the table of extracted symbols with repo_url. A reference is resolved only if the rules leave one candidate.
 """
@@ -65,37 +65,54 @@ def _enclosing(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     return refs.join(nearest, ["repo_url", "src_file", "src_name"], "left")
 
 
-def candidates(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """References with every symbol of the right name, language and kind, and what the rules ask of each."""
-    c = chunks.select(
-        F.col("repo_url").alias("_r"), F.col("language").alias("_l"), F.col("name").alias("_n"), F.col("type").alias("c_type"), F.col("file_path").alias("c_file"), F.col("qualified_name").alias("c_name"),
-        last_segment(owner_of(F.col("qualified_name"))).alias("c_parent"), module_name(F.col("file_path")).alias("c_module"),
-    )
-    kind = F.when(F.col("role") == "base", F.col("c_type") == "class").otherwise(F.col("c_type").isin("function", "method", "class"))
-    same = (F.col("repo_url") == F.col("_r")) & (F.col("language") == F.col("_l")) & (F.col("tail") == F.col("_n"))
-    out = refs.where("branch <> 'super'").join(c, same & kind)
-    out = out.withColumn("same_file", F.col("c_file") == F.col("src_file"))
-    exact = (F.col("c_parent") == F.col("qualifier")) | (F.col("c_module") == F.col("qualifier"))
-    return out.withColumn("exact", F.coalesce(exact, F.lit(False))).withColumn("own", F.col("same_file") & F.coalesce(F.col("c_name") == F.concat("owner", F.lit("."), "tail"), F.lit(False)))
-
-
 KEYS = ["repo_url", "src_file", "src_name", "src_type", "role", "ord", "ref", "branch"]
+#: What a candidate may count as: anything that is called, that less methods, methods, classes.
+_FLAGS = {"call": "c_type IN ('function', 'method', 'class')", "plain": "c_type IN ('function', 'class')", "method": "c_type = 'method'", "class": "c_type = 'class'"}
 
 
-def choose(found: DataFrame) -> DataFrame:
-    """One aggregate a reference: the candidate that the rules leave, or none."""
+def _lookup(candidates: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """For each key, how many candidates there are of each flag, and the one if there is one."""
     target = F.struct(F.col("c_file").alias("file"), F.col("c_name").alias("name"))
-    method = F.col("c_type") == "method"
-    plain = F.when(F.col("branch") == "bare", ~method).when(F.col("branch") == "self", method).otherwise(True)
-    one = lambda cond, name: (F.count_if(cond).alias(f"n_{name}"), F.max(F.when(cond, target)).alias(f"k_{name}"))
-    agg = found.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("own"), target)).alias("k_own"), *one(F.col("exact"), "exact"), *one(plain, "pool"), *one(plain & F.col("same_file"), "file"), *one(F.col("exact") & F.col("same_file"), "exact_file")
-    )
-    unique = lambda name: F.when(F.col(f"n_{name}") == 1, F.col(f"k_{name}"))
-    narrowed = (F.col("branch") == "qualified") & (F.col("n_exact") > 0)
-    among = F.when(narrowed, F.coalesce(unique("exact"), unique("exact_file"))).otherwise(F.coalesce(unique("file"), unique("pool")))
-    chosen = F.when(F.col("branch") == "self", F.coalesce("k_own", among)).otherwise(among)
-    return agg.select(*KEYS, chosen.alias("target")).where("target IS NOT NULL").select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
+    aggregates = [x for f, cond in _FLAGS.items() for x in (F.count_if(F.expr(cond)).alias(f"{tag}_n_{f}"), F.max(F.when(F.expr(cond), target)).alias(f"{tag}_k_{f}"))]
+    return candidates.groupBy(*keys).agg(*aggregates).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[f"{tag}_{x}_{f}" for f in _FLAGS for x in "nk"])
+
+
+def resolved(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """KEYS, dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
+
+    Candidates are counted by name, by name and file, and by name and qualifier before references meet them, so a name
+    that thousands of symbols share costs a reference one row and not thousands.
+    """
+    c = chunks.select(
+        "repo_url", "language", F.col("name").alias("tail"), F.col("type").alias("c_type"), F.col("file_path").alias("c_file"), F.col("qualified_name").alias("c_name"),
+        F.array_compact(F.array_distinct(F.array(last_segment(owner_of(F.col("qualified_name"))), module_name(F.col("file_path"))))).alias("qualifiers"),
+    )
+    q = c.withColumn("qualifier", F.explode("qualifiers"))
+    name, file = ["repo_url", "language", "tail"], F.col("src_file")
+    out = refs.where("branch <> 'super'")
+    for tag, rows, more in (("a", c, []), ("b", c, ["c_file"]), ("x", q, ["qualifier"]), ("y", q, ["qualifier", "c_file"])):
+        table = _lookup(rows, [*name, *more], tag)
+        same = F.lit(True)
+        for k in [*name, *more]:
+            same = same & ((file if k == "c_file" else out[k]) == table[f"{tag}_{k}"])
+        out = out.join(table, same, "left").drop(*[f"{tag}_{k}" for k in [*name, *more]])
+    own = chunks.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
+    mine = (F.col("branch") == "self") & (F.col("repo_url") == F.col("_r")) & (file == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))
+    out = out.join(own, mine, "left")
+    base, branch = F.col("role") == "base", F.col("branch")
+
+    def pool(tag: str) -> Column:
+        """The one candidate of the reference's pool, null unless there is exactly one."""
+        one = lambda f: F.when(F.col(f"{tag}_n_{f}") == 1, F.col(f"{tag}_k_{f}"))
+        calls = F.when(branch == "bare", one("plain")).when(branch == "self", one("method")).otherwise(one("call"))
+        return F.when(base, F.when(branch != "self", one("class"))).otherwise(calls)
+
+    known = F.coalesce(F.when(base, F.col("a_n_class")).otherwise(F.col("a_n_call")), F.lit(0)) > 0
+    exact = F.coalesce(F.when(base, F.col("x_n_class")).otherwise(F.col("x_n_call")), F.lit(0)) > 0
+    own_one = F.when(known & F.col("_own").isNotNull(), F.struct(F.col("_f").alias("file"), F.col("_own").alias("name")))
+    chosen = F.coalesce(own_one, F.when((branch == "qualified") & exact, F.coalesce(pool("x"), pool("y"))).otherwise(F.coalesce(pool("b"), pool("a"))))
+    out = out.withColumn("target", chosen).where("target IS NOT NULL")
+    return out.select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
 
 
 def _super(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -121,8 +138,8 @@ def link(chunks: DataFrame) -> DataFrame:
     """All edges: repo_url, type, src_file, src_name, dst_file, dst_name; distinct, without loops of one symbol."""
     chunks = materialize(chunks, "chunks")
     refs = _enclosing(references(chunks), chunks)
-    resolved = materialize(choose(candidates(refs, chunks)), "resolved")
-    every = resolved.unionByName(_super(refs, resolved.where("role = 'base'"), chunks))
+    found = materialize(resolved(refs, chunks), "resolved")
+    every = found.unionByName(_super(refs, found.where("role = 'base'"), chunks))
     kind = F.when(F.col("role") == "base", "INHERITS").otherwise("CALLS")
     edges = every.where((F.col("src_file") != F.col("dst_file")) | (F.col("src_name") != F.col("dst_name")))
     return edges.select("repo_url", kind.alias("type"), "src_file", "src_name", "dst_file", "dst_name").unionByName(has_method(chunks)).distinct()

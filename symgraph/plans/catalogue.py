@@ -509,7 +509,7 @@ def _method_chunks(v: Views) -> DataFrame:
 @_query(f", refs AS ({_REFS}), found AS (SELECT r.src, r.tail, count(*) AS n, max(m.filepath || ':' || split_part(m.qualified_name, '.', 1) || '.' || m.node) AS k FROM (SELECT DISTINCT src, tail FROM refs) r JOIN methods_v m ON m.name = r.tail AND substr(m.node, 2)::INT < 40 GROUP BY ALL) SELECT src AS src_name, tail AS ref, k AS target FROM found WHERE n = 1")
 def resolve_unique_candidates(v: Views) -> DataFrame:
     few = _method_chunks(v).where(F.regexp_extract("qualified_name", r"m(\d+)$", 1).cast("int") < 40)  # so that some names are unique
-    out = resolve.choose(resolve.candidates(_call_rows(_refs(v), False), few))
+    out = resolve.resolved(_call_rows(_refs(v), False), few)
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 
@@ -520,7 +520,7 @@ def resolve_unique_candidates(v: Views) -> DataFrame:
 SELECT src AS src_name, qualifier || '.' || tail AS ref, CASE WHEN n_exact = 1 THEN k_exact ELSE k END AS target FROM found WHERE n_exact = 1 OR (n_exact = 0 AND n = 1)"""
 )
 def resolve_qualified(v: Views) -> DataFrame:
-    out = resolve.choose(resolve.candidates(_call_rows(_refs(v), True), _method_chunks(v)))
+    out = resolve.resolved(_call_rows(_refs(v), True), _method_chunks(v))
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 
