@@ -106,7 +106,6 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _word(self, word: str) -> bytes:
-        word = word.lower()
         if word.isalpha():  # letters alone are one part
             return self.parts[word]
         if word[:-1].isalpha() and not word[-1].isalnum():
@@ -120,7 +119,7 @@ class WordTokenizer:
             if not _plain(text) or any(s in text for s in self.special):
                 yield np.array(self.whole(text), dtype=self.dtype)
             else:
-                yield np.frombuffer(b"".join(map(word, text.split())), dtype=self.dtype)
+                yield np.frombuffer(b"".join(map(word, text.lower().split())), dtype=self.dtype)
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
