@@ -331,12 +331,12 @@ def deduplicated(docs: DataFrame, search: Search = NEAR, at_least: float = SIMIL
     """``docs`` without all but one document of each group of near-duplicates: the one of the smallest doc_id."""
     groups = near_duplicates(docs.select("doc_id", "text"), search, at_least)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
-    first = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    columns = docs.columns
+    # a row is known by two hashes of 64 bits; joined and made distinct on the same two, texts are shuffled once
+    key = lambda th: F.xxhash64("doc_id", th, F.lit(7)).alias("_key")
+    first = first.select(key("th"), F.col("th").alias("_own")).distinct()
     marked = docs.withColumn("_own", F.xxhash64(text_of()))
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left_semi")
-    # equal rows of one id and text are still there together; they are few, copies have other ids
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*columns)
+    kept = marked.select("*", key("_own")).join(first, ["_key", "_own"], "left_semi")
+    return kept.dropDuplicates(["_key", "_own"]).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
