@@ -12,7 +12,7 @@ of radius mu around v or outside, and a fingerprint within ``radius`` of that bo
 goes to both sides, so that every close pair meets in some shard. A split that would send most of its points to both sides is not made.
 
 Within a shard a spanning forest of the links is kept, nearest first, not all pairs: a group of copies gives as many links as members.
-With bands of fewer than ``radius + 1`` the search is not exact; ``NEAR`` is used so, with an exact check of the texts after it.
+With bands of fewer than ``radius + 1`` the search is not exact. ``deduplicated`` does not search fingerprints (see ``set_join``).
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; a text
 of fewer words than a shingle is one shingle; repeated rows share a class and all are returned; a null doc_id never
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .components import connected_components
-from .url_filter import bloom_filter, might_contain
+from .set_join import similar_groups
 
 
 @dataclass(frozen=True)
@@ -51,10 +51,7 @@ class Search:
 
 #: As the query contract has it: exact, four bands against three bits.
 EXACT = Search()
-#: For texts that share 0.8 of their five-word shingles: there a bit of a three-word SimHash differs with probability
-#: 0.12 or less, so one of 21 bands of 12 bits agrees with probability 0.995, and 30 of 256 bits differ on average, with a deviation of 5.
-NEAR = Search(width=4, bands=tuple((12 * i, 12) for i in range(21)), radius=48)
-#: The similarity that the exact check asks for, and its shingle.
+#: The similarity of texts that ``deduplicated`` links, and its shingle; found by an exact join of the sets, not by fingerprints.
 SIMILAR, SIMILAR_SHINGLE = 0.8, 5
 _SEED, _STEP = 42, 1 << 15
 
@@ -280,46 +277,14 @@ def links(classes: DataFrame, search: Search) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "a binary, b binary").distinct()
 
 
-def similar(pairs: DataFrame, at_least: float, shingle: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, text_a, text_b) whose sets of word shingles have Jaccard similarity ``at_least``; a, b."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time is Python strings
-                p, q = set(shingles(words(x.as_py()), shingle)), set(shingles(words(y.as_py()), shingle))
-                either = len(p | q)
-                keep.append(not either or len(p & q) >= at_least * either)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
-def near_duplicates(docs: DataFrame, search: Search = EXACT, at_least: float | None = None, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, search: Search = EXACT) -> DataFrame:
     """doc_id, th, fp, root, component_id of every row of ``docs`` (doc_id, text).
 
-    Rows of a component share ``root`` (its smallest fingerprint) and ``component_id`` (its smallest doc_id). With
-    ``at_least``, links are kept only where the texts' shingle sets are so similar.
+    Rows of a component share ``root`` (its smallest fingerprint) and ``component_id`` (its smallest doc_id).
     """
     rows = materialize(fingerprints(docs, search), "simhash")
     classes = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("least")), "simhash-classes")
-    pairs = links(classes, search)
-    if at_least is not None:
-        pairs = materialize(pairs, "simhash-pairs")
-        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        ends = ends.join(classes, "fp").select("fp", F.col("least.doc_id").alias("_id"), F.col("least.th").alias("_th"))
-        ends = materialize(ends, "simhash-ends")
-        source = docs.select("doc_id", text_of().alias("text")).withColumn("th", F.xxhash64("text"))
-        # a filter of bounded size keeps most other texts out of the shuffle; the join is what decides
-        key = lambda id, th: F.concat_ws(":", F.col(id).cast("string"), F.col(th).cast("string"))
-        bits = bloom_filter(ends.select(key("_id", "_th").alias("key"))).scalar()
-        source = source.where(might_contain(bits, key("doc_id", "th")))
-        texts = source.join(ends, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("fp", "text").dropDuplicates(["fp"])
-        texts = materialize(texts, "simhash-texts")
-        both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-        pairs = similar(both.select("a", "b", "text_a", "text_b"), at_least, shingle)
-    roots = connected_components(pairs)
+    roots = connected_components(links(classes, search))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))
@@ -327,9 +292,9 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT, at_least: float | N
     return rows.join(of, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def deduplicated(docs: DataFrame, search: Search = NEAR, at_least: float = SIMILAR) -> DataFrame:
-    """``docs`` without all but one document of each group of near-duplicates: the one of the smallest doc_id."""
-    groups = near_duplicates(docs.select("doc_id", "text"), search, at_least)
+def deduplicated(docs: DataFrame, at_least: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """``docs`` without all but one document of each group of texts linked by so similar shingle sets: the one of the smallest doc_id."""
+    groups = similar_groups(docs.select("doc_id", "text"), at_least, shingle)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
     # a row is known by two hashes of 64 bits; joined and made distinct on the same two, texts are shuffled once
     key = lambda th: F.xxhash64("doc_id", th, F.lit(7)).alias("_key")

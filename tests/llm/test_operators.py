@@ -406,3 +406,32 @@ def test_columns_of_the_same_names_do_not_clash(spark, docs):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     row = url_filter.judge_urls(pages, rules).first()
     assert (row.best, row.r_path, row.rule, row.verdict) == ("x", "y", "example.com/en/", "block")
+
+
+# Near-duplicates of the pipeline
+
+
+def sets_of(texts, k=5):
+    return {i: set(simhash.shingles(simhash.words(t or ""), k)) for i, t in texts.items()}
+
+
+def kept_by_brute_force(texts):
+    sets = sets_of(texts)
+    return set(components_of(sorted(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).values())
+
+
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string").repartition(4)).collect()}
+
+
+def test_every_pair_on_a_shared_template_is_checked(spark):
+    rnd = random.Random(8)
+    template = prose(rnd, 240).split()
+    texts = {}
+    for i in range(1, 91):  # most pairs lie a little under 0.8, some above: a tree of the nearest has links that fail
+        words = list(template)
+        for at in rnd.sample(range(0, 240, 6), 5 if i % 3 else 4):
+            words[at] = f"w{rnd.randrange(8)}"
+        texts[i] = " ".join(words)
+    want = kept_by_brute_force(texts)
+    assert 5 < len(want) < 80 and kept(spark, texts) == want
