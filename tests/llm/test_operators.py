@@ -424,6 +424,15 @@ def kept(spark, texts):
     return {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string").repartition(4)).collect()}
 
 
+def test_texts_of_one_fingerprint_are_checked(spark):
+    rnd = random.Random(4)
+    filler = "0 " * 4000
+    texts = {i: filler + prose(rnd, 120) for i in range(1, 7)} | {7: ". " * 3000, 8: ". " * 3000 + prose(rnd, 90)}
+    texts |= {9: texts[3], 10: texts[4] + " " + prose(rnd, 4), 11: texts[7].replace(". ", ".\n"), 12: "0 " * 9000 + texts[5].removeprefix(filler)}
+    assert len({simhash.fingerprint(texts[i], 3, 4) for i in range(1, 7)}) == 1
+    assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(1, 9))
+
+
 def test_every_pair_on_a_shared_template_is_checked(spark):
     rnd = random.Random(8)
     template = prose(rnd, 240).split()
