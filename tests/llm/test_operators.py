@@ -444,3 +444,21 @@ def test_every_pair_on_a_shared_template_is_checked(spark):
         texts[i] = " ".join(words)
     want = kept_by_brute_force(texts)
     assert 5 < len(want) < 80 and kept(spark, texts) == want
+
+
+def test_blocks_ends_and_repeats_are_found_as_scattered_edits_are(spark):
+    rnd = random.Random(6)
+    texts, kind = {}, {}
+    for i in range(0, 720, 2):
+        base = prose(rnd, 204).split()  # 200 shingles
+        kind[i] = ("block", "cut", "added", "repeat")[i // 2 % 4]
+        if kind[i] == "block":  # 22 shingles lost of each: 178 of 222 shared
+            other = base[:90] + prose(rnd, 18).split() + base[108:]
+        elif kind[i] == "cut":
+            other = base[:-40]
+        elif kind[i] == "added":
+            other = base + prose(rnd, 49).split()
+        else:
+            other = base + base[:12] * 30
+        texts[i], texts[i + 1] = " ".join(base), " ".join(other)
+    assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(0, 720, 2))
