@@ -33,7 +33,9 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul button label textarea iframe noscript".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template head title svg math object noscript iframe textarea select".split())
+SILENT = frozenset("script style template head title svg iframe textarea select".split())
+#: Of these, the tags whose content is code: left open, they run to the end of the page. Of others left open only the tag is skipped.
+CODE = frozenset("script style".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th"), "body": ("head",),
@@ -43,6 +45,7 @@ _SCOPES = frozenset("table ul ol dl select".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in SILENT}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -64,7 +67,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     words: list[str] = []
     links: list[str] = []
     depth_of_link, at, page = 0, 0, page or ""
-    silent_until: str | None = None
+    open_ended: set[str] = set()
 
     def flush() -> None:
         if words:
@@ -77,12 +80,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             words.clear()
             links.clear()
 
-    for m in _TOKEN.finditer(page):
-        if silent_until is not None:
-            if m[1] and m[2].lower() == silent_until:
-                silent_until = None
-                at = m.end()
-            continue
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             words.append(page[at : m.start()])
             if depth_of_link:
@@ -105,8 +103,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in SILENT and tag != "head":
             if tag in BLOCKS:
                 flush()
-            if not m[3].rstrip().endswith("/"):
-                silent_until = tag
+            if not m[3].rstrip().endswith("/") and tag not in open_ended:
+                # what is inside is no markup to this: only the element's own end tag ends it
+                if end := _END[tag].search(page, at):
+                    at = end.end()
+                elif tag in CODE:
+                    at = len(page)
+                else:
+                    open_ended.add(tag)
             continue
         if tag == "br" or tag in VOID and tag != "hr":
             words.append(" ")
@@ -125,7 +129,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag != "hr":
                 found = {w.lower() for a in _NAMES.finditer(m[3]) for w in _PIECES.findall(a[2] or a[3] or a[4] or "")}
                 stack.append((tag, frozenset(found), tag == "head" or bool(_HIDDEN.search(m[3]))))
-    if silent_until is None and at < len(page):
+    if at < len(page):
         words.append(page[at:])
     flush()
     return out
@@ -145,7 +149,7 @@ def _local(block: Block, at: int, total: int) -> list[str]:
     out.append("link:" + str(min(4, int(5 * block.linked / max(1, n)))))
     out.append("end:" + str(bool(_ENDS.search(block.text))))
     out.append("place:" + str(min(3, 4 * at // max(1, total))))
-    if _NOTICE.search(block.text[:400]):
+    if _NOTICE.search(block.text):
         out.append("notice")
     if "©" in block.text:
         out.append("legal")

@@ -462,3 +462,16 @@ def test_blocks_ends_and_repeats_are_found_as_scattered_edits_are(spark):
             other = base + base[:12] * 30
         texts[i], texts[i + 1] = " ".join(base), " ".join(other)
     assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(0, 720, 2))
+
+
+def test_scripts_end_at_their_own_tag_and_whole_blocks_are_read():
+    article = "<article><p>First words of the article.</p><p>More words of it.</p></article>"
+    for code in ("<script>for(i=0;i<n;i++){f()}</script>", "<script>if(a<b){s='it\"s'}</SCRIPT >", "<style>/* <x ' */</style>", "<select><option>a</select>", "<svg><title>t</title>"):
+        texts = [b.text for b in html_text.leaf_blocks(f"<body>{code}{article}</body>")]
+        assert texts[-2:] == ["First words of the article.", "More words of it."] and "f()" not in " ".join(texts)
+    for tag in ("math", "object", "noscript"):
+        page = f"<body><{tag}><p>Inside it.</p></{tag}><p>After it.</p>"
+        assert [b.text for b in html_text.leaf_blocks(page)] == ["Inside it.", "After it."]
+        assert [b.text for b in html_text.leaf_blocks(page.replace(f"</{tag}>", ""))] == ["Inside it.", "After it."]
+    late = html_text.leaf_blocks("<p>" + "word " * 200 + "all rights reserved")
+    assert "notice" in html_text.features(late)[0]
