@@ -6,8 +6,8 @@ the mean, the largest and the smallest of its chunks' pooled values, and two of
 them into a probability. The smallest tells what a text lacks: one that repeats itself never shows most of the usual
 patterns, while a short one has no room for them, which its length tells.
 
-The network is trained on the driver by Adam on at most SAMPLE documents of each label, each by at most TRAIN_BLOCKS
-consecutive blocks (scoring takes all of them); its parameters are some twenty thousand numbers.
+The network is trained on the driver by Adam on the whole texts of at most SAMPLE documents of each label, convolved in pieces
+as in scoring; its parameters are some twenty thousand numbers.
 
 Defined cases: null and empty texts are one chunk of zero bytes; the last block is filled with zero bytes, in training too;
 without labels of both kinds every score is the prior (0 if there is none); repeated rows are scored each; an empty
@@ -28,7 +28,7 @@ from .labelled import sample
 
 SAMPLE = {1: 2400, 0: 1400}
 BLOCK, KERNEL, FILTERS, HIDDEN = 256, 5, 16, 16
-EPOCHS, BATCH, RATE, TRAIN_BLOCKS = 10, 32, 0.01, 12
+EPOCHS, BATCH, RATE = 10, 32, 0.01
 #: Blocks convolved at a time: bounds memory for any length of text and keeps the sums in cache.
 AT_ONCE = 64
 
@@ -55,16 +55,31 @@ def _convolved(tables: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pooled_blocks(tables: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The largest value of each filter in each block."""
-    out = np.empty((n, FILTERS), dtype=np.float32)
+def _pieces(tables: np.ndarray, data: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """From which block to which, and their values by block, place and filter; AT_ONCE blocks at a time."""
     for at in range(0, n, AT_ONCE):
         m = min(AT_ONCE, n - at)
         part = _convolved(tables, data[at * BLOCK : (at + m) * BLOCK + KERNEL - 1], m * BLOCK)
-        out[at : at + m] = part.reshape(m, BLOCK, FILTERS).max(axis=1)
+        yield at, at + m, part.reshape(m, BLOCK, FILTERS)
+
+
+def pooled_blocks(tables: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    """The largest value of each filter in each block."""
+    out = np.empty((n, FILTERS), dtype=np.float32)
+    for a, b, part in _pieces(tables, data, n):
+        out[a:b] = part.max(axis=1)
     return out
 
 
+def pooled_places(tables: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each filter in each block, and its place there."""
+    out, place = np.empty((n, FILTERS), dtype=np.float32), np.empty((n, FILTERS), dtype=np.int64)
+    for a, b, part in _pieces(tables, data, n):
+        place[a:b] = part.argmax(axis=1)
+        out[a:b] = np.take_along_axis(part, place[a:b, None], axis=1)[:, 0]
+    return out, place
+
+
 class ByteNetwork:
     """tables: KERNEL x 256 x FILTERS; a hidden layer of HIDDEN; ``prior``: the score, if nothing could be learned."""
 
@@ -97,9 +112,7 @@ def _gradient(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, int]], y: n
     cols = np.arange(FILTERS)
     pooled, places, zs, picks = [], [], [], []
     for data, n in docs:
-        out = _convolved(p["tables"], data, n * BLOCK).reshape(n, BLOCK, FILTERS)
-        place = out.argmax(axis=1)
-        blocks = np.take_along_axis(out, place[:, None], axis=1)[:, 0]
+        blocks, place = pooled_places(p["tables"], data, n)
         second = blocks[1:] > blocks[:-1]
         raw = np.where(second, blocks[1:], blocks[:-1]) + p["shift"]
         chunks = np.maximum(raw, 0)
@@ -152,20 +165,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> ByteNetwork:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label: str = "quality", most: dict[int, int] | None = None, seed: int = 11) -> ByteNetwork:
-    """Fit on a bounded sample, of each text at most TRAIN_BLOCKS blocks, from a place its id gives."""
-    limit = TRAIN_BLOCKS * BLOCK
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                at = int(np.random.default_rng([seed, abs(doc_id)]).integers(0, max(1, len(raw) - limit + 1)))
-                parts.append(raw[at : at + limit].decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string()), batch.column(2)], ["doc_id", "text", "label"])
-
+    """Fit on the whole texts of a bounded sample of rows."""
     chosen = sample(docs, labels, label, F.lit(True) if usable is None else usable, most or SAMPLE, seed)
-    rows = chosen.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, text string, label int").collect()
+    rows = chosen.select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], np.array([r.label for r in rows], dtype=int), seed)
 

@@ -475,3 +475,22 @@ def test_scripts_end_at_their_own_tag_and_whole_blocks_are_read():
         assert [b.text for b in html_text.leaf_blocks(page.replace(f"</{tag}>", ""))] == ["Inside it.", "After it."]
     late = html_text.leaf_blocks("<p>" + "word " * 200 + "all rights reserved")
     assert "notice" in html_text.features(late)[0]
+
+
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, labels, seed: seen.update(zip(texts, labels.tolist(), strict=True)))
+    texts = {i: f"text {i} " + "some words " * 3000 + f"end {i % 2}" for i in range(1, 9)} | {9: "short"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, quality int"))
+    assert seen == {t: i % 2 for i, t in texts.items()}
+
+
+def test_gradient_in_pieces_is_that_of_the_whole(monkeypatch):
+    params = quality._start(np.random.default_rng(1))
+    docs = [quality.blocks_of(prose(random.Random(i), 2000)) for i in range(4)]
+    y, weight = np.array([0, 1, 0, 1]), np.ones(4)
+    whole = quality._gradient(params, docs, y, weight)
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    pieces = quality._gradient(params, docs, y, weight)
+    assert all(np.allclose(whole[k], pieces[k], atol=1e-6) for k in whole)
