@@ -1,18 +1,18 @@
 """Near-duplicates by SimHash, found with vantage-point trees over Hamming distance.
 
-A fingerprint has ``64 * width`` bits; bit i is set if it is set in over half of the hashes of the text's word shingles.
-Equal fingerprints are one class; only classes are searched.
+A fingerprint has 64 bits; bit i is set if it is set in over half of the hashes of the text's word shingles. Equal
+fingerprints are one class; only classes are searched.
 
-The search is a forest. Two fingerprints within ``radius`` bits of each other are cut into more bands than that, so in
-some band their distance is 0, and the tree of a band prunes at radius 0: from a vantage point at distance d, the
-triangle bound |d(x,v) - d(y,v)| <= 0 leaves only the ring that x lies on, and rings around enough vantage points pin
-down the band's value. A shard of a band's tree is therefore one value of that band, without overlap. Shards that a
-bounded sample finds crowded are split further by binary vantage-point nodes over the whole fingerprint: inside the ball
-of radius mu around v or outside, and a fingerprint within ``radius`` of that boundary (d - radius <= mu, d + radius > mu)
-goes to both sides, so that every close pair meets in some shard. A split that would send most of its points to both sides is not made.
+The search is a forest of one tree a band of the fingerprint. Of two fingerprints within ``radius`` bits, some band differs in
+``radius // bands`` bits at most, so the tree of that band prunes with this smaller radius. A node has a vantage point v and a
+threshold mu: a point at band distance d from v goes inside if d <= mu, else outside, and an inside point within the
+radius of the boundary (d + radius > mu) goes outside as well. By the triangle bound |d(x,v) - d(y,v)| <= d(x,y) every close
+pair then meets in some leaf. The upper part of each tree is grown on a bounded sample and deals the fingerprints to shards; a
+shard's task goes on splitting in the same way, with vantage points of its own, until at most BASE points are left, which are compared
+directly. A split that would not shrink both sides is not made; points that no split tells apart are searched breadth first.
 
-Within a shard a spanning forest of the links is kept, nearest first, not all pairs: a group of copies gives as many links as members.
-With bands of fewer than ``radius + 1`` the search is not exact. ``deduplicated`` does not search fingerprints (see ``set_join``).
+Within a leaf a spanning forest of the links is kept, not all pairs: a group of copies gives as many links as members.
+The search is exact for every number of rows. ``deduplicated`` takes its first candidates from it (see ``set_join``).
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; a text
 of fewer words than a shingle is one shingle; repeated rows share a class and all are returned; a null doc_id never
@@ -30,30 +30,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import majority, materialize, text_of
 from .components import connected_components
 from .set_join import similar_groups
 
 
 @dataclass(frozen=True)
 class Search:
-    """shingle: words in a shingle. width: 64-bit words in a fingerprint. bands: (first bit, bits) of each tree's band.
-    radius: links have at most so many differing bits. leaf: a shard expected to hold more is split. sample: how many
-    fingerprints, about, the driver reads to find crowded shards and to place vantage points."""
+    """shingle: words in a shingle. bands: equal parts of the fingerprint, a tree each. radius: links have at most so many differing
+    bits. leaf: a shard expected to hold more points is split, if the sample has LEAST_SAMPLED of them. sample: how many fingerprints,
+    about, the driver reads to place vantage points."""
 
     shingle: int = 3
-    width: int = 1
-    bands: tuple[tuple[int, int], ...] = ((0, 16), (16, 16), (32, 16), (48, 16))
+    bands: int = 2
     radius: int = 3
-    leaf: int = 20_000
-    sample: int = 20_000
+    leaf: int = 256
+    sample: int = 1 << 16
 
 
-#: As the query contract has it: exact, four bands against three bits.
+#: As the query contract has it.
 EXACT = Search()
-#: The similarity of texts that ``deduplicated`` links, and its shingle; found by an exact join of the sets, not by fingerprints.
+#: The similarity of texts that ``deduplicated`` links, and its shingle.
 SIMILAR, SIMILAR_SHINGLE = 0.8, 5
-_SEED, _STEP = 42, 1 << 15
+#: Points compared directly; sampled points that a node of the dealing tree needs; vantage points tried a node.
+BASE, LEAST_SAMPLED, TRIED = 128, 32, 6
+_SEED = 42
 
 
 def words(text: str) -> list[bytes]:
@@ -71,86 +72,85 @@ def shingles(found: list[bytes], k: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
 
 
-def _mix(h: np.ndarray, j: int) -> np.ndarray:
-    """The j-th 64-bit word made of a 64-bit hash; the first is the hash itself."""
-    if not j:
-        return h
-    z = h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint(text: str | None, shingle: int, width: int) -> bytes:
+def fingerprint(text: str | None, shingle: int) -> bytes:
     """The fingerprint, most significant byte first."""
     found = shingles(words(text or ""), shingle)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, _SEED) for s in found), dtype="<u8", count=len(found))
-    counts = np.zeros(64 * width, dtype=np.int64)
-    for at in range(0, len(hashes), _STEP):  # bounded memory for any length of text
-        part = hashes[at : at + _STEP]
-        for j in range(width):
-            bits = np.unpackbits(_mix(part, j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[64 * j : 64 * j + 64] += bits.sum(axis=0, dtype=np.int64)
-    words_ = np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
-    return words_.astype(">u8").tobytes()
+    return majority(np.fromiter((digest(s, _SEED) for s in found), dtype="<u8", count=len(found))).to_bytes(8, "big")
 
 
 def fingerprints(docs: DataFrame, search: Search) -> DataFrame:
     """doc_id, th (a hash of the text, to find the row again) and fp of every row."""
-    shingle, width = search.shingle, search.width
+    shingle = search.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle, width) for t in batch.column(2)]
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], ["doc_id", "th", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, th bigint, fp binary")
 
 
-def _matrix(fps: list[bytes] | np.ndarray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(fps), dtype=">u8").reshape(-1, width).astype(np.uint64)
+def points_of(fps: list[bytes] | np.ndarray) -> np.ndarray:
+    """Fingerprints as numbers."""
+    return np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64)
+
+
+def bytes_of(points: np.ndarray) -> pa.Array:
+    """Numbers as fingerprints."""
+    data = pa.py_buffer(points.astype(">u8").tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(points), [None, data]).cast(pa.binary())
+
+
+def mask_of(band: int, bands: int) -> np.uint64:
+    """The bits of a band."""
+    first, last = 64 * band // bands, 64 * (band + 1) // bands
+    return np.uint64(((1 << last) - 1) ^ ((1 << first) - 1))
+
 
+def _distances(points: np.ndarray, to: np.uint64, mask: np.uint64) -> np.ndarray:
+    return np.bitwise_count((points ^ to) & mask)
 
-def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(points ^ to).sum(axis=1, dtype=np.int32)
 
+def _split(points: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.uint64, int] | None:
+    """The vantage point and threshold, among a few tried, that leave the fewest pairs to compare; None if none shrinks both sides."""
+    n, best = len(points), None
+    for v in points[np.linspace(0, n - 1, TRIED).astype(int)]:
+        up_to = np.cumsum(np.bincount(_distances(points, v, mask), minlength=66 + radius))
+        mu = np.arange(65)
+        inside = up_to[mu]
+        outside = n - np.where(mu >= radius, up_to[mu - radius], 0)
+        cost = inside.astype(float) ** 2 + outside.astype(float) ** 2
+        cost[(inside > 0.9 * n) | (outside > 0.9 * n)] = np.inf
+        i = int(np.argmin(cost))
+        if cost[i] < 0.85 * n**2 and (best is None or cost[i] < best[0]):
+            best = (cost[i], v, i)
+    return best and (best[1], best[2])
 
-def band_values(points: np.ndarray, first: int, bits: int) -> np.ndarray:
-    """Bits ``first`` to ``first + bits`` of each fingerprint, as a number."""
-    word, shift = divmod(first, 64)
-    value = points[:, word] >> np.uint64(shift)
-    if shift + bits > 64:
-        value = value | (points[:, word + 1] << np.uint64(64 - shift))
-    return (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+def _sides(d: np.ndarray, mu: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which points go inside, and which outside: those beyond the threshold, and those so near to it that a close one may be."""
+    return d <= mu, d.astype(np.int64) + radius > mu
 
 
 class Tree:
-    """Binary vantage-point nodes over a sample; ``leaves`` counts its shards."""
+    """The dealing part of a band's tree, grown on a sample; ``leaves`` counts its shards."""
 
-    def __init__(self, sample: np.ndarray, radius: int, least: int) -> None:
-        self.radius, self.leaves = radius, 0
-        self.root = self._grow(sample, max(least, 8))
+    def __init__(self, sample: np.ndarray, part: float, mask: np.uint64, radius: int, leaf: int) -> None:
+        self.mask, self.radius, self.leaves = mask, radius, 0
+        self.root = self._grow(sample, max(LEAST_SAMPLED, int(leaf * part)))
 
     def _grow(self, points: np.ndarray, least: int) -> tuple | int:
-        split = None
-        if len(points) > least:
-            for v in points[np.linspace(0, len(points) - 1, 8).astype(int)]:
-                d = _distances(points, v)
-                mu = int(np.median(d))
-                both = float(np.mean((d - self.radius <= mu) & (d + self.radius > mu)))
-                inside = float(np.mean(d <= mu))
-                if 0.1 < inside < 0.9 and both < 0.7 and (split is None or both < split[0]):
-                    split = (both, v, mu, d)
+        split = _split(points, self.mask, self.radius) if len(points) > least else None
         if split is None:
             self.leaves += 1
             return self.leaves - 1
-        _, v, mu, d = split
-        return v, mu, self._grow(points[d <= mu], least), self._grow(points[d > mu], least)
+        inside, outside = _sides(_distances(points, split[0], self.mask), split[1], self.radius)
+        return *split, self._grow(points[inside], least), self._grow(points[outside], least)
 
     def route(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """(indexes, leaf): each point's own leaf and those its ball of ``radius`` reaches."""
+        """(indexes, leaf) of the points that go to a leaf."""
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             node, at = todo.pop()
@@ -159,122 +159,108 @@ class Tree:
             if isinstance(node, int):
                 yield at, node
                 continue
-            v, mu, inside, outside = node
-            d = _distances(points[at], v)
-            todo += [(inside, at[d - self.radius <= mu]), (outside, at[d + self.radius > mu])]
-
-
-def _crowded(classes: DataFrame, search: Search) -> dict[tuple[int, int], Tree]:
-    """Trees for the shards (band, value) that a sample of bounded size expects to hold more than ``leaf``."""
-    total = classes.count()
-    if total <= search.leaf:
-        return {}
-    grid = 1 << 30
-    part = min(1.0, search.sample / total)
-    rows = classes.where(F.pmod(F.xxhash64("fp"), F.lit(grid)) < int(part * grid)).select("fp").collect()
-    points = _matrix([bytes(r.fp) for r in rows], search.width)
-    trees = {}
-    for b, (first, bits) in enumerate(search.bands):
-        values, inverse, counts = np.unique(band_values(points, first, bits), return_inverse=True, return_counts=True)
-        for i in np.flatnonzero((counts / part > search.leaf) & (counts >= 16)):
-            tree = Tree(points[inverse == i], search.radius, int(search.leaf * part))
-            if tree.leaves > 1:
-                trees[b, int(values[i])] = tree
-    return trees
+            v, mu, in_, out = node
+            inside, outside = _sides(_distances(points[at], v, self.mask), mu, self.radius)
+            todo += [(in_, at[inside]), (out, at[outside])]
+
+
+def grow(classes: DataFrame, search: Search) -> list[Tree]:
+    """A tree a band over ``classes.fp``, from a sample of bounded size."""
+    total, grid = classes.count(), 1 << 30
+    part = min(1.0, search.sample / max(1, total))
+    rows = classes.where(F.pmod(F.xxhash64("fp"), F.lit(grid)) < int(part * grid)).select("fp").toArrow()
+    points = points_of(rows.column(0).to_pylist())
+    return [Tree(points, part, mask_of(b, search.bands), search.radius // search.bands, search.leaf) for b in range(search.bands)]
+
+
+_ALL = np.uint64((1 << 64) - 1)
 
 
 def forest(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to) of a spanning forest of the pairs within ``radius``, nearest first (Prim); memory linear in points."""
-    n = len(points)
-    best, parent = np.full(n, 1 << 20, dtype=np.int32), np.zeros(n, dtype=np.int64)
-    rest, out = np.arange(1, n), []
-    now = 0
+    """Links (from, to) of a spanning forest of the pairs within ``radius``, breadth first; memory linear in points."""
+    rest, a, b = np.arange(len(points)), [], []
     while len(rest):
-        d = _distances(points[rest], points[now])
-        nearer = d < best[rest]
-        best[rest[nearer]], parent[rest[nearer]] = d[nearer], now
-        i = int(np.argmin(best[rest]))
-        now = int(rest[i])
-        if best[now] <= radius:
-            out.append((int(parent[now]), now))
-        rest = np.delete(rest, i)
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-#: Shards up to this size are compared side by side in one go; larger ones alone.
-_SMALL = 256
-
-
-def _links_of(shards: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within shards; rows come sorted by shard."""
-    cuts = np.flatnonzero(np.diff(shards)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(shards)]))
-    sizes = ends - starts
-    hit = sizes > _SMALL
-    small = np.repeat(sizes <= _SMALL, sizes)
-    number = np.repeat(np.arange(len(starts)), sizes)
-    at = np.flatnonzero(small)
-    for k in range(1, min(_SMALL, int(sizes.max()))):
-        at = at[at + k < ends[number[at]]]
-        if not len(at):
-            break
-        near = _distances(points[at], points[at + k]) <= radius
-        hit[number[at[near]]] = True
-    a, b = [], []
-    for i in np.flatnonzero(hit):
-        x, y = forest(points[starts[i] : ends[i]], radius)
-        a.append(x + starts[i])
-        b.append(y + starts[i])
+        queue, rest = [rest[:1]], rest[1:]
+        while queue and len(rest):
+            for i in queue.pop():
+                near = _distances(points[rest], points[i], _ALL) <= radius
+                if near.any():
+                    found, rest = rest[near], rest[~near]
+                    a.append(np.full(len(found), i))
+                    b.append(found)
+                    queue.append(found)
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(classes: DataFrame, search: Search) -> DataFrame:
-    """a, b: links between distinct fingerprints ``classes.fp``; a spanning forest of each shard."""
-    trees = _crowded(classes, search)
-    width, bands, radius = search.width, search.bands, search.radius
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(fps):
+def links_within(points: np.ndarray, mask: np.uint64, radius: int, band_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among the points of a shard that a band's tree finds: split on the band, then, where that tells no more apart, on
+    the whole fingerprint; leaves are compared as a whole."""
+    todo = [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        x = points[at]
+        if len(at) <= BASE:
+            if np.count_nonzero(np.bitwise_count(x[:, None] ^ x) <= radius) == len(at):
                 continue
-            points = _matrix(fps, width)
-            for b, (first, bits) in enumerate(bands):
-                values = band_values(points, first, bits)
-                parts = []
-                split = [v for (band, v) in trees if band == b]
-                plain = np.flatnonzero(~np.isin(values, split))
-                parts.append((plain, (b << 48) | (values[plain] << 24)))
-                for v in split:
-                    own = np.flatnonzero(values == v)
-                    parts += [(own[at], np.full(len(at), (b << 48) | (v << 24) | leaf, dtype=np.int64)) for at, leaf in trees[b, v].route(points[own])]
-                at, shard = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(fps[at], pa.binary())], ["shard", "fp"])
+            split = None
+        else:
+            by, reach = mask, band_radius
+            split = _split(x, by, reach)
+            if split is None:
+                by, reach = _ALL, radius
+                split = _split(x, by, reach)
+        if split is None:
+            a, b = forest(x, radius)
+            if len(a):
+                yield at[a], at[b]
+        else:
+            inside, outside = _sides(_distances(x, split[0], by), split[1], reach)
+            todo += [at[inside], at[outside]]
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_shards, kept_fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
 
-        def found(shards: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(shards):
-                a, b = _links_of(shards, _matrix(fps, width), radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(fps[a], pa.binary()), pa.array(fps[b], pa.binary())], ["a", "b"])
+def deal(classes: DataFrame, trees: list[Tree]) -> DataFrame:
+    """shard, fp: every fingerprint in each shard of each tree that it goes to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = np.concatenate((kept_shards, batch.column(0).to_numpy(zero_copy_only=False)))
-            fps = np.concatenate((kept_fps, batch.column(1).to_numpy(zero_copy_only=False)))
-            if not len(shards):
+            points = points_of(batch.column(0).to_pylist())
+            for b, tree in enumerate(trees):
+                routed = list(tree.route(points))
+                if routed:
+                    shards = np.concatenate([np.full(len(at), (b << 48) | leaf, dtype=np.int64) for at, leaf in routed])
+                    yield pa.RecordBatch.from_arrays([pa.array(shards), bytes_of(points[np.concatenate([at for at, _ in routed])])], ["shard", "fp"])
+
+    return classes.select("fp").mapInArrow(run, "shard bigint, fp binary")
+
+
+def links(classes: DataFrame, search: Search) -> DataFrame:
+    """a, b: links between distinct fingerprints ``classes.fp``; a spanning forest of each leaf."""
+    trees = grow(classes, search)
+    masks, radius, band_radius = [t.mask for t in trees], search.radius, search.radius // search.bands
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(shard: int, points: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in links_within(points, masks[shard >> 48], radius, band_radius):
+                yield pa.RecordBatch.from_arrays([bytes_of(points[a]), bytes_of(points[b])], ["a", "b"])
+
+        held: list[np.ndarray] = []
+        now = -1
+        for batch in batches:  # sorted by shard; the last one of a batch may go on in the next
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(shards, shards[-1]))  # the last shard may go on in the next batch
-            yield from found(shards[:last], fps[:last])
-            kept_shards, kept_fps = shards[last:], fps[last:]
-        yield from found(kept_shards, kept_fps)
+            shards, points = batch.column(0).to_numpy(), points_of(batch.column(1).to_pylist())
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if int(shards[x]) != now and held:
+                    yield from found(now, np.concatenate(held))
+                    held = []
+                now = int(shards[x])
+                held.append(points[x:y])
+        if held:
+            yield from found(now, np.concatenate(held))
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard bigint, fp binary")
-    # half the bands' values at most are ever seen more than once; a shard's rows come together, sorted, and stream through
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "a binary, b binary").distinct()
+    return deal(classes, trees).repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, search: Search = EXACT) -> DataFrame:
@@ -293,15 +279,32 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, at_least: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """``docs`` without all but one document of each group of texts linked by so similar shingle sets: the one of the smallest doc_id."""
-    groups = similar_groups(docs.select("doc_id", "text"), at_least, shingle)
+    """``docs`` without all but one document of each group of texts linked by so similar shingle sets: the one of the smallest doc_id.
+
+    Of rows equal in doc_id and text, that whose other columns come first in order is kept. Null and empty texts are alike.
+    """
+    groups = similar_groups(docs.select("doc_id", "text"), at_least, shingle, fingerprint_links)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
-    # a row is known by two hashes of 64 bits; joined and made distinct on the same two, texts are shuffled once
-    key = lambda th: F.xxhash64("doc_id", th, F.lit(7)).alias("_key")
-    first = first.select(key("th"), F.col("th").alias("_own")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64(text_of()))
-    kept = marked.select("*", key("_own")).join(first, ["_key", "_own"], "left_semi")
-    return kept.dropDuplicates(["_key", "_own"]).select(*docs.columns)
+    # a row is known by two hashes of 64 bits; joined and grouped on the same two, texts are shuffled once
+    key = lambda id, th: F.xxhash64(id, th, F.lit(7))
+    first = first.select(key(F.col("doc_id"), F.col("th")).alias("k"), F.col("th").alias("own")).distinct()
+    th = F.xxhash64(F.coalesce("d.text", F.lit("")))
+    marked = docs.select(F.struct("*").alias("d")).withColumn("own", th).withColumn("k", key(F.col("d.doc_id"), F.col("own")))
+    kept = marked.join(first, ["k", "own"], "left_semi")
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    order = F.struct(*[F.col(f"d.`{c}`") for c in rest], F.lit(0).alias("z"))
+    return kept.groupBy("k", "own").agg(F.min_by("d", order).alias("d")).select("d.*")
+
+
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of ``nodes`` (node, fp) to be checked, as vantage-point trees find them: each node with the first of its
+    fingerprint, and the first ones of linked fingerprints."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    near = links(first, EXACT)
+    same = nodes.join(first.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    x = first.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
+    y = first.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
+    return same.unionByName(near.join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
 
 
 def query(docs: DataFrame) -> DataFrame:
