@@ -191,18 +191,49 @@ def clustered(n, seed):
     return sorted(out)
 
 
-def test_crowded_shards_are_split_without_losing_a_link(spark):
-    fps = clustered(900, 3)
-    classes = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary")
-    search = simhash.Search(leaf=60, sample=10_000)
-    trees = simhash._crowded(classes, search)
-    assert max(t.leaves for t in trees.values()) > 3
-    links = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash.links(classes, search).collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+def _int(fp):
+    return int.from_bytes(fp, "big")
+
+
+@pytest.mark.parametrize(("n", "search"), [(900, simhash.Search(leaf=60)), (1000, simhash.EXACT), (900, simhash.Search(bands=1, leaf=60)), (900, simhash.Search(bands=4, radius=5)), (900, simhash.Search(sample=200, leaf=20))])
+def test_trees_lose_no_link(spark, n, search):
+    """Every close pair meets in a shard that the trees deal to, at any size of sample, and the links join what is close."""
+    fps = clustered(n, 3)
+    classes = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary").repartition(3)
+    trees = simhash.grow(classes, search)
+    assert len(trees) == search.bands and max(t.leaves for t in trees) >= 3
+    shards = {}
+    for r in simhash.deal(classes, trees).collect():
+        shards.setdefault(_int(r.fp), set()).add(r.shard)
+    sizes = Counter(s for own in shards.values() for s in own)
+    assert len(shards) == n and min(max(size for s, size in sizes.items() if s >> 48 == b) for b in range(search.bands)) < n
     x = np.array(fps, dtype=np.uint64)
-    near = {(fps[i], fps[j]) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3) if i < j}
-    pairs = {(min(p), max(p)) for p in links}
-    assert components_of(fps, lambda a, b: (a, b) in near) == components_of(fps, lambda a, b: (a, b) in pairs)
+    near = {(fps[i], fps[j]) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= search.radius) if i < j}
+    assert near and all(shards[a] & shards[b] for a, b in near)
+    links = {(min(_int(r.a), _int(r.b)), max(_int(r.a), _int(r.b))) for r in simhash.links(classes, search).collect()}
+    assert links <= near
+    assert components_of(fps, lambda a, b: (a, b) in near) == components_of(fps, lambda a, b: (a, b) in links)
+
+
+def test_shards_stay_even_as_fingerprints_grow():
+    rng = np.random.default_rng(2)
+    largest = {}
+    for n in (20_000, 200_000):
+        points = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        sample = points[: 1 << 14]
+        tree = simhash.Tree(sample, len(sample) / n, simhash.mask_of(0, 2), 1, 256)
+        sizes = [len(at) for at, _ in tree.route(points)]
+        largest[n] = max(sizes)
+        assert max(sizes) < 8 * np.mean(sizes) and sum(sizes) < 12 * n
+    assert largest[200_000] < 0.02 * 200_000
+
+
+def test_points_that_no_split_tells_apart_are_searched():
+    fps = np.unique(np.array([0] + [(1 << i) | (1 << j) for i in range(40) for j in range(40)], dtype=np.uint64))
+    a, b = (np.concatenate(x) for x in zip(*simhash.links_within(fps, simhash.mask_of(0, 1), 3, 3), strict=True))
+    assert all((int(fps[i]) ^ int(fps[j])).bit_count() <= 3 for i, j in zip(a, b, strict=True))
+    pairs = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert set(components_of(range(len(fps)), lambda i, j: (i, j) in pairs).values()) == {0}
 
 
 def test_deduplicated_keeps_one_of_each_group(docs, none):
@@ -245,6 +276,43 @@ def test_fingerprints_and_edits(spark, docs, none):
     assert sketches.containment(a, sketches.merged(a, b)) == 1.0
 
 
+def brute_sketch(text):
+    """The rule again, on Python sets and big integers."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    values = sorted({xxhash.xxh64_intdigest(s.encode(), 5) >> 32 for s in found})
+    below = [v for v in values if v < 2**30]
+    return below if len(below) >= 16 else values[:16]
+
+
+def test_sketches_follow_their_rule_and_likeness_stays_within_one():
+    rnd = random.Random(12)
+    texts = ["", "one", "One two", *[prose(rnd, n) for n in (3, 9, 20, 21, 60, 70, 500, 3000)]]
+    for t in texts:
+        assert sketches.sketch(t).tolist() == brute_sketch(t)
+    for i, x in enumerate(texts):
+        for y in texts[i:]:
+            both = set(brute_sketch(x + " # # # # # " + y))
+            assert 0 <= sketches.containment(sketches.sketch(x), sketches.sketch(y)) <= 1
+            assert both >= {v for v in sketches.merged(sketches.sketch(x), sketches.sketch(y)).tolist() if v < 2**30} or not x or not y or len(x.split()) < 5 or len(y.split()) < 5
+    a, b = prose(rnd, 12), prose(rnd, 3)
+    assert sketches.containment(sketches.sketch(a), sketches.sketch(a + " " + b)) == 1.0
+    long = " ".join(map(str, np.random.default_rng(1).integers(0, 1 << 40, 2_000_000)))
+    kept = sketches.sketch(long)
+    assert len(np.unique(kept)) == len(kept) > 490_000 and sketches.containment(kept, kept) == 1.0
+
+
+def test_neighbours_of_equal_ids_follow_their_texts(spark):
+    texts = [f"text {i} of many under one id " * 3 for i in range(300)]
+    rows = [(7, t) for t in texts] + [(None, t) for t in texts[:50]] + [(8, "the last")] * 3
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sketches.fingerprint_documents(frame, 20).collect()
+    th = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, th[r[1]]))
+    sha = Counter((i, hashlib.sha256(sketches.edited(t, n).encode()).hexdigest()) for (i, t), (_, n) in zip(want, want[1:] + want[:1], strict=True))
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == sha
+
+
 # Neighbours
 
 
@@ -429,7 +497,7 @@ def test_texts_of_one_fingerprint_are_checked(spark):
     filler = "0 " * 4000
     texts = {i: filler + prose(rnd, 120) for i in range(1, 7)} | {7: ". " * 3000, 8: ". " * 3000 + prose(rnd, 90)}
     texts |= {9: texts[3], 10: texts[4] + " " + prose(rnd, 4), 11: texts[7].replace(". ", ".\n"), 12: "0 " * 9000 + texts[5].removeprefix(filler)}
-    assert len({simhash.fingerprint(texts[i], 3, 4) for i in range(1, 7)}) == 1
+    assert len({simhash.fingerprint(texts[i], 3) for i in range(1, 7)}) == 1
     assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(1, 9))
 
 
