@@ -44,7 +44,8 @@ def blocks_of(text: str) -> tuple[np.ndarray, int]:
 
 def of_length(data: np.ndarray, n: int) -> list[float]:
     """Two numbers for the length of a text: its logarithm, and how far it fills the first chunk."""
-    size = max(1, n * BLOCK - int(np.argmax(data[: n * BLOCK][::-1] != 0)))
+    used = data[: n * BLOCK][::-1] != 0
+    size = n * BLOCK - int(np.argmax(used)) if used.any() else 1
     return [np.log2(size) / 10, min(1.0, size / (2 * BLOCK))]
 
 
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
     """Fit on the whole texts of a bounded sample of rows."""
     chosen = sample(docs, labels, label, F.lit(True) if usable is None else usable, most or SAMPLE, seed)
     rows = chosen.select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], np.array([r.label for r in rows], dtype=int), seed)
 
 
