@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from symgraph.llm.labelled import sample as labelled_rows
 from symgraph.llm import components, html_text, mixing, neighbours, packing, pii, quality, simhash, sketches, tokens, toxicity, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, bucket string, score string"
@@ -417,22 +418,83 @@ def test_classifiers_learn_from_the_other_rows_only(spark, module, label, cut):
     flipped = labels.withColumn(label, F.when(F.col("doc_id").isin(list(held)), 1 - F.col(label)).otherwise(F.col(label)))
     again = {r.doc_id: r.score for r in module.query(docs, flipped).collect()}
     assert all(again[r.doc_id] == r.score for r in got)
-    assert max(r.score for r in module.query(docs, labels.limit(0)).collect()) < 0.001
+    assert max(r.score for r in module.query(docs, labels.limit(0)).collect()) < 0.001  # the prior
     assert module.query(docs.limit(0), labels).count() == 0
 
 
-def test_factor_terms_tell_pairs():
-    """Two words that are harmless alone and toxic together."""
-    rnd = random.Random(3)
+def pairs_of_words(kind, n, seed=3):
+    """Texts with two marked words or not, and a label that follows from both."""
+    rnd = random.Random(seed)
     texts, y = [], []
-    for _ in range(1500):
-        a, b = rnd.random() < 0.5, rnd.random() < 0.5
-        words = prose(rnd, 5).split() + ["mob"] * a + ["folk"] * b
+    for _ in range(n):
+        a, b = (rnd.random() < 0.3, rnd.random() < 0.1) if kind == "group" else (rnd.random() < 0.5, rnd.random() < 0.5)
+        words = prose(rnd, 20 if kind == "group" else 5).split() + ["mob"] * a + ["folk"] * b
         texts.append(" ".join(words))
-        y.append(int(a and b))
-    model = toxicity.fit([toxicity.terms(t) for t in texts], np.array(y))
-    score = lambda t: model.score(model.rows_of(t))
-    assert score("mob folk") > 0.5 > max(score("mob"), score("folk"))
+        label = int(a != b) if kind == "either" else int(a and b)
+        y.append(1 - label if kind == "group" and rnd.random() < 0.02 else label)
+    return texts, np.array(y)
+
+
+@pytest.mark.parametrize(("kind", "n"), [("both", 1500), ("either", 3000), ("group", 8000)])
+def test_factor_terms_tell_pairs(kind, n):
+    """Two words that are harmless alone and toxic together; toxic alone and harmless together (no word tells anything by itself);
+    a neutral word that many texts have beside a rarer one, with wrong labels among the right ones."""
+    texts, y = pairs_of_words(kind, n)
+    terms = toxicity.Terms()
+    model = toxicity.fit([terms.of(t) for t in texts], y)
+    score = lambda t: model.score(terms.of("aba ode gil tor " + t))
+    single, both = (score("mob"), score("folk")), score("mob folk")
+    assert both > 0.5 > max(single) if kind != "either" else both < 0.5 < min(single)
+    assert score("") < 0.5
+
+
+def test_machine_scores_as_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorizationMachine(-0.3, rng.normal(0, 1, toxicity.TABLE), rng.normal(0, 1, (toxicity.TABLE, toxicity.FACTORS)))
+    for text in ("", "one", "You are a walrus, a WALRUS and a Überwalross", prose(random.Random(1), 40)):
+        rows = sorted({zlib.crc32(k) % toxicity.TABLE for w in re.findall(r"\w+", text.lower()) for k in [b"w" + w.encode()] + [b"s" + w[:n].encode() for n in (4, 5) if len(w) > n]})
+        x = (1 + len(rows) / 512) ** -0.5
+        z = -0.3 + sum(model.weights[i] * x for i in rows)
+        z += sum(float(model.factors[i] @ model.factors[j]) * x * x for k, i in enumerate(rows) for j in rows[:k])
+        assert toxicity.Terms().of(text).tolist() == rows
+        assert model.score(np.array(rows, dtype=np.uint16)) == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_a_labelled_id_is_one_document(spark):
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(2, "other"), (3, None)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    rows = labelled_rows(docs, labels, "toxic", F.lit(True), {1: 1, 0: 1}, 3).collect()
+    assert sorted(r.label for r in rows) == [0, 1] and {r.doc_id for r in rows if r.label} == {1}
+
+
+def test_long_texts_repeats_and_other_columns_of_the_classifiers(spark):
+    docs, labels = labelled(spark, 200)
+    more = docs.unionByName(docs.where("doc_id < 5")).unionByName(spark.createDataFrame([(900, "word " * 400_000), (None, "no id")], "doc_id bigint, text string"))
+    for module in (toxicity, quality):
+        got = module.query(more.withColumns({"score": F.lit("x"), "label": F.lit("y"), "held_out": F.lit(1)}), labels).collect()
+        assert len(got) == more.count() and all(0 <= r.score <= 1 for r in got)
+    mine = toxicity.without_toxic(more.withColumn("_toxicity", F.lit("mine")), labels)
+    assert mine.columns == ["doc_id", "text", "_toxicity"] and {r[2] for r in mine.collect()} == {"mine"}
+
+
+def plain_score(params, text):
+    """The network again: a loop over places, no pieces."""
+    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    n = max(2, -(-len(raw) // 256))
+    data = np.concatenate((raw, np.zeros(n * 256 + 4 - len(raw), dtype=np.uint8)))
+    values = np.array([sum(params["tables"][j][data[i + j]] for j in range(5)) for i in range(n * 256)])
+    chunks = np.maximum(np.array([values[c * 256 : c * 256 + 512].max(axis=0) for c in range(n - 1)]) + params["shift"], 0)
+    size = max(1, len(raw.tobytes().rstrip(b"\0")))
+    z = np.concatenate((chunks.mean(axis=0), chunks.max(axis=0), chunks.min(axis=0), [np.log2(size) / 10, min(1.0, size / 512)]))
+    out = np.tanh(z @ params["w1"] + params["b1"]) @ params["w2"] + params["b2"][0]
+    return 1 / (1 + np.exp(-out))
+
+
+def test_network_scores_as_a_plain_convolution():
+    params = quality._start(np.random.default_rng(3))
+    params["shift"] = params["shift"] + 0.1
+    for text in ("", "a", "é" * 200, prose(random.Random(5), 300)):
+        assert quality.ByteNetwork(params).score(text) == pytest.approx(plain_score(params, text), abs=1e-5)
 
 
 def test_whole_texts_count():
