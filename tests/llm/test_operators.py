@@ -326,8 +326,8 @@ def test_neighbours_are_the_nearest(spark):
     table = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, score string").repartition(3)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
-    for block in (4096, 8):
-        found = neighbours.nearest(table, F.col("id") % 50 == 0, block=block).collect()
+    for block, cell in ((4096, 1 << 15), (8, 400)):
+        found = neighbours.nearest(table, F.col("id") % 50 == 0, block=block, cell=cell).collect()
         assert Counter(r.query_id for r in found) == {q: 5 for q in range(0, 1500, 50)}
         for q in range(0, 1500, 50):
             c = unit @ unit[q]
@@ -342,6 +342,45 @@ def test_neighbours_are_the_nearest(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.query(few).collect()) == [(0, 1, 3), (0, 2, 50), (50, 1, 3), (50, 2, 0)]
 
 
+def test_recall_over_all_rows_and_reruns(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    table = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([e for _, e in rows], dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.query(table).collect()}
+    hits = total = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        c = unit @ unit[at]
+        c[ids == ids[at]] = -9
+        fifth = np.sort(c)[-5]
+        mine = [found[ids[at], n] for n in range(1, 6)]
+        hits += sum(s >= fifth - 1e-12 for _, s in mine)
+        total += 5
+    assert hits >= 0.99 * total > 0
+    again = neighbours.nearest(table.repartition(7).select("vec_id", "embedding", F.lit(1).alias("id"), F.lit(2).alias("score")), F.col("id") % 50 == 0, block=16, cell=300)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in again.collect()} == found
+
+
+def test_repeated_query_ids_ask_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, [float(c) for c in rng.normal(size=70)]) for i in range(300)]
+    got = neighbours.query(spark.createDataFrame(rows + rows, "vec_id bigint, embedding array<double>").repartition(5)).collect()
+    assert Counter(r.query_id for r in got) == {0: 5, 50: 5} and all(r.vec_id != r.query_id for r in got)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(r.query_id, r["rank"], r.vec_id) for r in neighbours.query(spark.createDataFrame(rows[::-1] + rows, "vec_id bigint, embedding array<double>")).collect()}
+
+
+def test_bounds_hold_the_cosine():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(4000, 100)), rng.normal(size=(30, 100))
+    centre, turn = np.full(100, 0.01), neighbours.rotation(100)
+    codes, scalars = neighbours.encode(x, centre, turn)
+    asked = neighbours.Asked(q, centre, turn)
+    estimate, error = asked.bounds(codes, scalars, slice(0, 30))
+    true = neighbours._unit(q)[0] @ neighbours._unit(x)[0].T
+    assert np.mean(np.abs(estimate - true) <= error) > 0.99 and np.abs(estimate - true).mean() < 0.1
+
+
 # Packing
 
 
