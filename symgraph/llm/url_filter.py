@@ -2,7 +2,8 @@
 
 A listed rule is (host, path, verdict). It fits its host and every subdomain of it, if the url's path starts with the
 rule's path; the longest fitting rule wins. A rule's key is its host with its path up to the last slash; a url's
-candidate keys are its host's suffixes at dots with its path's prefixes at slashes. Candidates that the filter lets
+candidate keys are its host's suffixes at dots with its path's prefixes at slashes, none with more labels or slashes than the
+longest listed key has, so a long url has no more than a short one. Candidates that the filter lets
 through meet the rules in a hash join on the key itself, where the rest of the path is compared too, so a false positive of the
 filter costs a row in that join and never a wrong verdict.
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A block has 256 bits, four words of 64; a key sets two bits in each.
 WORDS, MAX_BLOCKS, BITS_A_KEY = 4, 1 << 16, 16
 #: The verdict where no listed rule fits.
@@ -53,13 +56,14 @@ def _key(host: Column, directory: Column) -> Column:
     return F.concat(host, F.lit("\n"), directory)
 
 
-def _candidates(host: Column, path: Column) -> Column:
-    labels = F.split(host, r"\.")
-    hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    # the empty prefix, then the prefix up to each slash
-    prefixes = F.transform(parts, lambda _, i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: _key(h, p))))
+def _candidates(host: Column, path: Column, labels: Column, depth: Column) -> Column:
+    """Keys of a url that a list may have whose hosts have ``labels`` labels and whose directories ``depth`` slashes at most."""
+    last = lambda n: F.call_function("substring_index", host, F.lit("."), -n)
+    cut = lambda n: F.call_function("substring_index", path, F.lit("/"), n)
+    hosts = F.transform(F.sequence(F.lit(1), labels), lambda n: F.when((n == 1) | (F.length(last(n - 1)) < F.length(host)), last(n)))
+    prefixes = F.transform(F.sequence(F.lit(0), depth), lambda n: F.when(n == 0, F.lit("")).when(F.length(cut(n)) < F.length(path), F.concat(cut(n), F.lit("/"))))
+    kept = lambda c: F.filter(c, lambda x: x.isNotNull())
+    return F.flatten(F.transform(kept(hosts), lambda h: F.transform(kept(prefixes), lambda p: _key(h, p))))
 
 
 def _block(key: Column, n: Column) -> Column:
@@ -99,17 +103,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
     """``pages`` with host, path, rule (null if none fits) and verdict. ``rules``: host, path, verdict."""
     listed = rules.select(F.translate("host", *_AZ).alias("r_host"), F.col("path").alias("r_path"), "verdict").groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))
     listed = listed.withColumn("key", _key(F.col("r_host"), _directory(F.col("r_path"))))
-    bits = bloom_filter(listed).scalar()
-    judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    parts = lambda c, by: F.size(F.split(c, by))
+    longest = listed.agg(F.max(parts("r_host", r"\.")).alias("labels"), F.max(parts(_directory(F.col("r_path")), "/") - 1).alias("depth"))
+    # one row, written once: what is read of it below is never computed again
+    head = materialize(bloom_filter(listed).withColumns({"labels": F.coalesce(longest.select("labels").scalar(), F.lit(1)), "depth": F.coalesce(longest.select("depth").scalar(), F.lit(0))}), "url-filter")
+    bits, (labels, depth) = head.select("bits").scalar(), head.select("labels", "depth").first()
+    # the caller's columns are one struct here, so that no name can clash
+    judged = pages.select(F.struct("*").alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     pairs = judged.select("host", "path").where(F.col("host") != "").distinct()
-    passed = pairs.select("host", "path", F.explode(_candidates(F.col("host"), F.col("path"))).alias("key")).where(might_contain(bits, F.col("key")))
+    passed = pairs.select("host", "path", F.explode(_candidates(F.col("host"), F.col("path"), F.lit(labels), F.lit(depth))).alias("key")).where(might_contain(bits, F.col("key")))
     fits = passed.join(listed, "key").where(F.startswith(F.col("path"), F.col("r_path")))
     rule = F.concat("r_host", "r_path")
     best = fits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("_best")
+        F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best")
     )
     out = judged.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(unlisted))}).drop("_best")
+    own = [F.col(f"page.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(unlisted)).alias("verdict"))
 
 
 def query(pages: DataFrame) -> DataFrame:
