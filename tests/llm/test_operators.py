@@ -99,6 +99,19 @@ def test_urls_are_judged_as_sql_does_and_long_lists_lose_nothing(spark, sf_dir):
     assert url_filter.query(pages.limit(0)).count() == 0
 
 
+def test_very_long_urls_and_listed_depths(spark):
+    long = "http://a.b.c.d.example.com/en/" + "s/" * 60_000 + "end"
+    rules = [("com", "/", "allow"), ("example.com", "/en/s/s/s/x", "block"), ("d.example.com", "/en/s/s/s/s", "block"), ("example.com", "/en/s", "allow"), ("EXAMPLE.com", "", "block"), ("org", "", "block")]
+    rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    urls = [long, "http://example.com", "http://example.com/", "http://org?x", "x://d.example.com/en/s/s/s/ss", "http://" + "w." * 5000 + "org/", "http://.com/", "http://com./"]
+    pages = spark.createDataFrame([(u, f"r{i}", "p") for i, u in enumerate(urls)], "url string, rule string, page string")
+    got = {r.url: (r.rule, r.verdict, r.page) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert [got[u][:2] for u in urls] == [
+        ("d.example.com/en/s/s/s/s", "block"), ("example.com", "block"), ("example.com", "block"), ("org", "block"), ("d.example.com/en/s/s/s/s", "block"), ("org", "block"), ("com/", "allow"), (None, "allow"),
+    ]
+    assert {p for *_, p in got.values()} == {"p"}
+
+
 # Mixing
 
 
