@@ -1,6 +1,7 @@
 """Packing token streams into sequences with a controlled mixture: deficit round-robin over source queues.
 
-Documents are dealt by hash to lanes of about LANE_DOCS. In a lane every source has a queue; each round gives a source
+Documents are dealt by hash to lanes of about LANE_TOKENS; rows that repeat are told apart by their number, so that they go to many
+lanes too. In a lane every source has a queue; each round gives a source
 its target share of a window in credit, and it serves pieces of at most PIECE tokens while its credit lasts. Credit
 left over, or overdrawn by nothing, is the source's deficit and carries on to the next window. Across lanes it carries
 on as well: what a source is owed at a lane's start is its share of all tokens packed before, less what it had served,
@@ -12,8 +13,8 @@ The tail of the stream, short of a window, is cut at powers of two, which need n
 Targets: by default each source's share of all tokens, the only proportions at which every document is packed and no
 source runs out before the others. ``weights`` overrides them; then sources that run out leave their share to the rest.
 
-Scale: tokens are written once and shuffled once, by lane; a worker holds one lane's tokens at a time. Sums over lanes
-have two levels. Nothing is collected.
+Scale: tokens are written once and shuffled once, by lane; a worker holds one lane's tokens at a time, and one batch. Sums over
+lanes have two levels. One number, the sum of all tokens, comes to the driver.
 
 Defined cases: a null text is empty and packs as its end id alone; a null source is a queue of its own; repeated rows are
 packed each; an empty table gives an empty result.
@@ -22,7 +23,7 @@ packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +35,32 @@ from .common import materialize, text_of
 from .mixing import _running
 from .tokens import TOKENIZER, tokenizer_for
 
-WINDOW, PIECE, LANE_DOCS, END_ID = 4096, 1024, 1024, 2
+WINDOW, PIECE, LANE_TOKENS, END_ID = 4096, 1024, 1 << 19, 2
+#: Tokens that a task reads, about, where the session's number of partitions would give it more.
+TASK_TOKENS = 1 << 25
 _COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, h (orders the rows at random, the same way every time), n, ids (little-endian, the end id last;
-    16 bits each if the vocabulary fits, else 32)."""
+    """doc_id, source, h (orders the rows at random, the same way every time), copy, n, ids (little-endian, the end id last;
+    16 bits each if the vocabulary fits, else 32). copy: how many rows of the same h the task had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_for(tokenizer)
         end = np.array([END_ID], dtype=tokens.dtype)
+        before: Counter[int] = Counter()
         for batch in batches:
+            copies = []
+            for h in batch.column(2).to_pylist():
+                copies.append(before[h])
+                before[h] += 1
             ids = [np.concatenate((x, end)) for x in tokens.ids((x.as_py() for x in batch.column(3)))]
             n = pa.array([len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "source", "h", "n", "ids"])
+            made = [pa.array(copies, pa.int64()), n, pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "source", "h", "copy", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "source", F.xxhash64("doc_id", text_of()).alias("h"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, source string, h bigint, n bigint, ids binary")
+    return rows.mapInArrow(run, "doc_id bigint, source string, h bigint, copy bigint, n bigint, ids binary")
 
 
 def round_robin(queues: dict, credit: dict, share: dict, piece: int = PIECE, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -103,8 +112,9 @@ def cut(at: int, length: int, total: int, window: int = WINDOW) -> Iterator[tupl
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, weights: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, if asked, ids."""
     tokens = materialize(tokenized(docs, tokenizer), "tokens")
-    lanes = tokens.select(F.floor(F.count("*") / LANE_DOCS).alias("n")).scalar() + 1
-    tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("h"), lanes))
+    size = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lanes = size // LANE_TOKENS + 1
+    tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("h", "copy"), F.lit(lanes)))
     sums = materialize(tokens.groupBy("lane", "source").agg(F.sum("n").alias("n")), "lane-sums")
     total = sums.select(F.sum("n")).scalar()
     per = sums.groupBy("source").agg(F.sum("n").alias("_all"))
@@ -120,7 +130,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, weights: dict[str, float]
     none = lambda kind: F.lit(None).cast(kind)
     heads = heads.select("lane", F.lit(0).alias("kind"), "source", none("bigint").alias("h"), none("bigint").alias("doc_id"), F.col("begins").alias("n"), none("binary").alias("ids"), "share", (F.col("share") * F.col("begins") - F.col("served")).alias("carry"), F.coalesce(total, F.lit(0)).alias("total"))
     rows = tokens.select("lane", F.lit(1).alias("kind"), "source", "h", "doc_id", "n", "ids", none("double").alias("share"), none("double").alias("carry"), none("bigint").alias("total"))
-    dealt = heads.unionByName(rows).repartition("lane").sortWithinPartitions("lane", "kind", "source", "h", "doc_id")
+    every, tasks = heads.unionByName(rows), size // TASK_TOKENS + 1
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (every.repartition(tasks, "lane") if tasks > usual else every.repartition("lane")).sortWithinPartitions("lane", "kind", "source", "h", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, kept = None, []
