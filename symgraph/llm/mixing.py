@@ -10,7 +10,7 @@ target exceeds MOST times its source's words; the excess goes to the others by w
 which all fit, found by sorting the sources by what they can hold a weight).
 
 Scale: every running sum has two levels, over buckets of bounded size and within one, so a source holding a third of
-all rows is spread over as many tasks as its size asks for. Slots find their source by an equi-join on a bin of the unit interval;
+all rows is spread over as many tasks as its size asks for; sources themselves are put in order by ranges, so there may be many. Slots find their source by an equi-join on a bin of the unit interval;
 low-discrepancy points fill the bins evenly.
 
 Defined cases: a null text has no words; documents without words, and sources without any, are returned with zeros; a
@@ -41,22 +41,32 @@ def sized(docs: DataFrame, th: Column | None = None) -> DataFrame:
     return docs.select("doc_id", "source", (F.lit(0).cast("long") if th is None else th).alias("th"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
+def _ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``bucket``, numbers of ranges of ``order``, and ``one``, a key that all rows share; written, so that the ranges stay."""
+    return materialize(df.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()).withColumn("one", F.lit(1)), "mix-ranges")
+
+
+def _by_source() -> list[Column]:
+    return [F.col("source").isNull(), F.col("source")]
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """source, source_size, target: one row a source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    pick = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1)
-    # the windows over all sources hold one row a source
-    per = per.withColumn("weight", pick).withColumn("cap", most * F.col("source_size"))
-    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    share = budget * F.sum("source_size").over(W.partitionBy())
-    left = share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    # while a source is filled to its cap the level only rises; the first one not filled sets it for all that follow
-    level = F.when(left / rest * F.col("weight") < F.col("cap"), left / rest)
-    per = per.withColumn("level", level)
-    per = per.withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return per.select("source", "source_size", "docs", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    """source, source_size, docs, target and s, its number from 1 in order of the sources; bucket, one (see ``_ranged``)."""
+    per = _ranged(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), *_by_source())
+    per = _running(per, ["one"], _by_source(), "bucket", F.lit(1).cast("long"), "before").withColumn("s", F.col("before") + 1).drop("before")
+    pick = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("s") - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = materialize(per.withColumn("weight", pick).withColumn("cap", most * F.col("source_size")), "mix-numbers")
+    # in order of what they can hold a weight: while a source is filled to its cap the level only rises; the first one that is not
+    # filled sets it for all that follow, and those before hold their cap
+    order = [F.col("cap") / F.col("weight"), F.col("s")]
+    sums = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight"))
+    sorted_ = _ranged(per.select("s", "cap", "weight"), *order)
+    filled = _running(_running(sorted_, ["one"], order, "bucket", F.col("cap"), "filled"), ["one"], order, "bucket", F.col("weight"), "spent")
+    level = (budget * sums.select("words").scalar() - F.col("filled")) / (sums.select("weight").scalar() - F.col("spent"))
+    first = filled.withColumn("level", level).where(F.col("level") * F.col("weight") < F.col("cap"))
+    level = first.agg(F.min_by("level", F.struct(*order)).alias("level")).scalar()
+    target = F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))
+    return materialize(per.select("source", "source_size", "docs", "s", "bucket", "one", target.alias("target")), "mix-targets")
 
 
 def _running(df: DataFrame, keys: list[str], order: list[Column], bucket: str, value: Column, into: str) -> DataFrame:
@@ -110,15 +120,14 @@ def mix(docs: DataFrame, seed: int = SEED, th: Column | None = None) -> DataFram
     targets = source_targets(sizes)
     # equal documents, as to id, source and size, are one row here with a count
     rows = sizes.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("copies"))
-    total = F.sum("target").over(W.partitionBy())
+    sums = materialize(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("total"), F.count("*").alias("n")), "mix-sums")
+    total, n = sums.select("total").scalar(), sums.select("n").scalar()
     words = F.greatest(F.lit(MIN_BLOCK), F.least(F.lit(BLOCK), F.floor(total / LEAST_SLOTS))).cast("long")
-    number = W.orderBy(F.col("source").asc_nulls_last())
-    sources = targets.select(
-        "source", "source_size", "docs", "target", F.row_number().over(number).cast("long").alias("s"), words.alias("block_words"),
-        F.ceil(F.col("source_size") / words).cast("long").alias("blocks"), F.ceil(total / words).cast("long").alias("slots"),
-        F.try_divide(F.coalesce(F.sum("target").over(number.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), total).alias("lo"),
-        F.when(F.row_number().over(number) == F.count("*").over(W.partitionBy()), F.lit(1.0)).otherwise(F.try_divide(F.sum("target").over(number), total)).alias("hi"),
-        F.greatest(F.count("*").over(W.partitionBy()) * 16, F.ceil(total / words / CHUNK)).cast("long").alias("bins"),
+    sources = _running(targets, ["one"], [F.col("s")], "bucket", F.col("target"), "at").select(
+        "source", "source_size", "docs", "target", "s", words.alias("block_words"),
+        F.ceil(F.col("source_size") / words).cast("long").alias("blocks"), F.ceil(total / words).cast("long").alias("slots"), F.try_divide(F.col("at"), total).alias("lo"),
+        F.when(F.col("s") == n, F.lit(1.0)).otherwise(F.try_divide(F.col("at") + F.col("target"), total)).alias("hi"),
+        F.greatest(n * 16, F.ceil(total / words / CHUNK)).cast("long").alias("bins"),
     )
     sources = materialize(sources, "mix-sources")
     numbered = rows.join(sources.select("s", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -142,12 +151,13 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     times = F.when(F.col("_size") == 0, F.lit(1.0)).otherwise(F.col("_taken") / F.col("_size"))
     whole = F.floor(times)
-    chance = F.pmod(F.xxhash64("doc_id", "_th", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    # the caller's columns are one struct here, so that no name can clash
+    marked = docs.select(F.struct("*").alias("d"), key[1].alias("own"))
+    chance = F.pmod(F.xxhash64("d.doc_id", "_th", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     copies = (whole + F.when(chance < times - whole, 1).otherwise(0)).cast("int")
-    marked = docs.withColumn("_own", key[1])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_source"))
-    drawn = marked.join(taken, same).withColumn("_copies", copies).where(F.col("_copies") > 0)
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_th")) & F.col("d.source").eqNullSafe(F.col("_source"))
+    drawn = marked.join(taken, same).withColumn("copies", copies).where(F.col("copies") > 0)
+    return drawn.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
