@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +54,39 @@ _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    """A leaf block: tags and name words of its ancestors, those of the nearest that has any, text, and how much of it is link text."""
+    """A leaf block: distinct tags and name words of its ancestors, the last two tags, the nearest section, name words of the nearest
+    ancestor that has any, text, and how much of it is link text."""
 
-    __slots__ = ("linked", "names", "near", "tags", "text")
+    __slots__ = ("last", "linked", "names", "near", "section", "tags", "text")
 
-    def __init__(self, tags: tuple[str, ...], names: frozenset[str], near: frozenset[str], text: str, linked: int) -> None:
-        self.tags, self.names, self.near, self.text, self.linked = tags, names, near, text, linked
+    def __init__(self, at: Open, text: str, linked: int) -> None:
+        self.tags, self.names, self.near, self.last, self.section = at.tags, at.names, at.near, at.last, at.section
+        self.text, self.linked = text, linked
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page, in order; white space inside a block is one space."""
+class Open:
+    """An open element, with what it and its ancestors give their blocks: kept up to date as elements open, so that a block costs
+    the same at any depth."""
+
+    __slots__ = ("hidden", "last", "names", "near", "section", "tag", "tags")
+
+    def __init__(self, tag: str = "", names: frozenset[str] = frozenset(), hidden: bool = False, above: Open | None = None) -> None:
+        self.tag = tag
+        if above is None:
+            self.tags, self.names, self.near, self.last, self.section, self.hidden = frozenset(), frozenset(), frozenset(), (), "-", False
+            return
+        self.tags = above.tags if tag in above.tags else above.tags | {tag}
+        self.names = above.names if names <= above.names else above.names | names
+        self.near, self.last, self.hidden = names or above.near, (*above.last[-1:], tag), hidden or above.hidden
+        self.section = tag if tag in SECTIONS else above.section
+
+
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order; white space inside a block is one space. ``known``: name words that matter (all)."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    top = Open()
+    stack: list[Open] = []
+    open_tags: Counter[str] = Counter()
     words: list[str] = []
     links: list[str] = []
     depth_of_link, at, page = 0, 0, page or ""
@@ -71,15 +94,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         if words:
-            text = " ".join(entities.unescape("".join(words)).split())
-            if text and not any(s[2] for s in stack):
-                linked = len(" ".join(entities.unescape("".join(links)).split()))
-                names = frozenset().union(*[s[1] for s in stack]) if stack else frozenset()
-                near = next((s[1] for s in reversed(stack) if s[1]), frozenset())
-                out.append(Block(tuple(s[0] for s in stack), names, near, text, linked))
+            here = stack[-1] if stack else top
+            text = "" if here.hidden else " ".join(entities.unescape("".join(words)).split())
+            if text:
+                out.append(Block(here, text, len(" ".join(entities.unescape("".join(links)).split()))))
             words.clear()
             links.clear()
 
+    def close() -> str:
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
+        return tag
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             words.append(page[at : m.start()])
@@ -92,9 +118,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag == "a":
                 depth_of_link = max(0, depth_of_link - 1)
-            elif tag in BLOCKS and any(s[0] == tag for s in stack):
+            elif tag in BLOCKS and open_tags[tag]:
                 flush()
-                while stack.pop()[0] != tag:
+                while close() != tag:
                     pass
                 depth_of_link = 0
             elif tag in BLOCKS:
@@ -120,15 +146,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag in BLOCKS or tag == "head":
             flush()
             depth_of_link = 0
-            while stack and stack[-1][0] == "p":
-                stack.pop()
+            while stack and stack[-1].tag == "p":
+                close()
             ends = CLOSES.get(tag, ())
-            while stack and any(s[0] in ends for s in stack[-3:]) and not (stack[-1][0] in _SCOPES and stack[-1][0] not in ends):
-                if stack.pop()[0] in ends and (not stack or stack[-1][0] not in ends):
+            while stack and any(s.tag in ends for s in stack[-3:]) and not (stack[-1].tag in _SCOPES and stack[-1].tag not in ends):
+                if close() in ends and (not stack or stack[-1].tag not in ends):
                     break
             if tag != "hr":
-                found = {w.lower() for a in _NAMES.finditer(m[3]) for w in _PIECES.findall(a[2] or a[3] or a[4] or "")}
-                stack.append((tag, frozenset(found), tag == "head" or bool(_HIDDEN.search(m[3]))))
+                found = frozenset(w.lower() for a in _NAMES.finditer(m[3]) for w in _PIECES.findall(a[2] or a[3] or a[4] or ""))
+                found = found if known is None else found & known
+                stack.append(Open(tag, found, tag == "head" or bool(_HIDDEN.search(m[3])), stack[-1] if stack else top))
+                open_tags[tag] += 1
     if at < len(page):
         words.append(page[at:])
     flush()
@@ -142,9 +170,8 @@ _NOTICE = re.compile(r"cookie|subscribe|newsletter|sign up|sign in|log in|privac
 def _local(block: Block, at: int, total: int) -> list[str]:
     n = len(block.text)
     count = block.text.count(" ") + 1
-    near = block.tags[-3:]
-    out = [f"t:{t}" for t in set(block.tags)] + [f"n:{w}" for w in block.names] + [f"p:{t}" for t in near[-1:]] + ["g:" + ">".join(near[-2:])]
-    out += [f"c:{w}" for w in block.near] + ["s:" + next((t for t in reversed(block.tags) if t in SECTIONS), "-")]
+    out = [f"t:{t}" for t in block.tags] + [f"n:{w}" for w in block.names] + [f"p:{t}" for t in block.last[-1:]] + ["g:" + ">".join(block.last)]
+    out += [f"c:{w}" for w in block.near] + ["s:" + block.section]
     out.append("len:" + str(min(6, count.bit_length())))
     out.append("link:" + str(min(4, int(5 * block.linked / max(1, n)))))
     out.append("end:" + str(bool(_ENDS.search(block.text))))
@@ -161,8 +188,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block: its own, and its neighbours' tags."""
     own = [_local(b, i, len(blocks)) for i, b in enumerate(blocks)]
     for i, f in enumerate(own):
-        f.append("before:" + (blocks[i - 1].tags[-1:] or ("-",))[0] if i else "first")
-        f.append("after:" + (blocks[i + 1].tags[-1:] or ("-",))[0] if i + 1 < len(blocks) else "last")
+        f.append("before:" + (blocks[i - 1].last[-1:] or ("-",))[0] if i else "first")
+        f.append("after:" + (blocks[i + 1].last[-1:] or ("-",))[0] if i + 1 < len(blocks) else "last")
     return own
 
 
@@ -171,6 +198,7 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray) -> None:
         self.weights, self.moves = weights, moves
+        self.known = frozenset(f[2:] for f in weights if f[:2] in ("n:", "c:"))
 
     def scores(self, found: list[list[str]]) -> np.ndarray:
         get = self.weights.get
@@ -197,16 +225,39 @@ class Field:
 
     def text(self, page: str | None) -> str:
         """The main blocks, joined by an empty line."""
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(page, self.known)
         return "\n\n".join(b.text for b, main in zip(blocks, self.decode(blocks), strict=True) if main)
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Field:
+def _plus(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))."""
+    return max(x, y) + log1p(exp(-abs(x - y)))
+
+
+def expectations(main: list[float], moves: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+    """Of a chain whose blocks weigh ``main`` as label 1: the probability of 1 at each, and the expected number of each move."""
+    (m00, m01), (m10, m11) = moves
+    n = len(main)
+    forward, backward = [(0.0, main[0])], [(0.0, 0.0)] * n
+    for y in main[1:]:
+        a, b = forward[-1]
+        forward.append((_plus(a + m00, b + m10), y + _plus(a + m01, b + m11)))
+    for t in range(n - 2, -1, -1):
+        c, d = backward[t + 1]
+        d += main[t + 1]
+        backward[t] = (_plus(m00 + c, m01 + d), _plus(m10 + c, m11 + d))
+    z = _plus(*forward[-1])
+    counts = [[0.0, 0.0], [0.0, 0.0]]
+    for t in range(1, n):
+        (a, b), (c, d) = forward[t - 1], backward[t]
+        d += main[t]
+        for i, x in enumerate((a, b)):
+            for j, y in enumerate((c, d)):
+                counts[i][j] += exp(x + moves[i][j] + y - z)
+    return [exp(f[1] + g[1] - z) for f, g in zip(forward, backward, strict=True)], counts
+
+
+def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 16, rate: float = 0.6, decay: float = 1e-5, seed: int = 7) -> Field:
     """A field for pages given as features and labels: AdaGrad on the log likelihood, expectations by forward-backward."""
     names = {f: i for i, f in enumerate(sorted({f for fs, _ in pages for one in fs for f in one}))}
     coded = [([np.array([names[f] for f in one]) for one in fs], np.array(ys)) for fs, ys in pages if ys]
@@ -216,22 +267,12 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate:
     for _ in range(epochs):
         for i in rng.permutation(len(coded)):
             fs, y = coded[i]
-            n = len(y)
-            s = np.stack((np.zeros(n), np.array([w[f].sum() for f in fs])), axis=1)
-            forward, backward = np.empty((n, 2)), np.zeros((n, 2))
-            forward[0] = s[0]
-            for t in range(1, n):
-                forward[t] = s[t] + _lse(forward[t - 1][:, None] + moves, 0)
-            for t in range(n - 2, -1, -1):
-                backward[t] = _lse(moves + (s[t + 1] + backward[t + 1])[None, :], 1)
-            z = _lse(forward[-1], 0)
-            g = np.exp(forward[:, 1] + backward[:, 1] - z) - y
-            dm = np.zeros((2, 2))
-            for t in range(1, n):
-                dm += np.exp(forward[t - 1][:, None] + moves + (s[t] + backward[t])[None, :] - z)
-                dm[y[t - 1], y[t]] -= 1
-            flat = np.concatenate(fs)
-            dw = np.bincount(flat, weights=np.repeat(g, [len(f) for f in fs]), minlength=len(w)) + decay * w
+            flat, sizes = np.concatenate(fs), [len(f) for f in fs]
+            at = np.repeat(np.arange(len(y)), sizes)
+            likely, counts = expectations(np.bincount(at, weights=w[flat], minlength=len(y)).tolist(), moves.tolist())
+            g, dm = np.array(likely) - y, np.array(counts)
+            np.subtract.at(dm, (y[:-1], y[1:]), 1)
+            dw = np.bincount(flat, weights=g[at], minlength=len(w)) + decay * w
             gw, gm = gw + dw**2, gm + dm**2
             w, moves = w - rate * dw / np.sqrt(gw), moves - rate * dm / np.sqrt(gm)
     return Field({f: float(w[i]) for f, i in names.items()}, moves)
@@ -271,32 +312,37 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
 
     def wrap(kind: str, inner: str) -> str:
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
-        name = pick(PARTS[kind]) + pick(["", "", "-" + pick(["box", "wrap", "top", "list", "inner", "1"])])
+        name = pick(["", "", "", "", "", "", "main-", "site-"]) + pick(PARTS[kind]) + pick(["", "", "-" + pick(["box", "wrap", "top", "list", "inner", "area", "section", "1"])])
         mark = pick([f' class="{name}"', f' id="{name}"', f' class="{pick(["row", "col", "block", "c1"])} {name}"'])
         if tag == "div":
-            return f"<{pick(['div', 'div', 'section', 'aside'])}{mark}>{inner}</div>"
+            tag = pick(["div", "div", "section", "aside"])
+            return f"<{tag}{mark}>{inner}</{tag}>"
         return pick([f"<{tag}>{inner}</{tag}>", f"<{tag}{mark}>{inner}</{tag}>", f"<div{mark}>{inner}</div>"])
 
+    def heading() -> str:
+        tag, text = pick(["h2", "h3", "h4"]), pick([word(), f"{word()} {word()}", sentence(2, 6)])
+        return pick([f"<{tag}>{text}</{tag}>", f'<{tag} class="{pick(["title", "heading", "widget-title", "section-title"])}">{text}</{tag}>', f"<div class=title>{text}</div>"])
+
     def menu() -> str:
         items = [f'<a href="/{word()}">{word()}</a>' for _ in range(int(rng.integers(2, 9)))]
         return pick(["<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", " | ".join(items), "".join(f"<div>{i}</div>" for i in items)])
 
     def other(kind: str) -> str:
         if kind == "nav":
-            return wrap(kind, menu())
+            return wrap(kind, pick(["", "", heading()]) + menu())
         if kind == "header":
             return wrap(kind, pick([f"<h1>{word()} {word()}</h1>", f"<p>{prose(1, 2)}</p>", f'<a href="/">{word()}</a>', ""]) + pick(["", menu()]))
         if kind == "footer":
             return wrap(kind, pick([f"&copy; {word()}.example &middot; {prose(1, 3)}", f"<p>{prose(1, 3)}</p>", menu(), f"{word()} &copy; 2020 {word()}"]))
         if kind == "aside":
-            return wrap(kind, f"<h3>{word()}</h3>" + pick([menu(), f"<p>{prose(1, 4)}</p>", prose(1, 3)]))
+            return wrap(kind, pick([heading(), heading(), ""]) + pick([menu(), f"<p>{prose(1, 4)}</p>", prose(1, 3)]))
         if kind == "form":
-            return wrap(kind, f"<label>{word()}</label><input name=q><button>{word()}</button>" + pick(["", f"<p>{prose(1, 2)}</p>"]))
+            return wrap(kind, pick(["", heading()]) + f"<label>{word()}</label><input name=q><button>{word()}</button>" + pick(["", f"<p>{prose(1, 2)}</p>"]))
         if kind == "comments":
-            return wrap(kind, pick(["", f"<h3>{word()}</h3>"]) + "".join(pick(["<p>{}</p>", "<div class='comment'><b>x</b><p>{}</p></div>", "<li>{}</li>"]).format(prose(1, 4)) for _ in range(int(rng.integers(1, 5)))))
+            return wrap(kind, pick(["", heading(), heading()]) + "".join(pick(["<p>{}</p>", "<div class='comment'><b>x</b><p>{}</p></div>", "<li>{}</li>"]).format(prose(1, 4)) for _ in range(int(rng.integers(1, 5)))))
         if kind == "share":
             return wrap(kind, pick([menu(), word() + " " + word()]))
-        return wrap(kind, pick([prose(1, 4), f"<p>{prose(1, 4)}</p>", f"<span>{prose(1, 3)}</span>"]))
+        return wrap(kind, pick(["", "", heading()]) + pick([prose(1, 4), f"<p>{prose(1, 4)}</p>", f"<span>{prose(1, 3)}</span>"]))
 
     for _ in range(n):
         texts: list[str] = []
@@ -313,24 +359,24 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
             out = [body_block("h1", sentence(2, 12))] if rng.random() < 0.7 else []
             for _ in range(int(rng.integers(1, 12))):
                 r = rng.random()
-                if r < 0.72:
+                if r < 0.64:
                     out.append(body_block("p", prose(1, 7)))
-                elif r < 0.8:
-                    out.append(body_block(pick(["h2", "h3"]), sentence(1, 6)))
-                elif r < 0.86:
+                elif r < 0.72:
+                    out.append(body_block(pick(["h2", "h3", "h4"]), sentence(1, 6)))
+                elif r < 0.78:
                     out.append("<ul>" + "".join(body_block("li", prose(1, 2)) for _ in range(int(rng.integers(1, 5)))) + "</ul>")
-                elif r < 0.9:
+                elif r < 0.82:
                     out.append("<blockquote>" + body_block("p", prose(1, 3)) + "</blockquote>")
-                elif r < 0.92:
+                elif r < 0.84:
                     out.append("<table><tr>" + "".join(body_block("td", sentence(1, 4)) for _ in range(3)) + "</tr></table>")
                 else:
-                    out.append(other(pick(["ad", "share", "aside", "form", "notice"])))
+                    out.append(other(pick(["ad", "ad", "share", "aside", "form", "notice"])))
             if comments:
                 out.append(other("comments"))
             return "".join(out)
 
         name = pick(MAIN_NAMES) + pick(["", "", "-body", "-content", "-text"])
-        holder = pick(["article", "article", "article", "main", f'div class="{name}"', f'div id="{name}"', f'section class="{name}"', f'article class="{name}"'])
+        holder = pick(["article", "article", 'article class="post"', 'article class="hentry"', "main", f'div class="{name}"', f'div id="{name}"', f'section class="{name}"', f'article class="{name}"'])
         inner = main_part(rng.random() < 0.15)
         if rng.random() < 0.2:
             inner = f"<header>{inner.split('</h1>')[0]}</h1></header>" + inner.split("</h1>", 1)[1] if inner.startswith("<h1>") else inner
@@ -367,8 +413,8 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html", in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = batch.column(batch.num_columns - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([field.text(h) for h in source], pa.string())], [*batch.schema.names[:-1], into])
+            texts = [field.text(h.as_py()) for h in batch.column(batch.num_columns - 1)]  # one page at a time is a Python string
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into])
 
     rest = [c for c in pages.columns if c not in (html, into)]
     schema = ", ".join(f"`{c}` {dict(pages.dtypes)[c]}" for c in rest)
