@@ -676,3 +676,89 @@ def test_gradient_in_pieces_is_that_of_the_whole(monkeypatch):
     monkeypatch.setattr(quality, "AT_ONCE", 3)
     pieces = quality._gradient(params, docs, y, weight)
     assert all(np.allclose(whole[k], pieces[k], atol=1e-6) for k in whole)
+
+
+def test_viterbi_is_the_best_of_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9):
+        blocks = html_text.leaf_blocks("".join(f"<{t} class='c{i % 3}'>{'word ' * int(rng.integers(1, 9))}</{t}>" for i, t in enumerate(rng.choice(["p", "div", "li", "nav"], n))))
+        found = html_text.features(blocks)
+        field = html_text.Field({f: float(rng.normal()) for fs in found for f in fs}, rng.normal(size=(2, 2)))
+        main = [sum(field.weights[f] for f in fs) for fs in found]
+
+        def total(ys, main=main, field=field):
+            return sum(m * y for m, y in zip(main, ys, strict=True)) + sum(field.moves[a, b] for a, b in zip(ys, ys[1:], strict=False))
+
+        best = max(product((0, 1), repeat=n), key=total)
+        assert total(tuple(map(int, field.decode(blocks)))) == pytest.approx(total(best))
+
+
+def test_pages_of_another_make():
+    """Written by hand, none by the generator of the training pages."""
+    field = html_text.default_field()
+    blog = """<html lang=en><head><meta charset=utf-8><title>My blog</title><script>if (a<b && c>d) { document.write("<p>no</p>"); }</script></head>
+<body class="post-template"><div id="page"><header id="masthead"><h1><a href="/">My blog</a></h1><nav class="main-navigation"><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav></header>
+<main id="main"><article class="post hentry"><h1 class="entry-title">How to bake bread</h1><div class="entry-content"><p>Flour, water and salt are all that you need.</p>
+<p>Knead the dough for <em>ten</em> minutes, then let it rest &mdash; overnight if you can.</p><ul><li>500 g of flour</li><li>350 g of water</li></ul><p>Bake it hot.</p></div></article>
+<section id="comments" class="comments-area"><h2>Two replies</h2><ol><li class="comment"><p>Great recipe, thank you!</p></li></ol></section></main>
+<aside class="widget-area"><h2>Recent posts</h2><ul><li><a href="/c">How to cook rice</a></li></ul></aside><footer id="colophon">&copy; 2021 My blog. All rights reserved.</footer></div></body></html>"""
+    assert field.text(blog) == "\n\n".join(["How to bake bread", "Flour, water and salt are all that you need.", "Knead the dough for ten minutes, then let it rest — overnight if you can.", "500 g of flour", "350 g of water", "Bake it hot."])
+    news = """<body><div class=cookie-banner><p>We use cookies to improve this site.</p><button>Accept</button></div><div class=topnav><a href=/w>World</a> <a href=/s>Sport</a></div>
+<div class=story-body><h1>Bridge opens after long delay</h1><p>The new bridge over the river opened on Monday, two years late.</p><div class=ad><p>Buy one, get one free!</p></div>
+<p>Engineers said that the delay was caused by floods.</p></div><div class=footer><p>Contact us</p></div>"""
+    assert field.text(news) == "\n\n".join(["Bridge opens after long delay", "The new bridge over the river opened on Monday, two years late.", "Engineers said that the delay was caused by floods."])
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    field, spent = html_text.default_field(), []
+    for n in (10_000, 50_000):
+        page = "".join(f"<div class=k{i}>x" for i in range(n)) + "<p>The end of it.</p>"
+        began = time.perf_counter()
+        assert len(html_text.leaf_blocks(page, field.known)) == n + 1
+        field.text(page)
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 12 * spent[0] + 1
+
+
+def test_repeated_rows_go_to_many_lanes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LANE_TOKENS", 4096)
+    docs = spark.range(0, 20_000, 1, 6).selectExpr("IF(id % 10 < 9, NULL, id) AS doc_id", "IF(id % 10 < 9, 'the same text again', concat('text ', id)) AS text", "IF(id % 10 < 9, NULL, 's') AS source")
+    tokens_ = packing.tokenized(docs).withColumn("lane", F.pmod(F.xxhash64("h", "copy"), F.lit(25)))
+    sizes = [r["count"] for r in tokens_.groupBy("lane").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 3 * min(sizes)
+    got = packing.query(docs).select("doc_id", "length", "sequence_id", "offset").collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert all(n <= 4096 and n & (n - 1) == 0 for n in ends.values())
+
+
+def test_windows_of_all_lanes_keep_to_the_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LANE_TOKENS", 1 << 15)
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, rnd.randint(1, 400)), "abbccccc"[i % 8]) for i in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("source", "length", "sequence_id").collect()
+    total, by = Counter(), {}
+    for r in got:
+        total[r.source] += r.length
+        by.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    whole, served, at = sum(total.values()), Counter(), 0
+    for sequence in sorted(by):  # deficits carry over windows and lanes: what each source had so far stays near its share
+        served.update(by[sequence])
+        at += sum(by[sequence].values())
+        assert all(abs(served[s] - total[s] / whole * at) <= 3 * 4096 for s in total)
+
+
+def test_many_sources_are_mixed_without_one_task(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "repeat('word ', cast(1 + id % 7 as int)) AS text", "concat('s', id % 20000) AS source")
+    targets = mixing.source_targets(mixing.sized(docs))
+    want = brute_targets({r.source: r.n for r in docs.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()})
+    got = {r.source: r.target for r in targets.collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    mixed = mixing.query(docs)
+    assert mixed.count() == 40_000 and mixed.where("taken > 2 * size").count() == 0
