@@ -82,6 +82,19 @@ def test_pii_has_the_base_spans_and_checks_others(spark):
     assert [r.text for r in masked] == ["to <EMAIL>, <PHONE>; <CARD> and 4111111111111112", ""]
 
 
+def test_ibans_are_cut_to_their_country_and_context_counts_on_both_sides(spark):
+    texts = [
+        "AT611904300234573201 BANK", "GB82 WEST 1234 5698 7654 32 IS MINE AND", "GB82WEST12345698765432X", "DE89370400440532013000", "XX89370400440532013000",
+        "378282246310005 is my card", "serial 378282246310005 card", "card 378282246310005", "barcode DE89370400440532013000", "my bank: DE89370400440532013000 (barcode)", "x@y.zz is my mail",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.query(frame).collect()}
+    assert [got[i][0] for i in range(len(texts))] == ["iban:0:20", "iban:0:27", "", "iban:0:22", "", "short_card:0:15", "", "short_card:5:20", "", "iban:9:31", "email:0:6"]
+    assert [got[i][1] for i in (0, 3, 5, 9, 10)] == ["0.8", "0.6", "0.6", "0.6", "1.0"]
+    masked = {r.doc_id: r.text for r in pii.mask_personal_data(frame).collect()}
+    assert [masked[i] for i in (0, 1, 5, 6)] == ["<IBAN> BANK", "<IBAN> IS MINE AND", "<SHORT_CARD> is my card", texts[6]]
+
+
 # URL filter
 
 
