@@ -84,6 +84,16 @@ def overrides(methods: DataFrame, inherits: DataFrame, depth: int = INHERITANCE_
     return own.join(up, "cls").join(above, ["ancestor", "name"]).groupBy("method", "overridden").agg(F.min("level").alias("level"))
 
 
+def overriding(targets: DataFrame, methods: DataFrame, inherits: DataFrame, depth: int = INHERITANCE_DEPTH) -> DataFrame:
+    """method, overridden, level of the methods that override one of ``targets`` (node): from the targets' classes down, so that
+    what it costs follows from them and not from all classes (methods: node, owner, name)."""
+    own = materialize(targets.select(F.col("node").alias("overridden")).join(methods.withColumnRenamed("node", "overridden"), "overridden"), "targets")
+    below = reach(reversed_(inherits), own.select(F.col("owner").alias("node")), depth)
+    found = own.join(below.select(F.col("start").alias("owner"), F.col("node").alias("cls"), F.col("hops").alias("level")), "owner").drop("owner")
+    found = found.join(methods.select(F.col("node").alias("method"), F.col("owner").alias("cls"), "name"), ["cls", "name"])
+    return found.groupBy("method", "overridden").agg(F.min("level").alias("level"))
+
+
 def _dependents(frontier: DataFrame, edges: DataFrame, overriding: DataFrame | None) -> DataFrame:
     """relation, via, node: what calls or inherits from the frontier, or overrides one of it."""
     back = edges.where(F.col("type").isin("CALLS", "INHERITS")).select(F.col("type").alias("relation"), F.col("src").alias("node"), F.col("dst").alias("via"))

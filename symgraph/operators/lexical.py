@@ -1,11 +1,15 @@
-"""Lexical search: an inverted index with weighted fields, scored by BM25."""
+"""Lexical search: a persisted inverted index with weighted fields, scored by BM25.
+
+A posting is (term, field, chunk, number of occurrences, length of the chunk). Postings lie in BUCKETS partitions by a hash of the term,
+sorted by term, so a search reads the partitions of its terms and, by the files' statistics, little else; no text is read.
+"""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,49 +21,54 @@ FIELDS = {"symbol": 5.0, "filepath": 3.0, "code_text": 1.0}
 K1, B = 1.2, 0.75
 LIMIT = 20
 KEY = ["filepath", "symbol", "start_line"]
+BUCKETS = 16
+
 
+def bucket_of(term: Column) -> Column:
+    """The partition that a term's postings lie in."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-def postings(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-    """repo_url, key, field, term, tf; partial counts precede the shuffle."""
-    each = [chunks.select("repo_url", *KEY, F.lit(f).alias("field"), F.explode(tokens(F.col(f))).alias("term")) for f in fields]
-    return reduce(DataFrame.unionByName, each).groupBy("repo_url", *KEY, "field", "term").agg(F.count("*").alias("tf"))
 
+def length() -> Column:
+    """The number of tokens in all fields of a chunk."""
+    return reduce(lambda a, b: a + b, [F.regexp_count(F.coalesce(F.col(f), F.lit("")), F.lit(TERM)) for f in FIELDS]).cast("long")
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """repo_url, key and ``dl``, the number of tokens in all fields; no shuffle."""
-    total = reduce(lambda a, b: a + b, [F.regexp_count(F.col(f), F.lit(TERM)) for f in FIELDS])
-    return chunks.select("repo_url", *KEY, total.alias("dl"))
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The postings of chunks: repo_url, bucket, term, field, key, tf, dl; partial counts precede the shuffle."""
+    of = lambda f: F.transform(tokens(F.col(f)), lambda t: F.struct(F.lit(f).alias("field"), t.alias("term")))
+    every = F.flatten(F.array(*map(of, FIELDS)))
+    each = chunks.select("repo_url", *KEY, length().alias("dl"), F.explode(every).alias("t")).select("repo_url", *KEY, "dl", "t.field", "t.term")
+    counted = each.groupBy("repo_url", *KEY, "dl", "field", "term").agg(F.count("*").alias("tf"))
+    return counted.select("repo_url", bucket_of(F.col("term")).alias("bucket"), "term", "field", *KEY, "tf", "dl")
 
-def matches(chunks: DataFrame, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
-    """repo_url, key, dl and ``hits``, the weighted occurrences of the searched terms, of every chunk: one pass over the texts, without a shuffle."""
-    found = lambda f: F.regexp_extract_all(F.coalesce(F.col(f), F.lit("")), F.lit(f"({TERM})"), F.lit(1)).alias(f"_{f}")
-    rows = chunks.select("repo_url", *KEY, *map(found, FIELDS))
-    total = reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS])
-    hits = [F.transform(F.filter(f"_{f}", lambda t: F.lower(t).isin(terms)), _weighed(FIELDS[f])) for f in fields]
-    return rows.select("repo_url", *KEY, total.alias("dl"), F.concat(*hits).alias("hits"))
 
+def totals(chunks: DataFrame) -> DataFrame:
+    """repo_url, chunks, tokens: what BM25 needs of all chunks, a row a repository."""
+    return chunks.groupBy("repo_url").agg(F.count("*").alias("chunks"), F.sum(length()).alias("tokens"))
 
-def _weighed(weight: float):
-    return lambda t: F.struct(F.lit(weight).alias("w"), F.lower(t).alias("term"))
 
+def written(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and totals of chunks, written as an index is."""
+    rows = indexed(chunks).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term")
+    return materialize(rows, "postings", "bucket"), materialize(totals(chunks), "totals")
 
-def bm25(chunks: DataFrame, terms: list[str], fields: tuple[str, ...] = tuple(FIELDS), repo_url: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Key, ``score``, ``rank`` of the best documents. Statistics cover the whole index; the repository is a filter on hits.
 
-    Texts are read once; what is written of a chunk is its length and its hits, and only hits are shuffled.
-    """
+def bm25(postings: DataFrame, totals: DataFrame, terms: list[str], fields: tuple[str, ...] = tuple(FIELDS), repo_url: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """Key, ``score``, ``rank`` of the best documents. Statistics cover the whole index; the repository is a filter on hits."""
     safe = [t for t in dict.fromkeys(terms) if re.fullmatch(TERM, t)]
     if not safe or not fields:
-        return chunks.sparkSession.createDataFrame([], "filepath string, symbol string, start_line int, score double, rank int")
-    rows = materialize(matches(chunks, safe, fields), "bm25")
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = rows.where(F.size("hits") > 0).select("repo_url", *KEY, "dl", F.explode("hits").alias("hit"))
-    weighted = hits.groupBy("repo_url", *KEY, "dl", F.col("hit.term").alias("term")).agg(F.sum("hit.w").alias("tf"))
+        return postings.sparkSession.createDataFrame([], "filepath string, symbol string, start_line int, score double, rank int")
+    where = postings.sparkSession.range(1).select(F.array(*[bucket_of(F.lit(t)) for t in safe])).first()[0]  # literals, so that partitions are pruned
+    hits = postings.where(F.col("bucket").isin(*set(where)) & F.col("term").isin(safe) & F.col("field").isin(*fields))
+    weight = F.create_map(*[F.lit(x) for f in fields for x in (f, FIELDS[f])])[F.col("field")]
+    weighted = hits.groupBy("repo_url", *KEY, "dl", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
     df = weighted.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as terms, sixteen at most
+    stats = totals.agg(F.sum("chunks").alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighted.join(F.broadcast(df.join(F.broadcast(stats))), "term").withColumn("part", part)
+    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    scored = weighted.join(F.broadcast(df.withColumn("n", n).withColumn("avgdl", avgdl)), "term").withColumn("part", part)
     if repo_url is not None:
         scored = scored.where(F.col("repo_url") == repo_url)
     best = scored.groupBy(*KEY).agg(F.round(F.sum("part"), 9).alias("score")).orderBy(F.desc("score"), *KEY).limit(limit)

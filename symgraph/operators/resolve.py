@@ -130,6 +130,8 @@ def _super(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
         hit = walk.withColumn("want", F.concat("at_name", F.lit("."), "tail")).join(defined, (F.col("repo_url") == F.col("_r")) & (F.col("at_file") == F.col("_f")) & (F.col("want") == F.col("_n")))
         hit = hit.select(*KEYS, F.lit(level).alias("level"), "path", F.col("at_file").alias("dst_file"), F.col("want").alias("dst_name"))
         found = hit if found is None else found.unionByName(hit)
+        if walk.isEmpty():
+            break
     best = found.groupBy(*KEYS).agg(F.min(F.struct("level", "path", "dst_file", "dst_name")).alias("b"))
     return best.select(*KEYS, "b.dst_file", "b.dst_name")
 

@@ -142,7 +142,7 @@ class Asker:
         terms = self._terms([*plan.symbols, *(queries if hybrid else [])])
         if c.use_bm25 and terms:
             n += 1
-            found = lexical.bm25(self.engine.chunks(), terms, tuple(lexical.FIELDS) if hybrid else ("symbol",), self.url)
+            found = self.engine.lexical(terms, tuple(lexical.FIELDS) if hybrid else ("symbol",), self.url)
             found = lexical.exact_first(found, terms)
             lists = lists.unionByName(found.select(F.lit(len(queries)).alias("list_id"), F.lit("bm25").alias("source"), *key))
         limit = c.candidates if c.use_rerank else c.top_k

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as tx
@@ -105,12 +105,23 @@ _POSTINGS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, unnest({_TOKENS.
 
 @_query(f", p AS (SELECT doc_id, field, term, count(*) AS tf FROM ({_POSTINGS}) GROUP BY ALL) SELECT field, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY field")
 def inverted_index(v: Views) -> DataFrame:
-    return lexical.postings(v.chunks()).groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
+    return lexical.indexed(v.chunks()).groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
 
 
 @_query(f" SELECT filepath, {' + '.join(f'len({_TOKENS.format(f)})' for f in lexical.FIELDS)} AS dl FROM chunks_v")
 def document_lengths(v: Views) -> DataFrame:
-    return lexical.lengths(v.chunks()).select("filepath", "dl")
+    return v.chunks().select("filepath", lexical.length().alias("dl"))
+
+
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _bm25(v: Views, terms: list[str], fields: tuple[str, ...] = tuple(lexical.FIELDS)) -> DataFrame:
+    """BM25 over the persisted index of a data folder: written once a session, then only its terms' postings are read."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.written(v.chunks())
+    return lexical.bm25(*_INDEXES[key], terms, fields)
 
 
 def _bm25_sql(terms: list[str], fields: tuple[str, ...], name: str = "bm25") -> str:
@@ -131,12 +142,12 @@ _ALL = tuple(lexical.FIELDS)
 
 @_query("," + _bm25_sql(TERMS, _ALL) + " SELECT filepath, symbol, start_line, round(score, 6) AS score, rank FROM bm25")
 def bm25_search(v: Views) -> DataFrame:
-    return lexical.bm25(v.chunks(), TERMS).withColumn("score", F.round("score", 6))
+    return _bm25(v, TERMS).withColumn("score", F.round("score", 6))
 
 
 @_query("," + _bm25_sql(SYMBOL_TERMS, ("symbol",)) + " SELECT filepath, symbol, start_line, round(score, 6) AS score, rank FROM bm25")
 def bm25_symbol_field(v: Views) -> DataFrame:
-    return lexical.bm25(v.chunks(), SYMBOL_TERMS, ("symbol",)).withColumn("score", F.round("score", 6))
+    return _bm25(v, SYMBOL_TERMS, ("symbol",)).withColumn("score", F.round("score", 6))
 
 
 _MIXED = [*SYMBOL_TERMS, *TERMS[:4]]
@@ -147,7 +158,7 @@ _MIXED = [*SYMBOL_TERMS, *TERMS[:4]]
   row_number() OVER (ORDER BY symbol IN {_literal(_MIXED)} DESC, rank) AS rank FROM bm25"""
 )
 def bm25_exact_symbol_first(v: Views) -> DataFrame:
-    return lexical.exact_first(lexical.bm25(v.chunks(), _MIXED), _MIXED).withColumn("score", F.round("score", 6))
+    return lexical.exact_first(_bm25(v, _MIXED), _MIXED).withColumn("score", F.round("score", 6))
 
 
 _COS = "round(list_dot_product(p.vector::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.vector::DOUBLE[], p.vector::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9)"
@@ -183,7 +194,7 @@ def _lists(v: Views) -> DataFrame:
     key = ["filepath", "symbol", "start_line", "rank", "score"]
     number = F.create_map(*[F.lit(x) for i, q in enumerate(VECTOR_IDS) for x in (q, i)])
     a = vector.search(v.points(), v.query_vectors(*VECTOR_IDS)).select(number[F.col("query_id").cast("int")].alias("list_id"), F.lit("vector").alias("source"), *key)
-    b = lexical.bm25(v.chunks(), TERMS).select(F.lit(len(VECTOR_IDS)).alias("list_id"), F.lit("bm25").alias("source"), *key)
+    b = _bm25(v, TERMS).select(F.lit(len(VECTOR_IDS)).alias("list_id"), F.lit("bm25").alias("source"), *key)
     return a.unionByName(b)
 
 
@@ -321,14 +332,14 @@ def callers_depth3(v: Views) -> DataFrame:
 
 
 @_query(
-    _bfs_sql("calls_all_v", _literal(_STARTS), 2)
+    _bfs_sql("calls_v", _literal(_STARTS), 2)
     + """ SELECT start, hops, filepath, qualified_name, rn, total FROM (SELECT r.*, s.filepath, s.qualified_name, count(*) OVER (PARTITION BY start) AS total,
   row_number() OVER (PARTITION BY start ORDER BY hops, s.filepath, s.qualified_name) AS rn FROM reached r JOIN symbols_v s USING (node)) WHERE rn <= 15""",
     recursive=True,
 )
 def neighbours_with_total(v: Views) -> DataFrame:
     matches = v.symbols().where(F.col("node").isin(_STARTS))
-    return graph.neighbours(v.symbols(), graph.of_type(v.calls(False), "CALLS"), matches, 2, 15).select("start", "hops", "filepath", "qualified_name", "rn", "total")
+    return graph.neighbours(v.symbols(), graph.of_type(v.calls(), "CALLS"), matches, 2, 15).select("start", "hops", "filepath", "qualified_name", "rn", "total")
 
 
 @_query(
@@ -443,7 +454,8 @@ _METHODS = "SELECT node FROM (SELECT node FROM methods_v WHERE owner = 'c3' ORDE
 def constructor_impact(v: Views) -> DataFrame:
     some = v.methods().where("owner = 'c3'").orderBy("qualified_name").limit(3).select("node")
     owner = v.symbols().where("node = 'c3'").select("node")
-    return _impact(v, some.union(owner), 300, graph.overrides(v.methods(), graph.of_type(v.inherits(), "INHERITS")))
+    targets = materialize(some.union(owner), "targets")
+    return _impact(v, targets, 300, graph.overriding(targets, v.methods(), graph.of_type(v.inherits(), "INHERITS")))
 
 
 _TOP = """, ends AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges_v UNION ALL SELECT dst FROM edges_v) GROUP BY node),
@@ -482,17 +494,23 @@ def has_method_edges(v: Views) -> DataFrame:
     return v.has_method().select("src", "dst")
 
 
-# A part calls, by brand, a method of the supplier that a line item names: unqualified, then qualified by the class.
-_REFS = "SELECT DISTINCT 'f' || (l_orderkey % 50) AS src, 'Class_' || l_suppkey AS qualifier, p_brand AS tail FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
+# Each line item refers to a method of the part it is about, unqualified by a name that few parts share (brand, size and type), or by
+# brand and qualified by the class of the supplier that it names.
+_REFS = "SELECT DISTINCT 'f' || (l_orderkey % 50) AS src, 'Class_' || l_suppkey AS qualifier, p_brand AS tail, p_brand || '_' || p_size || '_' || p_type AS full_name FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
-def _refs(v: Views) -> DataFrame:
-    rows = v.table("lineitem").where("l_linenumber = 1").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+def _refs(v: Views, name: str) -> DataFrame:
+    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    tail = F.col("p_brand") if name == "brand" else _full_name()
     return rows.select(
-        F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string")).alias("src_name"), F.concat(F.lit("Class_"), F.col("l_suppkey").cast("string")).alias("qualifier"), F.col("p_brand").alias("tail")
+        F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string")).alias("src_name"), F.concat(F.lit("Class_"), F.col("l_suppkey").cast("string")).alias("qualifier"), tail.alias("tail")
     ).distinct()
 
 
+def _full_name() -> Column:
+    return F.concat_ws("_", "p_brand", F.col("p_size").cast("string"), "p_type")
+
+
 def _call_rows(refs: DataFrame, qualified: bool) -> DataFrame:
     ref = F.concat("qualifier", F.lit("."), "tail") if qualified else F.col("tail")
     return refs.select(
@@ -501,26 +519,27 @@ def _call_rows(refs: DataFrame, qualified: bool) -> DataFrame:
     ).distinct()
 
 
-def _method_chunks(v: Views) -> DataFrame:
-    name = F.regexp_replace("qualified_name", r"#\d+$", "")
-    return v.methods().select(F.lit("r").alias("repo_url"), F.lit("python").alias("language"), "name", F.lit("method").alias("type"), F.col("filepath").alias("file_path"), F.concat(F.regexp_extract("qualified_name", r"^[^.]*", 0), F.lit("."), "node").alias("qualified_name"))
+def _method_chunks(v: Views, name: str) -> DataFrame:
+    rows = v.methods()
+    if name != "brand":
+        rows = rows.drop("name").join(v.table("part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("node"), _full_name().alias("name")), "node")
+    return rows.select(F.lit("r").alias("repo_url"), F.lit("python").alias("language"), "name", F.lit("method").alias("type"), F.col("filepath").alias("file_path"), F.concat(F.regexp_extract("qualified_name", r"^[^.]*", 0), F.lit("."), "node").alias("qualified_name"))
 
 
-@_query(f", refs AS ({_REFS}), found AS (SELECT r.src, r.tail, count(*) AS n, max(m.filepath || ':' || split_part(m.qualified_name, '.', 1) || '.' || m.node) AS k FROM (SELECT DISTINCT src, tail FROM refs) r JOIN methods_v m ON m.name = r.tail AND substr(m.node, 2)::INT < 40 GROUP BY ALL) SELECT src AS src_name, tail AS ref, k AS target FROM found WHERE n = 1")
+@_query(f", refs AS (SELECT DISTINCT src, full_name FROM ({_REFS})), named AS (SELECT m.*, p_brand || '_' || p_size || '_' || p_type AS full_name FROM methods_v m JOIN part ON m.node = 'm' || p_partkey), found AS (SELECT r.src, r.full_name, count(*) AS n, max(m.filepath || ':' || split_part(m.qualified_name, '.', 1) || '.' || m.node) AS k FROM refs r JOIN named m USING (full_name) GROUP BY ALL) SELECT src AS src_name, full_name AS ref, k AS target FROM found WHERE n = 1")
 def resolve_unique_candidates(v: Views) -> DataFrame:
-    few = _method_chunks(v).where(F.regexp_extract("qualified_name", r"m(\d+)$", 1).cast("int") < 40)  # so that some names are unique
-    out = resolve.resolved(_call_rows(_refs(v), False), few)
+    out = resolve.resolved(_call_rows(_refs(v, "full"), False), _method_chunks(v, "full"))
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 
 @_query(
-    f""", refs AS ({_REFS}), found AS (SELECT r.src, r.qualifier, r.tail, count(*) AS n, count(*) FILTER (WHERE split_part(m.qualified_name, '.', 1) = r.qualifier) AS n_exact,
+    f""", refs AS (SELECT DISTINCT src, qualifier, tail FROM ({_REFS})), found AS (SELECT r.src, r.qualifier, r.tail, count(*) AS n, count(*) FILTER (WHERE split_part(m.qualified_name, '.', 1) = r.qualifier) AS n_exact,
   max(m.filepath || ':' || split_part(m.qualified_name, '.', 1) || '.' || m.node) AS k, max(m.filepath || ':' || split_part(m.qualified_name, '.', 1) || '.' || m.node) FILTER (WHERE split_part(m.qualified_name, '.', 1) = r.qualifier) AS k_exact
   FROM refs r JOIN methods_v m ON m.name = r.tail GROUP BY ALL)
 SELECT src AS src_name, qualifier || '.' || tail AS ref, CASE WHEN n_exact = 1 THEN k_exact ELSE k END AS target FROM found WHERE n_exact = 1 OR (n_exact = 0 AND n = 1)"""
 )
 def resolve_qualified(v: Views) -> DataFrame:
-    out = resolve.resolved(_call_rows(_refs(v), True), _method_chunks(v))
+    out = resolve.resolved(_call_rows(_refs(v, "brand"), True), _method_chunks(v, "brand"))
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 

@@ -23,6 +23,11 @@ def _clamped(value: int, bounds: tuple[int, int]) -> int:
     return max(bounds[0], min(bounds[1], value))
 
 
+def _named(chunks: DataFrame) -> DataFrame:
+    """Chunks by the names that searches use."""
+    return chunks.select("repo_url", F.col("file_path").alias("filepath"), F.col("qualified_name").alias("symbol"), F.col("type").alias("chunk_type"), "start_line", "end_line", F.col("source_code").alias("code_text"))
+
+
 class Engine:
     """Tables below ``root``. ``embedder`` turns texts into vectors of ``dims``; the default hashes words."""
 
@@ -42,6 +47,8 @@ class Engine:
         repo = files.select("repo_url").first()
         if repo is None:
             raise ValueError("no supported files")
+        if files.where(~F.col("repo_url").eqNullSafe(F.lit(repo[0]))).take(1):
+            raise ValueError("files of more than one repository")
         url, now = repo[0], now or int(time.time() * 1000)
         known = self.store.read("repositories", url).first()
         state = self.store.read("file_state", url)
@@ -66,6 +73,7 @@ class Engine:
         edges = resolve.link(every)
         self.store.replace("vectors", incremental.replaced(self.store.read("vectors", url), vectors, failed, changes.join(gone.union(changed).distinct(), "path", "left_semi")))
         self.store.replace("chunks", every)
+        self._index_terms(url, every)
         self.store.drop("edges", url)
         self.store.replace("edges", edges)
         done = current.join(failed, "path", "left_anti").unionByName(state.select("path", "sha").join(failed, "path", "left_semi").join(current.select("path"), "path", "left_semi"))
@@ -74,6 +82,17 @@ class Engine:
         self.store.replace("repositories", self.spark.createDataFrame(row, "repo_url string, created_at bigint, last_indexed bigint, commit string, index_version int"))
         return incremental.summary(changes, failed)
 
+    def _index_terms(self, url: str, chunks: DataFrame) -> None:
+        """Replace a repository's postings."""
+        named = _named(chunks)
+        self.store.drop("postings", url)
+        self.store.replace("postings", lexical.indexed(named))
+        self.store.replace("totals", lexical.totals(named))
+
+    def lexical(self, terms: list[str], fields: tuple[str, ...] = tuple(lexical.FIELDS), url: str | None = None) -> DataFrame:
+        """BM25 over the stored index: statistics of all repositories, hits of one."""
+        return lexical.bm25(self.store.read("postings"), self.store.read("totals"), terms, fields, url)
+
     def _embedded(self, chunks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
         """Vectors of chunks, and the paths of files of which any chunk failed; new vectors go to the cache."""
         named = chunks.withColumn("code_text", F.col("source_code")).withColumn("key", vector.text_key(F.col("source_code"), self.model, self.dims, "passage"))
@@ -102,8 +121,7 @@ class Engine:
         return e.select("type", F.concat("src_file", F.lit("\n"), "src_name").alias("src"), F.concat("dst_file", F.lit("\n"), "dst_name").alias("dst"))
 
     def chunks(self, url: str | None = None) -> DataFrame:
-        c = self.store.read("chunks", url)
-        return c.select("repo_url", F.col("file_path").alias("filepath"), F.col("qualified_name").alias("symbol"), F.col("type").alias("chunk_type"), "start_line", "end_line", F.col("source_code").alias("code_text"))
+        return _named(self.store.read("chunks", url))
 
     # Questions
 
@@ -136,7 +154,7 @@ class Engine:
         if not targets.take(1):
             return None
         methods = graph.of_type(edges, "HAS_METHOD").join(symbols.select(F.col("node").alias("dst"), "name"), "dst").select(F.col("dst").alias("node"), F.col("src").alias("owner"), "name")
-        over = graph.overrides(methods, graph.of_type(edges, "INHERITS"))
+        over = graph.overriding(targets, methods, graph.of_type(edges, "INHERITS"))
         return graph.impact(symbols, edges, targets, _clamped(depth, DEPTHS), _clamped(max_symbols, (1, 2000)), over)
 
     def code_at(self, url: str, filepath: str, line: int) -> DataFrame:
@@ -173,7 +191,7 @@ class Engine:
         points = self.store.read("vectors", url)
         a = vector.search(points, asked, url, threshold=vector.THRESHOLD).select(F.lit(0).alias("list_id"), F.lit("vector").alias("source"), *key)
         terms = self.terms(question)
-        b = lexical.bm25(self.chunks(), terms, repo_url=url).select(F.lit(1).alias("list_id"), F.lit("bm25").alias("source"), *key)
+        b = self.lexical(terms, url=url).select(F.lit(1).alias("list_id"), F.lit("bm25").alias("source"), *key)
         candidates = max(fusion.CANDIDATES, limit)
         fused = fusion.reciprocal_rank_fusion(a.unionByName(b), 2).where(F.col("rank") <= candidates)
         hits = self.chunks(url).join(F.broadcast(fused), ["filepath", "symbol", "start_line"])  # as many rows as candidates

@@ -35,13 +35,10 @@ class Views:
         """query_id, vector of a few vectors."""
         return self.table("embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
-    def calls(self, sparse: bool = True) -> DataFrame:
-        """type, src, dst: orders as calls between customers."""
+    def calls(self) -> DataFrame:
+        """type, src, dst: all orders as calls between customers."""
         n = self.table("customer").agg(F.count("*")).scalar()
-        rows = self.table("orders")
-        if sparse:
-            rows = rows.where(F.col("o_orderkey") % 7 == 0)
-        pairs = rows.select(F.col("o_custkey").alias("a"), F.pmod(F.col("o_orderkey"), n).alias("b")).where("a <> b").distinct()
+        pairs = self.table("orders").select(F.col("o_custkey").alias("a"), F.pmod(F.col("o_orderkey"), n).alias("b")).where("a <> b").distinct()
         return pairs.select(F.lit("CALLS").alias("type"), F.concat(F.lit("f"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("f"), F.col("b").cast("string")).alias("dst"))
 
     def inherits(self) -> DataFrame:
@@ -104,10 +101,8 @@ SQL = r"""
 chunks_v AS (SELECT doc_id, source AS repo_url, lang || '/' || doc_id AS filepath, 'doc_' || doc_id AS symbol, lang AS chunk_type, 1 AS start_line,
   length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS end_line, coalesce(text, '') AS code_text FROM documents),
 points_v AS (SELECT c.* EXCLUDE (code_text), e.embedding AS vector FROM embeddings e JOIN chunks_v c ON e.vec_id = c.doc_id),
-calls_all_v AS (SELECT DISTINCT 'CALLS' AS type, 'f' || o_custkey AS src, 'f' || (o_orderkey % (SELECT count(*) FROM customer)) AS dst
-  FROM orders WHERE o_custkey <> o_orderkey % (SELECT count(*) FROM customer)),
 calls_v AS (SELECT DISTINCT 'CALLS' AS type, 'f' || o_custkey AS src, 'f' || (o_orderkey % (SELECT count(*) FROM customer)) AS dst
-  FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey <> o_orderkey % (SELECT count(*) FROM customer)),
+  FROM orders WHERE o_custkey <> o_orderkey % (SELECT count(*) FROM customer)),
 inherits_v AS (SELECT 'INHERITS' AS type, 'c' || s_suppkey AS src, 'c' || (s_suppkey // 2) AS dst FROM supplier WHERE s_suppkey >= 2),
 methods_v AS (SELECT 'm' || p_partkey AS node, 'c' || own AS owner, p_brand AS name, 'Class_' || own || '.' || p_brand || '#' || p_partkey AS qualified_name,
   'cls_' || own || '.py' AS filepath, (own * 100 + 2 + (p_partkey // n) % 90)::INT AS start_line, (own * 100 + 3 + (p_partkey // n) % 90)::INT AS end_line

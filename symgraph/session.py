@@ -24,16 +24,18 @@ def share_code(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``); only where none is set, a temporary one."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``); a temporary one where none is set and all run on this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("symgraph.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="symgraph-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("symgraph.shared.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage: what reads the result never recomputes what made it, and the files outlive any executor. They
@@ -41,7 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

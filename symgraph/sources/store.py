@@ -19,9 +19,13 @@ SCHEMAS = {
     "edges": EDGE,
     "file_state": FILE_STATE,
     "repositories": "repo_url string, created_at bigint, last_indexed bigint, commit string, index_version int",
+    "postings": "repo_url string, bucket int, term string, field string, filepath string, symbol string, start_line int, tf bigint, dl bigint",
+    "totals": "repo_url string, chunks bigint, tokens bigint",
     "embedding_cache": "model string, key string, vector array<float>, created_at bigint",
 }
-PARTITION = {"embedding_cache": "model"}
+#: What each table is partitioned by, if not by repository, and how rows are sorted within a file.
+PARTITION = {"embedding_cache": ["model"], "postings": ["repo_url", "bucket"]}
+SORTED = {"postings": ["term"], "chunks": ["file_path"], "vectors": ["filepath"]}
 
 
 class Store:
@@ -47,8 +51,10 @@ class Store:
         """Put ``rows`` in place of the partitions that they belong to."""
         fields = [c.strip().split(" ")[0] for c in SCHEMAS[name].replace("array<string>", "x").split(",")]
         staged = materialize(rows.select(*fields), f"stage-{name}")
-        part = PARTITION.get(name, "repo_url")
-        staged.repartition(part, F.pmod(F.xxhash64(*[c for c in fields if c != part][:3]), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{self.root}/{name}")
+        part = PARTITION.get(name, ["repo_url"])
+        spread = [] if "bucket" in part else [F.pmod(F.xxhash64(*[c for c in fields if c not in part][:3]), F.lit(64))]
+        dealt = staged.repartition(*part, *spread).sortWithinPartitions(*part, *SORTED.get(name, []))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str, repo_url: str) -> bool:
         """Remove a repository's partition; false if there was none."""
@@ -61,7 +67,7 @@ class Store:
 
     def delete_repository(self, repo_url: str) -> bool:
         """Remove a repository from all tables; false if it was not indexed."""
-        return any([self.drop(name, repo_url) for name in ("chunks", "vectors", "edges", "file_state", "repositories")])
+        return any([self.drop(name, repo_url) for name in ("chunks", "vectors", "edges", "postings", "totals", "file_state", "repositories")])
 
     def points(self, refs: DataFrame) -> DataFrame:
         """The chunks of listed places (ord, repo_url, filepath, symbol, start_line), in their order; unknown ones are left out."""
@@ -81,3 +87,21 @@ class Store:
         for old in there[:-keep]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, old), True)
         return there[-keep:]
+
+    def restore(self, source: str, stamp: str | None = None) -> str:
+        """Put all tables back as the copy ``stamp`` (the newest) below ``source`` has them; returns the stamp. Tables that the copy lacks go."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(source)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+        if not there or stamp not in (None, *there):
+            raise ValueError(f"no such copy below {source}: {stamp}")
+        stamp = stamp or there[-1]
+        for name in SCHEMAS:
+            path, own = self._path(name)
+            copy = self.spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{stamp}/{name}")
+            if own.exists(path):
+                own.delete(path, True)
+            if fs.exists(copy):
+                rows = self.spark.read.schema(SCHEMAS[name]).parquet(str(copy))
+                rows.write.partitionBy(*PARTITION.get(name, ["repo_url"])).parquet(f"{self.root}/{name}")
+        return stamp

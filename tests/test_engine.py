@@ -94,13 +94,61 @@ def test_discovery_rules(spark):
 
 
 def test_streamed_snapshots(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     from symgraph.streaming.ingest import stream_index
 
     engine = Engine(spark, str(tmp_path / "store"))
-    files(spark, fixtures.SCRIPT).select("repo_url", "path", "language", "sha", "content").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    query = stream_index(spark, str(tmp_path / "in" / "*"), engine, str(tmp_path / "state"))
-    query.awaitTermination(120)
+    columns = ["repo_url", "snapshot", "n_files", "path", "language", "sha", "content"]
+
+    def put(name, sources, snapshot, n):
+        rows = files(spark, sources).withColumn("snapshot", F.lit(snapshot)).withColumn("n_files", F.lit(n).cast("bigint"))
+        rows.select(*columns).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream_index(spark, str(tmp_path / "in" / "*"), engine, str(tmp_path / "state")).awaitTermination(120)
+
+    every = list(fixtures.SCRIPT.items())
+    put("a", dict(every[:1]), "1", len(every))
+    assert engine.symbols("r").count() == 0  # the rest has not arrived
+    put("b", dict(every[1:]), "1", len(every))
     assert engine.symbols("r").count() == 14
+    put("c", dict(every[:1]), "2", len(every))
+    assert engine.symbols("r").count() == 14 and engine.store.read("file_state", "r").count() == len(every)
+    put("d", dict(every[:1]), "0", 1)
+    assert engine.symbols("r").count() == 14  # older than what is indexed
+    put("e", dict(every[:1]), "3", 1)
+    assert engine.store.read("file_state", "r").count() == 1
+
+
+def test_files_of_two_repositories_are_refused(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = files(spark, fixtures.SCRIPT)
+    with pytest.raises(ValueError, match="more than one"):
+        Engine(spark, str(tmp_path / "store")).index(rows.unionByName(rows.withColumn("repo_url", F.lit("other"))))
+
+
+def test_backup_and_restore(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.index(files(spark, fixtures.PYTHON), "c1", now=1)
+    before = {name: engine.store.read(name).count() for name in ("chunks", "edges", "postings", "repositories", "embedding_cache")}
+    assert min(before.values()) > 0 and engine.store.backup(str(tmp_path / "copies"), "2024-01-01") == ["2024-01-01"]
+    engine.delete_repository("r")
+    assert engine.store.read("postings").count() == 0
+    assert engine.store.restore(str(tmp_path / "copies")) == "2024-01-01"
+    assert {name: engine.store.read(name).count() for name in before} == before
+    assert engine.search("r", "add total hurry", limit=3).count() == 3
+    with pytest.raises(ValueError, match="no such copy"):
+        engine.store.restore(str(tmp_path / "copies"), "2023-01-01")
+
+
+def test_searches_read_their_terms_alone(spark, sf_dir):
+    from symgraph.plans.catalogue import _bm25
+    from symgraph.plans.views import Views
+
+    plan = _bm25(Views(spark, sf_dir), ["idiot", "von"])._jdf.queryExecution().executedPlan().toString()
+    assert "code_text" not in plan.replace("code_text,", "") or "documents" not in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "In(term" in plan or "term IN" in plan
 
 
 def test_read_repository(spark, tmp_path):
