@@ -41,10 +41,10 @@ def reach(pairs: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def neighbours(symbols: DataFrame, pairs: DataFrame, matches: DataFrame, depth: int, limit: int) -> DataFrame:
-    """One row a neighbour, at most ``limit`` for each match, with the uncut ``total``."""
+def neighbours(symbols: DataFrame, pairs: DataFrame, matches: DataFrame, depth: int, limit: int, by: tuple[str, ...] = ("hops", "filepath", "qualified_name")) -> DataFrame:
+    """One row a neighbour, at most ``limit`` for each match, the first in order of ``by``, with the uncut ``total``."""
     found = reach(pairs, matches.select("node"), depth).join(symbols.select("node", "filepath", "qualified_name"), "node")
-    order = W.partitionBy("start").orderBy("hops", "filepath", "qualified_name")
+    order = W.partitionBy("start").orderBy(*by)
     total = found.groupBy("start").agg(F.count("*").alias("total"))
     return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).join(total, "start")
 

@@ -351,7 +351,7 @@ SELECT a.qualified_name, a.filepath, a.type, coalesce(string_agg(c.qualified_nam
 )
 def symbol_context(v: Views) -> DataFrame:
     anchors = v.symbols().where("type = 'function' AND filepath = 'mod_7.py'").orderBy("filepath", "qualified_name").limit(15)
-    found = graph.neighbours(v.symbols(), graph.of_type(v.calls(), "CALLS"), anchors, 2, 10)
+    found = graph.neighbours(v.symbols(), graph.of_type(v.calls(), "CALLS"), anchors, 2, 10, ("hops", "qualified_name", "filepath"))
     # at most ten neighbours of each anchor are listed
     listed = F.transform(F.array_sort(F.collect_list(F.struct("hops", "qualified_name", "filepath"))), lambda x: F.concat(x["qualified_name"], F.lit(":"), x["hops"].cast("string")))
     calls = found.groupBy("start").agg(F.array_join(listed, ",").alias("calls"))
