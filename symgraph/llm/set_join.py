@@ -1,10 +1,11 @@
-"""Exact similarity join of texts by their sets of word shingles: Jaccard similarity, prefix filter, verified on the texts.
+"""Similarity join of texts by their sets of word shingles: Jaccard similarity, fingerprints, prefix filter, verified on the texts.
 
-Texts of equal sets are one node. A set's shingles are put in one order for all texts, frequent ones last, and two sets of
-similarity t share one of the first ``n - ceil(t * n) + 1`` of each; so every pair that is similar meets in the list of
-some such shingle, whatever was edited. Frequent are shingles that a bounded sample shows often, and after them those whose
-lists turn out longer than LONG: these are found by counting all lists, and only the sets that have one in their prefix get a
-new prefix. The order decides how long lists get, never which pairs are found.
+Texts of equal sets are one node, known by the set's SimHash fingerprint and a hash. A set's shingles are put in one order for all
+texts, frequent ones last, and two sets of similarity t share one of the first ``n - ceil(t * n) + 1`` of each; so every pair that is
+similar meets in the list of some such shingle, whatever was edited. The order is that of counts in a bounded sample, ties by the
+hash: the sample decides how long lists get, never which pairs are found. Of two sets of LARGE shingles or more that meet, those
+whose fingerprints differ in more than APART of 64 bits are not alike: at similarity 0.8 a bit differs with chance 0.15, so a pair is
+passed over with a chance of about 1 in 10^8.
 
 Candidates are verified before any is left out. First come the pairs that the caller's own search proposes (by fingerprints), and each
 node with the first of its lists; after that, round by round, every pair of a list within a span of neighbours that grows until
@@ -12,7 +13,7 @@ it covers the list, unless earlier links already join the two or the pair was ch
 has been checked or lies within one component.
 
 Defined cases: a null text counts as empty; texts without words are alike; fewer words than a shingle are one shingle.
-Shingles are compared by hashes of 64 bits and sets by hashes of 128 bits.
+Shingles are compared by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import majority, materialize, text_of
@@ -32,8 +33,8 @@ from .url_filter import bloom_filter, might_contain
 _SEED = 17
 #: Texts in the sample that tells frequent shingles, the least count there, and how many shingles are kept.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
-#: Lists longer than this are shortened, in so many rounds at most, by putting their shingles last.
-LONG, SHORTENED = 32, 3
+#: From how many shingles on fingerprints count, and how many bits at most differ in texts that are alike.
+LARGE, APART = 32, 28
 #: The span of the first full round, and its growth.
 SPAN, GROWTH = 16, 16
 
@@ -60,21 +61,20 @@ def _least(n: np.ndarray | int, at_least: float) -> np.ndarray:
     return np.ceil(at_least * np.asarray(n, dtype=np.float64) - 1e-9).astype(np.int64)
 
 
-def prefix(found: np.ndarray, at_least: float, frequent: np.ndarray, counts: np.ndarray, late: dict[int, int] | None = None) -> np.ndarray:
-    """The first shingles of a set, in the common order, that a similar set shares one of; ``frequent`` is sorted.
-
-    ``late``: those of the set whose lists are long, with the length that put them last.
-    """
+def prefix(found: np.ndarray, at_least: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the common order, that a similar set shares one of; ``frequent`` is sorted."""
     if not len(found):
         return found
     rank = np.zeros(len(found), dtype=np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
         rank = np.where(frequent[at] == found, counts[at], 0)
-    last = np.zeros(len(found), dtype=np.int64)
-    for s, n in (late or {}).items():
-        last[int(np.searchsorted(found, np.int64(s).view(np.uint64)))] = n
-    return found[np.lexsort((found, rank, last))][: len(found) - int(_least(len(found), at_least)) + 1]
+    return found[np.lexsort((found, rank))][: len(found) - int(_least(len(found), at_least)) + 1]
+
+
+def node_of(found: np.ndarray) -> bytes:
+    """What a set is known by: its fingerprint, then a hash of it, 8 bytes each."""
+    return majority(found).to_bytes(8, "big") + xxhash.xxh3_64_digest(found.tobytes())
 
 
 def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +104,23 @@ def _nodes(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), dtype=np.int64).reshape(-1, 2)
 
 
-def set_rows(docs: DataFrame, at_least: float, shingle: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, th (a hash of the text), node (a hash of the set), n (its size), fp (the set's fingerprint) and prefix of every row."""
+def set_rows(docs: DataFrame, at_least: float, shingle: int) -> DataFrame:
+    """doc_id, th (a hash of the text), node (see ``node_of``), n (the set's size) and prefix of every row."""
+    frequent, counts = _frequent(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, fps, prefixes = [], [], [], []
+            nodes, sizes, prefixes = [], [], []
             for text in batch.column(2):  # one text at a time is a Python string
                 found = shingle_set(text.as_py(), shingle)
-                nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
+                nodes.append(node_of(found))
                 sizes.append(len(found))
-                fps.append(majority(found).to_bytes(8, "big"))
                 prefixes.append(prefix(found, at_least, frequent, counts).tobytes())
-            made = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "th", "node", "n", "fp", "prefix"])
+            made = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "th", "node", "n", "prefix"])
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, th bigint, node binary, n bigint, fp binary, prefix binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, th bigint, node binary, n bigint, prefix binary")
 
 
 def _dealt(classes: DataFrame) -> DataFrame:
@@ -141,69 +141,6 @@ def _dealt(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "prefix").mapInArrow(run, "s bigint, n bigint, x bigint, y bigint, at int")
 
 
-def _as_nodes(rows: DataFrame) -> DataFrame:
-    """node of rows of its two words x, y."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            yield pa.RecordBatch.from_arrays([_binary(words)], ["node"])
-
-    return rows.select("x", "y").mapInArrow(run, "node binary")
-
-
-def _listed(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, s: all shingles of the texts (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
-                found = pa.array(shingle_set(text.as_py(), shingle).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), found], ["node", "s"])
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, s bigint")
-
-
-def _filter(keys: DataFrame) -> Column:
-    """Which ``s`` may be among ``keys.s``: a filter of bounded size, written once."""
-    written = materialize(bloom_filter(keys.select(F.col("s").cast("string").alias("key"))), "similar-filter")
-    return might_contain(written.scalar(), F.col("s").cast("string"))
-
-
-def _shortened(docs: DataFrame, classes: DataFrame, at_least: float, shingle: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``classes`` (node, least, n, fp, prefix), long lists shortened: their shingles come last in the order of all sets.
-
-    A set whose prefix has none of them keeps its prefix, as what follows a prefix does not change it. The others' texts are
-    read again, so that all of their late shingles are known. Any number of rounds leaves one order for all sets.
-    """
-
-    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefixes = []
-            for text, late in zip(batch.column(1), batch.column(2), strict=True):
-                known = {x["s"]: x["late"] for x in late.as_py()}
-                prefixes.append(prefix(shingle_set(text.as_py(), shingle), at_least, frequent, counts, known).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prefixes, pa.binary())], ["node", "prefix"])
-
-    late = None
-    for _ in range(SHORTENED):
-        dealt = _dealt(classes).select("s", "x", "y")
-        new = dealt.groupBy("s").agg(F.count("*").alias("late")).where(F.col("late") > LONG)
-        new = materialize(new if late is None else new.join(late, "s", "left_anti"), "similar-long")
-        if new.isEmpty():
-            break
-        late = new if late is None else materialize(late.unionByName(new), "similar-late")
-        hit = dealt.where(_filter(new)).join(new.select("s"), "s", "left_semi").select("x", "y").distinct()
-        texts = _texts(docs, classes.select("node", "least"), _as_nodes(hit))
-        # of one text, its late shingles: no longer than the text itself
-        known = _listed(texts, shingle).where(_filter(late)).join(late, "s").groupBy("node").agg(F.collect_list(F.struct("s", "late")).alias("late"))
-        fresh = texts.join(known, "node").select("node", "text", "late").mapInArrow(reorder, "node binary, prefix binary")
-        fresh = fresh.select(F.col("node").alias("_node"), F.col("prefix").alias("_prefix"))
-        joined = classes.join(fresh, F.col("node") == F.col("_node"), "left")
-        classes = materialize(joined.select("node", "least", "n", "fp", F.coalesce("_prefix", "prefix").alias("prefix")), "similar-classes")
-    return classes
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of whole lists (runs of the first column), a batch at a time."""
     held: list[np.ndarray] | None = None
@@ -227,10 +164,11 @@ def _spans(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
 
 
-def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, at_least: float) -> np.ndarray:
-    """Whether sizes and places allow the similarity, if this is the first shingle that both share; i is no larger than j."""
+def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, at_least: float) -> np.ndarray:
+    """Whether sizes, places and fingerprints allow the similarity, if this is the first shingle that both share; i is no larger than j."""
     shared = np.minimum(n[i] - at[i], n[j] - at[j])
-    return (n[i] >= _least(n[j], at_least)) & (shared >= _least(n[i] + n[j], at_least / (1 + at_least)))
+    near = (n[i] < LARGE) | (np.bitwise_count(fp[i] ^ fp[j]) <= APART)
+    return near & (n[i] >= _least(n[j], at_least)) & (shared >= _least(n[i] + n[j], at_least / (1 + at_least)))
 
 
 _POSTING = "s bigint, n bigint, at int, node binary, first binary"
@@ -256,7 +194,7 @@ def _met(dealt: DataFrame, at_least: float) -> DataFrame:
             first = np.array(first)
             nodes = np.stack((x, y), axis=1)
             heads = _binary(nodes[first])
-            use = (first != keep) & _may(first, keep, n, at, at_least)
+            use = (first != keep) & _may(first, keep, n, at, x.view(np.uint64), at_least)
             heads = pa.array([h if u else None for u, h in zip(use.tolist(), heads.to_pylist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep]), pa.array(at[keep]), _binary(nodes[keep]), heads], ["s", "n", "at", "node", "first"])
 
@@ -269,6 +207,7 @@ def _round(postings: DataFrame, roots: DataFrame, span: int, at_least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, n, at, node, root in _lists(batches):
             starts, ends = _spans(s)
+            fp = _nodes(pa.array(node, pa.binary()))[:, 0].view(np.uint64)
             i = np.flatnonzero(starts >= 0)
             for k in range(1, span + 1):
                 i = i[i + k < ends[i]]
@@ -276,7 +215,7 @@ def _round(postings: DataFrame, roots: DataFrame, span: int, at_least: float) ->
                 if not len(i):
                     break
                 j = i + k
-                hit = _may(i, j, n, at, at_least) & (root[i] != root[j]).astype(bool)
+                hit = _may(i, j, n, at, fp, at_least) & (root[i] != root[j]).astype(bool)
                 if hit.any():
                     a, b = i[hit], j[hit]
                     yield pa.RecordBatch.from_arrays(
@@ -328,14 +267,12 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     Rows of a component share ``component_id``, its smallest doc_id, and ``first_th``, the hash of that row's text.
     ``proposed``: pairs (a, b) of nodes (node, fp) that are checked first.
     """
-    frequent, counts = _frequent(docs, shingle)
-    rows = materialize(set_rows(docs, at_least, shingle, frequent, counts), "similar-sets")
+    rows = materialize(set_rows(docs, at_least, shingle), "similar-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("least")
-    one = lambda c: F.first(c).alias(c)
-    classes = materialize(rows.groupBy("node").agg(least, one("n"), one("fp"), one("prefix")), "similar-classes")
+    classes = materialize(rows.groupBy("node").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "similar-classes")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = proposed(classes.select("node", "fp")).select(*ordered("a", "b")).distinct() if proposed else None
-    classes = _shortened(docs, classes, at_least, shingle, frequent, counts)
+    fps = classes.select("node", F.substring("node", 1, 8).alias("fp"))
+    first = proposed(fps).select(*ordered("a", "b")).distinct() if proposed else None
     postings = materialize(_met(_dealt(classes), at_least), "similar-lists")
     classes = classes.select("node", "least")
     heads = postings.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("first"))
