@@ -863,19 +863,27 @@ def indexed_paths(v: Views) -> DataFrame:
     return v.symbols().select(F.col("filepath").alias("path")).distinct()
 
 
-# Parsing and linking, over source fixtures
+# Parsing and linking, over source fixtures: what they give is known, row by row
 
 
-@_query()
+_PARSED = "file_path, qualified_name, name, type, start_line, end_line, docstring, calls, bases"
+
+
+@_query(fixtures.expected(fixtures.PYTHON_SYMBOLS, _PARSED), views=False)
 def parse_python_symbols(v: Views) -> DataFrame:
-    return fixtures.chunks(v.spark, "python").drop("source_code")
+    return _parsed(v, "python")
 
 
-@_query()
+@_query(fixtures.expected(fixtures.SCRIPT_SYMBOLS, _PARSED), views=False)
 def parse_script_symbols(v: Views) -> DataFrame:
-    return fixtures.chunks(v.spark, "typescript").drop("source_code")
+    return _parsed(v, "typescript")
+
+
+def _parsed(v: Views, language: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return fixtures.chunks(v.spark, language).select("file_path", "qualified_name", "name", "type", "start_line", "end_line", F.coalesce("docstring", F.lit("")).alias("docstring"), joined("calls"), joined("bases"))
 
 
-@_query()
+@_query(fixtures.expected(fixtures.EDGES, "type, src_file, src_name, dst_file, dst_name"), views=False)
 def link_python_repo(v: Views) -> DataFrame:
-    return resolve.link(fixtures.chunks(v.spark))
+    return resolve.link(fixtures.chunks(v.spark)).drop("repo_url")

@@ -38,5 +38,6 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_without_sql_gives_rows(spark, sf_dir):
+    assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
         assert catalogue.queries()[name](spark, sf_dir).count() > 0, name
