@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import majority, materialize, text_of
@@ -248,17 +248,36 @@ def similar(pairs: DataFrame, at_least: float, shingle: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text: a text of each of ``nodes``."""
-    ends = nodes.join(classes, "node").select("node", F.col("least.doc_id").alias("_id"), F.col("least.th").alias("_th"))
-    ends = materialize(ends, "similar-ends")
-    source = docs.select("doc_id", text_of().alias("text")).withColumn("th", F.xxhash64("text"))
-    # a filter of bounded size keeps most other texts out of the shuffle; the join is what decides
-    key = lambda id, th: F.concat_ws(":", F.col(id).cast("string"), F.col(th).cast("string"))
-    bits = materialize(bloom_filter(ends.select(key("_id", "_th").alias("key"))), "similar-filter").scalar()
-    source = source.where(might_contain(bits, key("doc_id", "th")))
-    texts = source.join(ends, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
-    return materialize(texts, "similar-texts")
+def key_of(doc_id: Column, th: Column) -> Column:
+    """What a row is known by beside the hash of its text; rows are joined on both, two hashes of 64 bits."""
+    return F.xxhash64(doc_id, th, F.lit(7))
+
+
+def listed(keys: DataFrame, name: str) -> Callable[[str, str], Column]:
+    """Whether a row of key ``k`` and hash ``own`` may be one of ``keys`` (k, own), by a Bloom filter of bounded size: it
+    keeps most other texts out of a shuffle, and a join decides."""
+    word = lambda k, own: F.concat_ws(":", k, own)
+    bits = materialize(bloom_filter(keys.select(word("k", "own").alias("key"))), name).scalar()
+    return lambda k, own: might_contain(bits, word(k, own))
+
+
+def _texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """k, own, text of the rows that ``ends`` lists, once each, and of few others."""
+    source = docs.select("doc_id", text_of().alias("text")).withColumn("own", F.xxhash64("text")).withColumn("k", key_of(F.col("doc_id"), F.col("own")))
+    source = source.where(listed(ends, "similar-filter")("k", "own"))
+    return materialize(source.select("k", "own", "text").dropDuplicates(["k", "own"]), "similar-texts")
+
+
+def _checked(pairs: DataFrame, ends: DataFrame, texts: DataFrame, at_least: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that are similar by the texts of their ``ends`` (node, k, own)."""
+    for c in "ab":
+        pairs = pairs.join(ends.select(F.col("node").alias(c), F.col("k").alias(f"k_{c}"), F.col("own").alias(f"own_{c}")), c)
+    pairs = materialize(pairs, "similar-ends")
+    both = [pairs.select(F.col(f"k_{c}").alias("k"), F.col(f"own_{c}").alias("own")) for c in "ab"]
+    texts = texts.where(listed(both[0].unionByName(both[1]), "similar-filter")("k", "own"))
+    for c in "ba":
+        pairs = pairs.join(texts.select(F.col("k").alias(f"k_{c}"), F.col("own").alias(f"own_{c}"), F.col("text").alias(f"text_{c}")), [f"k_{c}", f"own_{c}"])
+    return materialize(similar(pairs, at_least, shingle), "similar-links")
 
 
 def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -275,24 +294,25 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     first = proposed(fps).select(*ordered("a", "b")).distinct() if proposed else None
     postings = materialize(_met(_dealt(classes), at_least), "similar-lists")
     classes = classes.select("node", "least")
+    ends = classes.select("node", key_of(F.col("least.doc_id"), F.col("least.th")).alias("k"), F.col("least.th").alias("own"))
     heads = postings.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("first"))
     tested = heads.select(*ordered("node", "first"))
     tested = materialize((tested.unionByName(first) if first is not None else tested).distinct(), "similar-pairs")
     # also the sets that only the first search pairs
     needed = postings.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node")))
-    texts = _texts(docs, classes, needed.distinct())
-    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    check = lambda pairs: materialize(similar(pairs.join(b, "b").join(a, "a"), at_least, shingle), "similar-links")
+    ends = materialize(ends.join(needed.distinct(), "node"), "similar-ends")
+    texts = _texts(docs, ends)
+    check = lambda pairs: _checked(pairs, ends, texts, at_least, shingle)
 
-    links = check(tested)
-    roots, span = connected_components(links), SPAN
+    roots, span = connected_components(check(tested)), SPAN
     while not postings.isEmpty():
         met = materialize(_round(postings, roots, span, at_least), "similar-round")
         pairs = met.where("first IS NOT NULL").select(*ordered("node", "first")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
         if not pairs.isEmpty():
-            tested, links = tested.unionByName(pairs), links.unionByName(check(pairs))
-            roots = connected_components(links)
+            tested = tested.unionByName(pairs)
+            # what is known goes in as each node's root, so that few rounds are left
+            roots = connected_components(check(pairs).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         postings, span = met.where("first IS NULL"), span * GROWTH
     rooted = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "similar-roots")

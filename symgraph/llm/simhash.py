@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import majority, materialize, text_of
 from .components import connected_components
-from .set_join import similar_groups
+from .set_join import key_of, listed, similar_groups
 
 
 @dataclass(frozen=True)
@@ -284,16 +284,19 @@ def deduplicated(docs: DataFrame, at_least: float = SIMILAR, shingle: int = SIMI
     Of rows equal in doc_id and text, that whose other columns come first in order is kept. Null and empty texts are alike.
     """
     groups = similar_groups(docs.select("doc_id", "text"), at_least, shingle, fingerprint_links)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
-    # a row is known by two hashes of 64 bits; joined and grouped on the same two, texts are shuffled once
-    key = lambda id, th: F.xxhash64(id, th, F.lit(7))
-    first = first.select(key(F.col("doc_id"), F.col("th")).alias("k"), F.col("th").alias("own")).distinct()
-    th = F.xxhash64(F.coalesce("d.text", F.lit("")))
-    marked = docs.select(F.struct("*").alias("d")).withColumn("own", th).withColumn("k", key(F.col("d.doc_id"), F.col("own")))
-    kept = marked.join(first, ["k", "own"], "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th"))
+    rows = groups.select(key_of(F.col("doc_id"), F.col("th")).alias("k"), F.col("th").alias("own"), stays.alias("stays"))
+    # rows that go or are repeated; all others stay without a shuffle of their texts
+    touched = rows.groupBy("k", "own").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 OR NOT stays")
+    touched = materialize(touched.select("k", "own", "stays"), "similar-touched")
+    may = listed(touched, "similar-filter")("k", "own")
+    marked = docs.select(F.struct("*").alias("d")).withColumn("own", F.xxhash64(F.coalesce("d.text", F.lit(""))))
+    marked = marked.withColumn("k", key_of(F.col("d.doc_id"), F.col("own")))
+    unsure = marked.where(may).join(touched, ["k", "own"], "left").where("stays IS NULL OR stays")
     rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
     order = F.struct(*[F.col(f"d.`{c}`") for c in rest], F.lit(0).alias("z"))
-    return kept.groupBy("k", "own").agg(F.min_by("d", order).alias("d")).select("d.*")
+    once = unsure.groupBy("k", "own").agg(F.min_by("d", order).alias("d"))
+    return marked.where(~may).select("d.*").unionByName(once.select("d.*"))
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
