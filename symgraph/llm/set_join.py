@@ -8,8 +8,8 @@ whose fingerprints differ in more than APART of 64 bits are not alike: at simila
 passed over with a chance of about 1 in 10^8.
 
 Candidates are verified before any is left out. First come the pairs that the caller's own search proposes (by fingerprints), and each
-node with the first of its lists; after that, round by round, every pair of a list within a span of neighbours that grows until
-it covers the list, unless earlier links already join the two or the pair was checked. When no list is left, each pair that meets
+node with the first of its lists; after that, round by round, every pair of a list that sizes and places in the prefixes allow,
+within a span of neighbours that grows until it covers the list, unless earlier links already join the two or the pair was checked. When no list is left, each pair that meets
 has been checked or lies within one component.
 
 Defined cases: a null text counts as empty; texts without words are alike; fewer words than a shingle are one shingle.
@@ -171,22 +171,39 @@ def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.nda
     return near & (n[i] >= _least(n[j], at_least)) & (shared >= _least(n[i] + n[j], at_least / (1 + at_least)))
 
 
+def _reach(s: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of whole lists, sizes ascending: where the rows end that sizes and places let be similar to a row before them
+    (after i only those before ``end[i]`` can be), and which rows have such a partner more than ``span`` rows away.
+
+    Two sets that share this shingle first share no more than either has from its place on, so a row met late in its
+    prefix reaches no larger set, and is at most the larger one of a pair. Bounds are rounded towards reaching too far; ``_may`` decides.
+    """
+    most = np.floor((n - at) * ((1 + at_least) / at_least) + 1e-6).astype(np.int64) - n
+    of = np.concatenate(([0], np.cumsum(np.diff(s) != 0))) << 32
+    key, here = of + n, np.arange(len(s))
+    upper = np.clip(np.minimum(most, np.floor(n / at_least + 1e-6).astype(np.int64)), 0, (1 << 32) - 1)
+    end = np.searchsorted(key, of + upper, side="right")
+    ahead = end > here + span + 1
+    least = np.searchsorted(key, of + _least(n, at_least))
+    behind = np.minimum(np.searchsorted(key, of + np.clip(most, 0, n), side="right"), here - span) > least
+    met = np.zeros(len(s) + 1, dtype=np.int64)
+    np.add.at(met, here[ahead] + span + 1, 1)
+    np.add.at(met, end[ahead], -1)
+    return end, ahead | (behind & (np.cumsum(met)[:-1] > 0))
+
+
 _POSTING = "s bigint, n bigint, at int, node binary, first binary"
 
 
 def _met(dealt: DataFrame, at_least: float) -> DataFrame:
-    """s, n, at, node, first: the rows of lists in which two sizes are near enough; ``first`` is the list's first node of such a size, if the two may be similar."""
+    """s, n, at, node, first: the rows of lists that sizes and places let be similar to another; ``first`` is the list's first node of such a size, if the two may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, n, x, y, at in _lists(batches):
-            starts, ends = _spans(s)
-            i = np.flatnonzero(np.arange(len(s)) + 1 < ends)
-            near = i[n[i] >= _least(n[i + 1], at_least)]
-            if not len(near):
+            starts, _ = _spans(s)
+            keep = np.flatnonzero(_reach(s, n, at, 0, at_least)[1])
+            if not len(keep):
                 continue
-            listed = np.zeros(len(s), dtype=bool)
-            listed[starts[near]] = True
-            keep = np.flatnonzero(listed[starts])
             first = []
             for k in keep.tolist():
                 a = int(starts[k])
@@ -202,16 +219,16 @@ def _met(dealt: DataFrame, at_least: float) -> DataFrame:
 
 
 def _round(postings: DataFrame, roots: DataFrame, span: int, at_least: float) -> DataFrame:
-    """Rows with ``first`` (node, first): pairs within ``span`` of a list that no link joins yet; without: rows of lists that are longer."""
+    """Rows with ``first`` (node, first): pairs within ``span`` of a list that no link joins yet; without: rows that may be similar to one further away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, n, at, node, root in _lists(batches):
-            starts, ends = _spans(s)
+            starts, _ = _spans(s)
             fp = _nodes(pa.array(node, pa.binary()))[:, 0].view(np.uint64)
-            i = np.flatnonzero(starts >= 0)
+            end, left = _reach(s, n, at, span, at_least)
+            i = np.arange(len(s))
             for k in range(1, span + 1):
-                i = i[i + k < ends[i]]
-                i = i[n[i] >= _least(n[i + k], at_least)]  # sizes ascend: no later one is nearer
+                i = i[i + k < end[i]]
                 if not len(i):
                     break
                 j = i + k
@@ -221,7 +238,7 @@ def _round(postings: DataFrame, roots: DataFrame, span: int, at_least: float) ->
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s[a]), pa.array(n[a]), pa.array(at[a]), pa.array(node[a], pa.binary()), pa.array(node[b], pa.binary())], ["s", "n", "at", "node", "first"]
                     )
-            left = np.flatnonzero(ends - starts > span + 1)
+            left = np.flatnonzero(left)
             if len(left):
                 mixed = np.zeros(len(s), dtype=bool)
                 mixed[starts[left[root[left] != root[starts[left]]]]] = True
