@@ -218,36 +218,35 @@ def _met(dealt: DataFrame, at_least: float) -> DataFrame:
     return dealt.repartition("s").sortWithinPartitions("s", "n", "x", "y").mapInArrow(run, _POSTING)
 
 
-def _round(postings: DataFrame, roots: DataFrame, span: int, at_least: float) -> DataFrame:
-    """Rows with ``first`` (node, first): pairs within ``span`` of a list that no link joins yet; without: rows that may be similar to one further away."""
+def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least: float) -> DataFrame:
+    """a, b: pairs of a list, over ``past`` and up to ``span`` rows apart, that may be similar and that no link joins yet; a row
+    of nulls, if some list has rows further apart that may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = False
         for s, n, at, node, root in _lists(batches):
             starts, _ = _spans(s)
             fp = _nodes(pa.array(node, pa.binary()))[:, 0].view(np.uint64)
             end, left = _reach(s, n, at, span, at_least)
             i = np.arange(len(s))
-            for k in range(1, span + 1):
+            for k in range(past + 1, span + 1):
                 i = i[i + k < end[i]]
                 if not len(i):
                     break
                 j = i + k
                 hit = _may(i, j, n, at, fp, at_least) & (root[i] != root[j]).astype(bool)
                 if hit.any():
-                    a, b = i[hit], j[hit]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s[a]), pa.array(n[a]), pa.array(at[a]), pa.array(node[a], pa.binary()), pa.array(node[b], pa.binary())], ["s", "n", "at", "node", "first"]
-                    )
+                    a, b = node[i[hit]], node[j[hit]]
+                    swap = (a > b).astype(bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.binary()), pa.array(np.where(swap, a, b), pa.binary())], ["a", "b"])
             left = np.flatnonzero(left)
-            if len(left):
-                mixed = np.zeros(len(s), dtype=bool)
-                mixed[starts[left[root[left] != root[starts[left]]]]] = True
-                left = left[mixed[starts[left]]]
-                yield pa.RecordBatch.from_arrays([pa.array(s[left]), pa.array(n[left]), pa.array(at[left]), pa.array(node[left], pa.binary()), pa.nulls(len(left), pa.binary())], ["s", "n", "at", "node", "first"])
+            more = more or bool((root[left] != root[starts[left]]).any())
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, ["a", "b"])
 
     known = roots.select(F.col("node").alias("_node"), "root")
     rows = postings.join(known, F.col("node") == F.col("_node"), "left").select("s", "n", "at", "node", F.coalesce("root", "node").alias("root"))
-    return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _POSTING)
+    return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, "a binary, b binary")
 
 
 def similar(pairs: DataFrame, at_least: float, shingle: int) -> DataFrame:
@@ -322,15 +321,16 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     check = lambda pairs: _checked(pairs, ends, texts, at_least, shingle)
 
     roots, span = connected_components(check(tested)), SPAN
-    while not postings.isEmpty():
-        met = materialize(_round(postings, roots, span, at_least), "similar-round")
-        pairs = met.where("first IS NOT NULL").select(*ordered("node", "first")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
+    past, more = 0, not postings.isEmpty()
+    while more:
+        met = materialize(_round(postings, roots, past, span, at_least), "similar-round")
+        pairs = met.where("a IS NOT NULL").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "similar-pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             # what is known goes in as each node's root, so that few rounds are left
             roots = connected_components(check(pairs).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        postings, span = met.where("first IS NULL"), span * GROWTH
+        past, span, more = span, span * GROWTH, not met.where("a IS NULL").isEmpty()
     rooted = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "similar-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))
