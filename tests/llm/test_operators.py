@@ -775,3 +775,20 @@ def test_many_sources_are_mixed_without_one_task(spark):
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
     mixed = mixing.query(docs)
     assert mixed.count() == 40_000 and mixed.where("taken > 2 * size").count() == 0
+
+
+def test_rows_of_lists_reach_all_that_may_be_similar():
+    from symgraph.llm import set_join
+
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        m, span = int(r.integers(1, 60)), int(r.integers(0, 8))
+        s, n = np.sort(r.integers(0, 4, m)), r.integers(1, 60, m)
+        order = np.lexsort((n, s))
+        s, n = s[order], n[order]
+        at = np.array([int(r.integers(0, x - int(set_join._least(x, 0.8)) + 1)) for x in n], dtype=np.int32)
+        end, left = set_join._reach(s, n, at, span, 0.8)
+        for i in range(m):
+            for j in range(i + 1, m):
+                if s[i] == s[j] and set_join._may(np.array([i]), np.array([j]), n, at, np.zeros(m, dtype=np.uint64), 0.8)[0]:
+                    assert j < end[i] and (j - i <= span or (left[i] and left[j]))
