@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, neighbours, packing, pii, quality, simhash, sketches, toxicity, url_filter
+from . import byte_pairs, html_text, infilling, merkle, mixing, neighbours, packing, pii, quality, simhash, sketches, toxicity, url_filter
 from .common import table
 
 
@@ -31,9 +31,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": _over("pages", html_text.query),
         "op9_quality": _labelled(quality.query),
         "op10_personal_data": _over("documents", pii.query),
+        "op11_infilling": _over("documents", infilling.query),
+        "op12_merkle_manifest": _over("documents", merkle.query),
+        "op13_byte_pairs": _over("documents", byte_pairs.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the same rows, where SQL can express them."""
-    return {"op3_url_filter": url_filter.sql()}
+    return {"op3_url_filter": url_filter.sql(), "op11_infilling": infilling.sql(), "op12_merkle_manifest": merkle.sql()}
