@@ -22,7 +22,7 @@ are not read; an empty table gives an empty result. A file that lacks a single b
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,11 @@ from .tokens import path_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker numbers before it starts afresh, and their characters.
-REMEMBER, CHARACTERS = 1_000_000, 1 << 25
-#: Bytes of pre-tokens that are merged together, about; characters that are split, and items that are gathered, at a time.
-TOGETHER, PIECE, GATHERED = 1 << 21, 1 << 18, 1 << 18
+REMEMBER, CHARACTERS = 250_000, 1 << 23
+#: Characters of texts that are numbered before new pre-tokens are merged, and bytes of those that are merged together, about.
+GROUP, TOGETHER = 1 << 22, 1 << 19
+#: Characters that are split, and items that are gathered, at a time.
+PIECE, GATHERED = 1 << 18, 1 << 18
 #: Places that are looked at in one go where a merge may make a pair of a lower rank.
 IN_TURN = 1 << 12
 
@@ -257,8 +259,18 @@ class BytePairs:
             self.characters += sum(map(len, new[at:upto]))
             at = upto
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                out += self._encoded(group)
+                group, size = [], 0
+        return out + self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         number = self.numbers.__getitem__
         found = [[np.fromiter(map(number, self.split(piece)), dtype=np.int32) for piece in pieces(text)] for text in texts]
         self._learn()
@@ -308,7 +320,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_pairs(ranks, pattern)
         for batch in batches:
-            ids = coder.encode(batch.column(1).to_pylist())
+            ids = coder.encode(t.as_py() for t in batch.column(1))
             made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "ids"])
 

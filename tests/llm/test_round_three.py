@@ -219,7 +219,7 @@ def test_windows_and_fresh_starts_change_nothing(library, monkeypatch):
     rnd = random.Random(4)
     texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 900))) for _ in range(60)] + ["".join(rnd.choice("abé") for _ in range(9000))]
     want = [library(t) for t in texts]
-    for name, value in (("IN_TURN", 3), ("PIECE", 50), ("TOGETHER", 40), ("REMEMBER", 30), ("GATHERED", 7)):
+    for name, value in (("IN_TURN", 3), ("PIECE", 50), ("TOGETHER", 40), ("GROUP", 700), ("REMEMBER", 30), ("GATHERED", 7)):
         monkeypatch.setattr(byte_pairs, name, value)
     assert "".join(byte_pairs.pieces(texts[0], 50)) == texts[0]
     coder = byte_pairs.BytePairs()
