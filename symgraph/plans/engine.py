@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import repository_address
-from symgraph.operators import fusion, graph, incremental, lexical, resolve, vector
+from symgraph.operators import ann, fusion, graph, incremental, lexical, resolve, vector
+from symgraph.plans import indexes
 from symgraph.schemas import INDEX_VERSION
 from symgraph.session import materialize, share_code
 from symgraph.sources.parse import parse_files
@@ -93,6 +94,26 @@ class Engine:
         """BM25 over the stored index: statistics of all repositories, hits of one."""
         return lexical.bm25(self.store.read("postings"), self.store.read("totals"), terms, fields, url)
 
+    def _vectors_state(self) -> str:
+        """Which runs the vectors are of."""
+        runs = F.sort_array(F.collect_list(F.concat_ws("=", "repo_url", "last_indexed")))  # a row a repository
+        return self.store.read("repositories").agg(F.sha2(F.concat_ws(" ", runs), 256)).first()[0]
+
+    def build_vector_index(self) -> DataFrame:
+        """Build the ANN index of all vectors; searches use it until a repository is indexed or deleted. Returns its sizes."""
+        state, path = self._vectors_state(), f"{self.store.root}/ann"
+        self.spark.createDataFrame([("",)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")  # none is current while it is built
+        sizes = ann.build(self.store.read("vectors"), path)
+        self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+        return sizes
+
+    def _nearest(self, url: str, asked: DataFrame, certain: bool) -> DataFrame:
+        """The nearest points by the index if it is current, else by all of the repository's vectors."""
+        path = f"{self.store.root}/ann"
+        if indexes.exists(self.spark, f"{path}/state") and self.spark.read.parquet(f"{path}/state").first()[0] == self._vectors_state():
+            return ann.search(self.spark, path, asked, url, threshold=vector.THRESHOLD, certain=certain)
+        return vector.search(self.store.read("vectors", url), asked, url, threshold=vector.THRESHOLD)
+
     def _embedded(self, chunks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
         """Vectors of chunks, and the paths of files of which any chunk failed; new vectors go to the cache."""
         named = chunks.withColumn("code_text", F.col("source_code")).withColumn("key", vector.text_key(F.col("source_code"), self.model, self.dims, "passage"))
@@ -183,13 +204,15 @@ class Engine:
         e = self.edges(url).agg(F.count_if(F.col("type") == "CALLS").alias("calls"), F.count_if(F.col("type") == "INHERITS").alias("inherits"))
         return self.symbols(url).agg(F.count("*").alias("symbols")).crossJoin(e)
 
-    def search(self, url: str, question: str, limit: int = fusion.KEPT, scorer: Callable | None = None) -> DataFrame:
-        """Hybrid search: vectors and BM25 fused by rank, the best candidates reranked, the best of those returned."""
+    def search(self, url: str, question: str, limit: int = fusion.KEPT, scorer: Callable | None = None, certain: bool = False) -> DataFrame:
+        """Hybrid search: vectors and BM25 fused by rank, the best candidates reranked, the best of those returned.
+
+        Vectors are found by the ANN index if it was built since the last run, exactly if ``certain`` or if there is none.
+        """
         limit = _clamped(limit, (1, 20))
         asked = self.spark.createDataFrame([(0, self.embedder([question])[0])], "query_id int, vector array<float>")
         key = ["filepath", "symbol", "start_line", "rank", "score"]
-        points = self.store.read("vectors", url)
-        a = vector.search(points, asked, url, threshold=vector.THRESHOLD).select(F.lit(0).alias("list_id"), F.lit("vector").alias("source"), *key)
+        a = self._nearest(url, asked, certain).select(F.lit(0).alias("list_id"), F.lit("vector").alias("source"), *key)
         terms = self.terms(question)
         b = self.lexical(terms, url=url).select(F.lit(1).alias("list_id"), F.lit("bm25").alias("source"), *key)
         candidates = max(fusion.CANDIDATES, limit)
