@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as tx
-from symgraph.operators import ann, context, evaluate, explore, fusion, graph, incremental, lexical, resolve, vector
+from symgraph.operators import ann, context, evaluate, explore, fusion, graph, incremental, lexical, resolve, segments, vector
 from symgraph.plans import fixtures, indexes
 from symgraph.plans.views import SQL, Views
 from symgraph.session import materialize
@@ -161,6 +161,40 @@ def bm25_exact_symbol_first(v: Views) -> DataFrame:
     return lexical.exact_first(_bm25(v, _MIXED), _MIXED).withColumn("score", F.round("score", 6))
 
 
+def _segments(v: Views, edited: bool) -> segments.SegmentedIndex:
+    """The segmented index of a data folder: of all chunks by one run, or of the stored files by one run and what has changed since by another."""
+
+    def build(path: str) -> None:
+        index, chunks = segments.SegmentedIndex(v.spark, path), v.chunks()
+        none = chunks.select("repo_url", "filepath").limit(0)
+        if not edited:
+            index.apply(chunks, none)
+            return
+        index.apply(chunks.where("doc_id % 10 <> 0"), none)
+        now, then = v.file_state()
+        changes = materialize(incremental.plan_changes(now, then).where("change <> 'unchanged'").withColumnRenamed("path", "filepath"), "edits")
+        text = F.when(F.col("doc_id") % 7 == 0, F.concat("code_text", F.lit(" changed"))).otherwise(F.col("code_text"))
+        fresh = chunks.withColumn("code_text", text).join(changes.where("change <> 'deleted'"), "filepath", "left_semi")
+        index.apply(fresh, changes.join(chunks, "filepath").select("repo_url", "filepath"))
+
+    name = "segments-edited" if edited else "segments"
+    path = indexes.kept(v.spark, name, [v.table("documents")], lambda path: (build(f"{path}/index"), v.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/built")), "built")
+    return segments.SegmentedIndex(v.spark, f"{path}/index")
+
+
+@_query("," + _bm25_sql(TERMS, _ALL) + " SELECT filepath, symbol, start_line, round(score, 6) AS score, rank FROM bm25")
+def bm25_block_max(v: Views) -> DataFrame:
+    return _segments(v, edited=False).search(TERMS).withColumn("score", F.round("score", 6))
+
+
+_EDITED = ", edited_v AS (SELECT c.* REPLACE (u.body AS code_text) FROM chunks_v c JOIN current_v u ON u.path = c.filepath)"
+
+
+@_query(_EDITED + "," + _bm25_sql([*_MIXED, "changed"], _ALL).replace("chunks_v", "edited_v") + " SELECT filepath, symbol, start_line, round(score, 6) AS score, rank FROM bm25")
+def bm25_after_edits(v: Views) -> DataFrame:
+    return _segments(v, edited=True).search([*_MIXED, "changed"]).withColumn("score", F.round("score", 6))
+
+
 _COS = "round(list_dot_product(p.vector::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.vector::DOUBLE[], p.vector::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import repository_address
-from symgraph.operators import ann, fusion, graph, incremental, lexical, resolve, vector
+from symgraph.operators import ann, fusion, graph, incremental, lexical, resolve, segments, vector
 from symgraph.plans import indexes
 from symgraph.schemas import INDEX_VERSION
 from symgraph.session import materialize, share_code
@@ -74,7 +74,7 @@ class Engine:
         edges = resolve.link(every)
         self.store.replace("vectors", incremental.replaced(self.store.read("vectors", url), vectors, failed, changes.join(gone.union(changed).distinct(), "path", "left_semi")))
         self.store.replace("chunks", every)
-        self._index_terms(url, every)
+        self._index_terms(url, every, changes, failed, full)
         self.store.drop("edges", url)
         self.store.replace("edges", edges)
         done = current.join(failed, "path", "left_anti").unionByName(state.select("path", "sha").join(failed, "path", "left_semi").join(current.select("path"), "path", "left_semi"))
@@ -83,16 +83,23 @@ class Engine:
         self.store.replace("repositories", self.spark.createDataFrame(row, "repo_url string, created_at bigint, last_indexed bigint, commit string, index_version int"))
         return incremental.summary(changes, failed)
 
-    def _index_terms(self, url: str, chunks: DataFrame) -> None:
-        """Replace a repository's postings."""
-        named = _named(chunks)
-        self.store.drop("postings", url)
-        self.store.replace("postings", lexical.indexed(named))
-        self.store.replace("totals", lexical.totals(named))
+    @property
+    def terms_index(self) -> segments.SegmentedIndex:
+        """The lexical index of all repositories."""
+        return segments.SegmentedIndex(self.spark, f"{self.store.root}/lexical")
+
+    def _index_terms(self, url: str, chunks: DataFrame, changes: DataFrame, failed: DataFrame, full: bool) -> None:
+        """Write the postings of changed files as a segment; a full run replaces all of the repository's."""
+        touched = changes.where("change <> 'unchanged'").select("path").join(failed, "path", "left_anti").select(F.lit(url).alias("repo_url"), F.col("path").alias("filepath"))
+        fresh = _named(chunks).join(touched, ["repo_url", "filepath"], "left_semi")
+        if full:
+            touched = touched.unionByName(self.terms_index.docs().where(F.col("repo_url") == url).select("repo_url", "filepath"))
+            fresh = _named(chunks)
+        self.terms_index.apply(fresh, touched)
 
     def lexical(self, terms: list[str], fields: tuple[str, ...] = tuple(lexical.FIELDS), url: str | None = None) -> DataFrame:
         """BM25 over the stored index: statistics of all repositories, hits of one."""
-        return lexical.bm25(self.store.read("postings"), self.store.read("totals"), terms, fields, url)
+        return self.terms_index.search(terms, fields, url)
 
     def _vectors_state(self) -> str:
         """Which runs the vectors are of."""
@@ -129,6 +136,9 @@ class Engine:
 
     def delete_repository(self, url: str) -> bool:
         """False if the repository was not indexed."""
+        files = self.terms_index.docs().where(F.col("repo_url") == url).select("repo_url", "filepath").distinct()
+        if files.take(1):
+            self.terms_index.apply(_named(self.store.read("chunks").limit(0)), files)
         return self.store.delete_repository(url)
 
     # Tables in the operators' terms

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.operators.segments import SegmentedIndex
 from symgraph.schemas import CHUNK, EDGE, FILE_STATE
 from symgraph.session import materialize
 
@@ -19,13 +20,11 @@ SCHEMAS = {
     "edges": EDGE,
     "file_state": FILE_STATE,
     "repositories": "repo_url string, created_at bigint, last_indexed bigint, commit string, index_version int",
-    "postings": "repo_url string, bucket int, term string, field string, filepath string, symbol string, start_line int, tf bigint, dl bigint",
-    "totals": "repo_url string, chunks bigint, tokens bigint",
     "embedding_cache": "model string, key string, vector array<float>, created_at bigint",
 }
 #: What each table is partitioned by, if not by repository, and how rows are sorted within a file.
-PARTITION = {"embedding_cache": ["model"], "postings": ["repo_url", "bucket"]}
-SORTED = {"postings": ["term"], "chunks": ["file_path"], "vectors": ["filepath"]}
+PARTITION = {"embedding_cache": ["model"]}
+SORTED = {"chunks": ["file_path"], "vectors": ["filepath"]}
 
 
 class Store:
@@ -52,7 +51,7 @@ class Store:
         fields = [c.strip().split(" ")[0] for c in SCHEMAS[name].replace("array<string>", "x").split(",")]
         staged = materialize(rows.select(*fields), f"stage-{name}")
         part = PARTITION.get(name, ["repo_url"])
-        spread = [] if "bucket" in part else [F.pmod(F.xxhash64(*[c for c in fields if c not in part][:3]), F.lit(64))]
+        spread = [F.pmod(F.xxhash64(*[c for c in fields if c not in part][:3]), F.lit(64))]
         dealt = staged.repartition(*part, *spread).sortWithinPartitions(*part, *SORTED.get(name, []))
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(f"{self.root}/{name}")
 
@@ -67,7 +66,7 @@ class Store:
 
     def delete_repository(self, repo_url: str) -> bool:
         """Remove a repository from all tables; false if it was not indexed."""
-        return any([self.drop(name, repo_url) for name in ("chunks", "vectors", "edges", "postings", "totals", "file_state", "repositories")])
+        return any([self.drop(name, repo_url) for name in ("chunks", "vectors", "edges", "file_state", "repositories")])
 
     def points(self, refs: DataFrame) -> DataFrame:
         """The chunks of listed places (ord, repo_url, filepath, symbol, start_line), in their order; unknown ones are left out."""
@@ -81,6 +80,7 @@ class Store:
             path, fs = self._path(name)
             if fs.exists(path):
                 self.spark.read.parquet(str(path)).write.mode("overwrite").parquet(f"{to}/{stamp}/{name}")
+        SegmentedIndex(self.spark, f"{self.root}/lexical").copy_to(SegmentedIndex(self.spark, f"{to}/{stamp}/lexical"))
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(to)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         there = sorted(s.getPath().getName() for s in fs.listStatus(folder))
@@ -104,4 +104,5 @@ class Store:
             if fs.exists(copy):
                 rows = self.spark.read.schema(SCHEMAS[name]).parquet(str(copy))
                 rows.write.partitionBy(*PARTITION.get(name, ["repo_url"])).parquet(f"{self.root}/{name}")
+        SegmentedIndex(self.spark, f"{source}/{stamp}/lexical").copy_to(SegmentedIndex(self.spark, f"{self.root}/lexical"))
         return stamp

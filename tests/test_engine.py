@@ -30,6 +30,9 @@ def test_index_follows_a_repository(spark, tmp_path):
     second = engine.index(files(spark, edited), "c2", now=3).first()
     assert (second.modified, second.unchanged) == (1, len(edited) - 1)
     assert engine.symbols("r").count() == n + 1 and engine.store.read("vectors", "r").count() == n + 1
+    new = engine.terms_index.segments().orderBy("chunks").first()
+    assert {r.filepath for r in engine.terms_index.docs().where(f"segment = {new.segment}").collect()} == {"shop/util.py"}  # postings of the changed file only
+    assert engine.lexical(["extra"], url="r").first().symbol == "extra"
     del edited["shop/util.py"]
     third = engine.index(files(spark, edited), "c3", now=4).first()
     assert third.deleted == 1 and not engine.find("r", "extra").take(1)
@@ -130,12 +133,15 @@ def test_files_of_two_repositories_are_refused(spark, tmp_path):
 def test_backup_and_restore(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     engine.index(files(spark, fixtures.PYTHON), "c1", now=1)
-    before = {name: engine.store.read(name).count() for name in ("chunks", "edges", "postings", "repositories", "embedding_cache")}
+    before = {name: engine.store.read(name).count() for name in ("chunks", "edges", "repositories", "embedding_cache")}
+    found = sorted(map(tuple, engine.lexical(["add", "total"], url="r").collect()))
+    docs = engine.terms_index.docs().count()
     assert min(before.values()) > 0 and engine.store.backup(str(tmp_path / "copies"), "2024-01-01") == ["2024-01-01"]
     engine.delete_repository("r")
-    assert engine.store.read("postings").count() == 0
+    assert engine.lexical(["add", "total"]).count() == 0
     assert engine.store.restore(str(tmp_path / "copies")) == "2024-01-01"
     assert {name: engine.store.read(name).count() for name in before} == before
+    assert sorted(map(tuple, engine.lexical(["add", "total"], url="r").collect())) == found != [] and engine.terms_index.docs().count() == docs
     assert engine.search("r", "add total hurry", limit=3).count() == 3
     with pytest.raises(ValueError, match="no such copy"):
         engine.store.restore(str(tmp_path / "copies"), "2023-01-01")
