@@ -143,8 +143,7 @@ class SegmentedIndex:
         """Add segments, whose numbers are new."""
         dynamic = {"partitionOverwriteMode": "dynamic", "compression": "zstd"}
         docs.sortWithinPartitions("repo_url", "filepath").write.mode("overwrite").options(**dynamic).partitionBy("segment").parquet(f"{self.path}/docs")
-        spread = blocks.repartition("segment", "bucket", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("segment", "bucket", "term", "window")
-        spread.write.mode("overwrite").options(**dynamic).partitionBy("segment", "bucket").parquet(f"{self.path}/blocks")
+        blocks.sortWithinPartitions("segment", "bucket", "term", "window").select(*_names(BLOCKS.split(", postings")[0]), "postings").write.mode("overwrite").options(**dynamic).partitionBy("segment", "bucket").parquet(f"{self.path}/blocks")
 
     def _merged(self, known: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``known`` and ``dead`` after merging every repository's levels that are full, one level a run."""
@@ -258,7 +257,8 @@ def _windowed(docs: DataFrame) -> DataFrame:
 def _postings(fresh: DataFrame) -> DataFrame:
     """segment, term, repo_url, window, key, tf (occurrences by field), dl of every term and chunk."""
     of = lambda f: F.transform(tokens(F.col(f"_{f}")), lambda t: F.struct(F.lit(NAMES.index(f)).alias("field"), t.alias("term")))
-    each = fresh.select(*_DOC, "dl", F.explode(F.flatten(F.array(*map(of, NAMES)))).alias("t")).select(*_DOC, "dl", "t.*")
+    # texts are shuffled by window, so that words, and the blocks that are made of them, stay where they are
+    each = fresh.repartition("segment", "repo_url", "window").select(*_DOC, "dl", F.explode(F.flatten(F.array(*map(of, NAMES)))).alias("t")).select(*_DOC, "dl", "t.*")
     tf = F.array(*[F.count_if(F.col("field") == i) for i in range(len(NAMES))]).alias("tf")
     return each.groupBy(*_DOC, "dl", "term").agg(tf)
 
@@ -269,5 +269,5 @@ def _blocks(postings: DataFrame) -> DataFrame:
     counts = F.array(*[F.count_if(F.col("mask") == m) for m in range(1 << len(NAMES))])
     most = F.array(*[F.max(F.get("tf", F.lit(i))) for i in range(len(NAMES))])
     listed = F.array_sort(F.collect_list(F.struct(*KEY, "tf", "dl")))
-    rows = postings.withColumn("mask", mask).groupBy("segment", "term", "repo_url", "window").agg(counts.alias("counts"), most.alias("most"), F.min("dl").alias("shortest"), listed.alias("postings"))
+    rows = postings.withColumn("mask", mask).groupBy("segment", "repo_url", "window", "term").agg(counts.alias("counts"), most.alias("most"), F.min("dl").alias("shortest"), listed.alias("postings"))
     return rows.select("segment", bucket_of(F.col("term")).alias("bucket"), "term", "repo_url", "window", "counts", "most", "shortest", "postings")
