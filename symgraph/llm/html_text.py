@@ -10,8 +10,10 @@ by ``labelled_pages``: a bounded number of layouts with the names that menus, no
 tables carry no labels for pages, and the trained weights are a few thousand numbers.
 
 Defined cases: null and empty pages have the empty text; unclosed and unmatched tags are closed as a browser would, roughly: a
-block tag ends an open paragraph, an end tag without a start is skipped; scripts, styles, templates, comments and the
-head are never text; character references are decoded once; a page of any length is read whole.
+block tag ends an open paragraph, an end tag without a start is skipped, a head without an end tag ends at the first text or tag that
+cannot stand in it; quotes count only around an attribute's value, and one that is never closed is a character like any other;
+scripts, styles, templates and comments are never text; hidden blocks are judged as others are, that they are hidden being a
+feature; character references are decoded once; a page of any length is read whole, in one pass.
 """
 
 from __future__ import annotations
@@ -42,11 +44,16 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th"), "body": ("head",),
 }
+#: The tags that a head may hold.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SECTIONS = frozenset("article aside body footer form header main nav".split())
 _SCOPES = frozenset("table ul ol dl select".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S
 )
+_STOP = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*+(?:([\"'])|[^\s>]*+)")
+_BARE = re.compile(r"[^\s>]*+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in SILENT}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -57,11 +64,11 @@ class Block:
     """A leaf block: distinct tags and name words of its ancestors, the last two tags, the nearest section, name words of the nearest
     ancestor that has any, text, and how much of it is link text."""
 
-    __slots__ = ("last", "linked", "names", "near", "section", "tags", "text")
+    __slots__ = ("hidden", "last", "linked", "names", "near", "section", "tags", "text")
 
     def __init__(self, at: Open, text: str, linked: int) -> None:
         self.tags, self.names, self.near, self.last, self.section = at.tags, at.names, at.near, at.last, at.section
-        self.text, self.linked = text, linked
+        self.text, self.linked, self.hidden = text, linked, at.hidden
 
 
 class Open:
@@ -81,6 +88,31 @@ class Open:
         self.section = tag if tag in SECTIONS else above.section
 
 
+class _Tags:
+    """Where the tags of a page end: one walk over a tag's attributes, and one search for a quote that is missing."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing = page, set()
+
+    def end(self, at: int) -> int:
+        """Of a tag whose name ends ``at``: the place of its ``>``, or of the page's end."""
+        page = self.page
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            value = _VALUE.match(page, m.end())
+            at, quote = value.end(), value[1]
+            if not quote:
+                continue
+            close = -1 if quote in self.missing else page.find(quote, at)
+            if close < 0:
+                self.missing.add(quote)
+                at = _BARE.match(page, at).end()
+            else:
+                at = close + 1
+        return len(page)
+
+
 def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
     """The leaf blocks of a page, in order; white space inside a block is one space. ``known``: name words that matter (all)."""
     out: list[Block] = []
@@ -91,11 +123,12 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[B
     links: list[str] = []
     depth_of_link, at, page = 0, 0, page or ""
     open_ended: set[str] = set()
+    tags = _Tags(page)
 
     def flush() -> None:
         if words:
             here = stack[-1] if stack else top
-            text = "" if here.hidden else " ".join(entities.unescape("".join(words)).split())
+            text = " ".join(entities.unescape("".join(words)).split())
             if text:
                 out.append(Block(here, text, len(" ".join(entities.unescape("".join(links)).split()))))
             words.clear()
@@ -106,15 +139,25 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[B
         open_tags[tag] -= 1
         return tag
 
+    def end_head() -> None:
+        while open_tags["head"]:
+            close()
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
+            if open_tags["head"] and not page[at : m.start()].isspace():
+                end_head()
             words.append(page[at : m.start()])
             if depth_of_link:
                 links.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, end_of_name = m[2].lower(), at
+        at = tags.end(at)
+        attributes, at = page[end_of_name:at], min(at + 1, len(page))
+        if open_tags["head"] and not m[1] and tag not in IN_HEAD:
+            end_head()
         if m[1]:
             if tag == "a":
                 depth_of_link = max(0, depth_of_link - 1)
@@ -129,7 +172,7 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[B
         if tag in SILENT and tag != "head":
             if tag in BLOCKS:
                 flush()
-            if not m[3].rstrip().endswith("/") and tag not in open_ended:
+            if not attributes.rstrip().endswith("/") and tag not in open_ended:
                 # what is inside is no markup to this: only the element's own end tag ends it
                 if end := _END[tag].search(page, at):
                     at = end.end()
@@ -153,9 +196,9 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[B
                 if close() in ends and (not stack or stack[-1].tag not in ends):
                     break
             if tag != "hr":
-                found = frozenset(w.lower() for a in _NAMES.finditer(m[3]) for w in _PIECES.findall(a[2] or a[3] or a[4] or ""))
+                found = frozenset(w.lower() for a in _NAMES.finditer(attributes) for w in _PIECES.findall(a[2] or a[3] or a[4] or ""))
                 found = found if known is None else found & known
-                stack.append(Open(tag, found, tag == "head" or bool(_HIDDEN.search(m[3])), stack[-1] if stack else top))
+                stack.append(Open(tag, found, bool(_HIDDEN.search(attributes)), stack[-1] if stack else top))
                 open_tags[tag] += 1
     if at < len(page):
         words.append(page[at:])
@@ -166,6 +209,8 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[B
 _ENDS = re.compile(r"[.!?…:;\"'»”)]$")
 _NOTICE = re.compile(r"cookie|subscribe|newsletter|sign up|sign in|log in|privacy|all rights reserved|©|copyright|advert|sponsor|read more|related|share (?:this|on)|comment|repl(?:y|ies)", re.I)
 
+_LEGAL = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
+
 
 def _local(block: Block, at: int, total: int) -> list[str]:
     n = len(block.text)
@@ -176,10 +221,17 @@ def _local(block: Block, at: int, total: int) -> list[str]:
     out.append("link:" + str(min(4, int(5 * block.linked / max(1, n)))))
     out.append("end:" + str(bool(_ENDS.search(block.text))))
     out.append("place:" + str(min(3, 4 * at // max(1, total))))
+    bare = not block.names and block.section not in ("article", "main")
     if _NOTICE.search(block.text):
-        out.append("notice")
+        out += ["notice", f"bare-notice:{count <= 12}"] if bare else ["notice"]
     if "©" in block.text:
         out.append("legal")
+    if block.hidden:
+        out.append("hidden")
+    if bare and count <= 12 and _LEGAL.search(block.text):
+        out.append(f"bare-legal:{2 * at >= total}")
+    if bare:
+        out.append("bare:" + str(min(4, int(5 * block.linked / max(1, n)))))
     out.append("bias")
     return out
 
@@ -291,7 +343,10 @@ PARTS = {
     "comments": "comments comment replies reply discussion responses disqus thread respond feedback reviews".split(),
     "share": "share social follow sharing buttons tools meta byline".split(),
 }
-TRAIN_PAGES = 800
+NOTICE_WORDS = "all rights reserved,copyright,cookie,privacy,subscribe,newsletter,log in,advert,sponsor,read more,related,share this,comment,reply".split(",")
+TRAIN_PAGES = 1200
+#: Share of them whose article has no container of its own name.
+BARE = 0.35
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str, list[str]]]:
@@ -302,6 +357,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
 
     def sentence(lo: int, hi: int) -> str:
+        if rng.random() < 0.03:  # articles use the words of notices too
+            return pick(["{}.", "{}", "{} " + word() + "."]).format(pick(NOTICE_WORDS)).capitalize()
         return " ".join(word() for _ in range(int(rng.integers(lo, hi)))).capitalize() + pick([".", ".", ".", "!", "?", ""])
 
     def prose(lo: int = 1, hi: int = 6) -> str:
@@ -314,6 +371,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
         name = pick(["", "", "", "", "", "", "main-", "site-"]) + pick(PARTS[kind]) + pick(["", "", "-" + pick(["box", "wrap", "top", "list", "inner", "area", "section", "1"])])
         mark = pick([f' class="{name}"', f' id="{name}"', f' class="{pick(["row", "col", "block", "c1"])} {name}"'])
+        mark += pick([" hidden", ' style="display:none"', " aria-hidden=true"]) if rng.random() < 0.06 else ""
         if tag == "div":
             tag = pick(["div", "div", "section", "aside"])
             return f"<{tag}{mark}>{inner}</{tag}>"
@@ -344,6 +402,45 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
             return wrap(kind, pick([menu(), word() + " " + word()]))
         return wrap(kind, pick(["", "", heading()]) + pick([prose(1, 4), f"<p>{prose(1, 4)}</p>", f"<span>{prose(1, 3)}</span>"]))
 
+    def bare_menu() -> str:
+        links = [f'<a href="/{word()}">{pick([word(), word() + " " + word(), word().capitalize()])}</a>' for _ in range(int(rng.integers(1, 9)))]
+        return pick([
+            "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", pick([" | ", " ", " &middot; ", "<br>", ""]).join(links),
+            "".join(f"<div>{x}</div>" for x in links), "".join(f"<p>{x}</p>" for x in links), "<p>" + " ".join(links) + "</p>",
+        ])
+
+    def bare_end() -> str:
+        text = pick([f"&copy; {word()} {int(rng.integers(1990, 2030))}", f"Copyright {word()} {word()}. All rights reserved.", f"{word()} &copy; {sentence(1, 5)}"])
+        return pick(["{}", "<p>{}</p>", "<small>{}</small>"]).format(text)
+
+    def bare_page(body_block, main_part) -> str:
+        """The article in containers without names, or with those of a grid, and menus and legal lines in the same ones."""
+        grid = pick(["", "", "row", "col", "container", "wrapper", "grid", "inner", "c1", "page"])
+        size = pick(["", "-8", "-md-6", "-1"]) if grid else ""
+        mark = pick([f' class="{grid}{size}"', f" class={grid}{size}", f' id="{grid}{size}"']) if grid else ""
+        brs = lambda: pick(["<br><br>", "<br>", "<br/><br/>"])
+        if rng.random() < 0.25:
+            lines = [prose(1, 4) for _ in range(int(rng.integers(1, 5)))]
+            inner = (body_block("h1", sentence(2, 8)) if rng.random() < 0.4 else "") + "<div>" + brs().join(lines) + "</div>"
+            texts.append(" ".join(lines))
+        else:
+            inner = main_part(False)
+        menus, ends = [bare_menu() for _ in range(int(rng.integers(0, 3)))], [bare_end()] if rng.random() < 0.7 else []
+        after = [bare_menu()] if rng.random() < 0.2 else []
+        shape = rng.random()
+        if shape < 0.3:
+            cell = lambda x: f"<td{pick(['', mark, ' width=20%', ' valign=top'])}>{x}</td>"
+            line = pick(["", "</tr><tr>"])
+            cells = line.join([*map(cell, menus), cell(inner), *map(cell, after + ends)])
+            return f"<table{pick(['', mark, ' width=100% border=0'])}><tr>{cells}</tr></table>"
+        depth = int(rng.integers(1, 4))
+        box = lambda x, k=1: f"<div{mark}>" * k + x + "</div>" * k
+        parts = [*[box(m) for m in menus], box(inner, depth), *[box(x) for x in after + ends]]
+        if shape < 0.45:
+            parts = [*menus, inner, *after, *ends]
+        whole = "".join(parts)
+        return box(whole, int(rng.integers(1, 3))) if rng.random() < 0.4 else whole
+
     for _ in range(n):
         texts: list[str] = []
 
@@ -353,7 +450,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
             if rng.random() < 0.2:
                 first, _, rest = text.partition(" ")
                 inner = pick([f"<b>{first}</b> {rest}", f'<a href="/x">{first}</a> {rest}', f"<em>{first}</em> {rest}", f"<b>{text}<br>"])
-            return f"<{kind}>{inner}" + ("" if kind in ("p", "li") and rng.random() < 0.2 else f"</{kind}>")
+            mark = pick([" hidden", ' style="display:none"', " aria-hidden=true"]) if rng.random() < 0.03 else ""
+            if kind[0] == "h" and rng.random() < 0.3:
+                mark += f' class="{pick(["entry-title", "post-title", "title", "headline", "page-title", "heading"])}"'
+            return f"<{kind}{mark}>{inner}" + ("" if kind in ("p", "li") and rng.random() < 0.2 else f"</{kind}>")
 
         def main_part(comments: bool) -> str:
             out = [body_block("h1", sentence(2, 12))] if rng.random() < 0.7 else []
@@ -386,7 +486,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 13) -> Iterator[tuple[str,
         before = [other(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.5]
         after = [other(k) for k in ("share", "comments", "aside", "ad", "nav", "notice", "footer") if rng.random() < 0.45]
         page = f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>" + "".join([*before, main, *after])
-        if rng.random() < 0.03:
+        if rng.random() < BARE:
+            texts.clear()
+            page = f"<html>{pick(['<head>', ''])}<title>{word()}</title>{pick(['</head>', ''])}{pick(['<body>', '<body bgcolor=white>'])}" + bare_page(body_block, main_part)
+        elif rng.random() < 0.03:
             texts[:] = [prose(2, 5)]
             page = texts[0]
         yield page + pick(["</body></html>", ""]), texts

@@ -737,6 +737,72 @@ def test_deep_pages_take_linear_time():
     assert spent[1] < 12 * spent[0] + 1
 
 
+_A, _B = "The council met on Tuesday to discuss the new bridge over the river.", "Work will begin in spring, and traffic will be led around the old town."
+_MENU = '<a href="/">Home</a> <a href="/n">News</a> <a href="/c">Contact</a>'
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html><head><title>x</title><div><article><p>{_A}</p><p>{_B}</p></article></div>", [_A, _B]),
+        (f"<html><head><title>x</title>{_A}<article><p>{_B}</p></article>", [_A, _B]),
+        (f"<body><div><p>{_A}</p><p>{_B}</p></div>", [_A, _B]),
+        (f"<body><div>{_MENU}</div><div><p>{_A}</p><p>{_B}</p></div>", [_A, _B]),
+        (f"<body><div><div><a href=/>Home</a></div><div><a href=/x>About us</a></div></div><div><p>{_A}</p><p>{_B}</p></div><div>&copy; 2020 Town News</div>", [_A, _B]),
+        (f"<body><div class=row><div class=col-8><h1>A new bridge</h1><p>{_A}</p><p>{_B}</p></div></div>", ["A new bridge", _A, _B]),
+        (f"<body><div class=container><div class=row><div class=col-4><ul><li><a href=/>Home</a><li><a href=/x>About</a></ul></div><div class=col-8><p>{_A}</p><p>{_B}</p></div></div></div>", [_A, _B]),
+        (f"<body><div>{_A}<br><br>{_B}</div>", [_A + " " + _B]),
+        (f"<body><table><tr><td>{_MENU}</td><td><p>{_A}</p><p>{_B}</p></td></tr></table>", [_A, _B]),
+        (f"<body><table><tr><td>{_MENU}</td><td>{_A} {_B}</td></tr></table>", [_A + " " + _B]),
+        (f"<body><table width=100%><tr><td colspan=2>{_MENU}</td></tr><tr><td><h1>A new bridge</h1>{_A}<br>{_B}</td></tr><tr><td>Copyright 2003 Town News. All rights reserved.</td></tr></table>", ["A new bridge", _A + " " + _B]),
+        (f"<body><article><p>{_A}</p><p hidden>{_B}</p></article>", [_A, _B]),
+        (f"<body><div style='display:none' class=cookie-notice><p>We use cookies.</p></div><article><p>{_A}</p><p>{_B}</p></article>", [_A, _B]),
+        (f"<body><article><p title=it's>{_A}</p><p \">{_B}</p></article>", [_A, _B]),
+        (f"<body><article><p title='a > b' data-x=a=\"b>{_A}</p><p>{_B}</p></article>", [_A, _B]),
+    ],
+)
+def test_articles_without_names_are_found(page, want):
+    assert html_text.default_field().text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a x='", "<p title=", '<!-"', "<a =", "<title", '<p class="'])
+def test_bad_markup_takes_linear_time(part):
+    import time
+
+    spent = []
+    for size in (1 << 17, 1 << 20):
+        began = time.perf_counter()
+        html_text.leaf_blocks(part * (size // len(part)) + "'")
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 16 * spent[0] + 2
+
+
+def test_tags_end_where_a_plain_walk_ends_them():
+    def plain(page, at):
+        value, quote = None, None
+        while at < len(page):
+            c = page[at]
+            if quote:
+                quote = None if c == quote else quote
+            elif value == "before" and c in "\"'" and c in page[at + 1 :]:
+                quote, value = c, None
+            elif c == ">":
+                return at
+            elif c == "=" and value is None:
+                value = "before"
+            elif c.isspace():
+                value = value if value == "before" else None
+            else:
+                value = "in" if value == "before" else value
+            at += 1
+        return at
+
+    rnd = random.Random(8)
+    for _ in range(5000):
+        page = "".join(rnd.choice("a =\"'>") for _ in range(rnd.randint(0, 14)))
+        assert html_text._Tags(page).end(0) == plain(page, 0), page
+
+
 def test_repeated_rows_go_to_many_lanes(spark, monkeypatch):
     monkeypatch.setattr(packing, "LANE_TOKENS", 4096)
     docs = spark.range(0, 20_000, 1, 6).selectExpr("IF(id % 10 < 9, NULL, id) AS doc_id", "IF(id % 10 < 9, 'the same text again', concat('text ', id)) AS text", "IF(id % 10 < 9, NULL, 's') AS source")
