@@ -8,8 +8,8 @@ through meet the rules in a hash join on the key itself, where the rest of the p
 filter costs a row in that join and never a wrong verdict.
 
 Scale: the filter has 16 bits a key up to MAX_BLOCKS blocks (2 MB), a proven bound on what each task gets; a longer list
-only makes it pass more. Only distinct (host, path) pairs with a possible hit are shuffled; a hot url is one such pair,
-and the join back onto pages is one that Spark can split where a url is hot.
+only makes it pass more. Rows meet the filter where they are read: those without a possible hit are never shuffled. Of the others
+distinct (host, path) pairs meet the rules, and the join back onto them is one that Spark can split where a url is hot.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an empty list allows all;
 columns of the input stay, but for ones named host, path, rule or verdict, which are replaced;
@@ -110,16 +110,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
     bits, (labels, depth) = head.select("bits").scalar(), head.select("labels", "depth").first()
     # the caller's columns are one struct here, so that no name can clash
     judged = pages.select(F.struct("*").alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    pairs = judged.select("host", "path").where(F.col("host") != "").distinct()
+    # the filter is one row of at most 2 MB, sent to every task; both sides of this are plans without an exchange
+    one = F.broadcast(head.select(F.col("bits").alias("_bits")))
+    hit = (F.col("host") != "") & F.exists(_candidates(F.col("host"), F.col("path"), F.lit(labels), F.lit(depth)), lambda key: might_contain(F.col("_bits"), key))
+    near, far = judged.join(one, hit, "left_semi"), judged.join(one, hit, "left_anti")
+    pairs = near.select("host", "path").distinct()
     passed = pairs.select("host", "path", F.explode(_candidates(F.col("host"), F.col("path"), F.lit(labels), F.lit(depth))).alias("key")).where(might_contain(bits, F.col("key")))
     fits = passed.join(listed, "key").where(F.startswith(F.col("path"), F.col("r_path")))
     rule = F.concat("r_host", "r_path")
     best = fits.groupBy("host", "path").agg(
         F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best")
     )
-    out = judged.join(best, ["host", "path"], "left")
+    met = near.join(best, ["host", "path"], "left").select("page", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(unlisted)).alias("verdict"))
+    out = met.unionByName(far.select("page", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(unlisted).alias("verdict")))
     own = [F.col(f"page.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(unlisted)).alias("verdict"))
+    return out.select(*own, "host", "path", "rule", "verdict")
 
 
 def query(pages: DataFrame) -> DataFrame:
