@@ -1,11 +1,13 @@
 """Packing token streams into sequences with a controlled mixture: deficit round-robin over source queues.
 
 Documents are dealt by hash to lanes of about LANE_TOKENS; rows that repeat are told apart by their number, so that they go to many
-lanes too. In a lane every source has a queue; each round gives a source
-its target share of a window in credit, and it serves pieces of at most PIECE tokens while its credit lasts. Credit
-left over, or overdrawn by nothing, is the source's deficit and carries on to the next window. Across lanes it carries
-on as well: what a source is owed at a lane's start is its share of all tokens packed before, less what it had served,
-and both follow from sums over the lanes before, so lanes run in parallel and yet continue one another.
+lanes too. In a lane every source has a queue; each round gives a source its target share of a window in credit, fills the window
+and cuts documents where the credit ends, so that every window has each source's tokens in proportion. What whole tokens leave, and
+credit below LEAST tokens (a piece should be more than a scrap), is the source's deficit and carries on to the next window. Across lanes
+it carries on as well: what a source is owed at a lane's start is its share of all tokens packed before, less what it had served,
+and both follow from sums over the lanes before, so lanes run in parallel and yet continue one another. A lane pays evenly over its
+windows what it was handed, so that no window strays from the target to make up for others. Where a source's queue in a lane runs out
+before the lane does, the others fill its place in proportion, and the next lane is handed the deficit.
 
 Lanes follow one another in one stream, so a sequence may span two lanes and none is left partly filled at a lane's end.
 The tail of the stream, short of a window, is cut at powers of two, which need no padding.
@@ -35,7 +37,7 @@ from .common import materialize, text_of
 from .mixing import _running
 from .tokens import TOKENIZER, tokenizer_for
 
-WINDOW, PIECE, LANE_TOKENS, END_ID = 4096, 1024, 1 << 19, 2
+WINDOW, LEAST, LANE_TOKENS, END_ID = 4096, 16, 1 << 19, 2
 #: Tokens that a task reads, about, where the session's number of partitions would give it more.
 TASK_TOKENS = 1 << 25
 _COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
@@ -63,33 +65,58 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, source string, h bigint, copy bigint, n bigint, ids binary")
 
 
-def round_robin(queues: dict, credit: dict, share: dict, piece: int = PIECE, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(row, start, length) in the order served. ``queues``: source -> deque of (row, tokens); ``credit``: carried in."""
-    order = list(queues)
-    credit = {s: credit.get(s, 0.0) for s in order}
-    begun = {s: 0 for s in order}
-    while order:
-        served = False
-        for s in order:
-            credit[s] += share[s] * window
+def _dealt(room: int, owed: dict, left: dict) -> dict:
+    """How many of ``room`` tokens each source gets: in proportion to what it is owed, whole tokens, the largest remainders first,
+    none beyond what it has left."""
+    out: dict = {}
+    while room and (open_ := [s for s in owed if left[s] > out.get(s, 0)]):
+        sum_ = sum(owed[s] for s in open_)
+        exact = {s: room * owed[s] / sum_ for s in open_}
+        more = {s: int(exact[s]) for s in open_}
+        for s in sorted(open_, key=lambda s: more[s] - exact[s])[: max(0, room - sum(more.values()))]:
+            more[s] += 1
+        for s in open_:
+            n = min(more[s], left[s] - out.get(s, 0), room)
+            out[s] = out.get(s, 0) + n
+            room -= n
+    return out
+
+
+def round_robin(queues: dict, credit: dict, share: dict, at: int = 0, window: int = WINDOW, least: int = LEAST) -> Iterator[tuple[int, int, int]]:
+    """(row, start, length) in the order served, from ``at`` tokens into the stream: a round fills the rest of a window.
+    ``queues``: source -> deque of (row, tokens); ``credit``: carried in, and paid evenly over the lane."""
+    left = {s: sum(n for _, n in q) for s, q in queues.items()}
+    lane = sum(left.values())
+    rate = {s: max(0.0, share[s] + credit.get(s, 0.0) / max(1, lane)) for s in queues}
+    begun = dict.fromkeys(queues, 0)
+    # sources too small for a piece a window begin at different stages of waiting, so that they do not all wait and come due together
+    deficit = {s: least * (i * 0.618034 % 1) if rate[s] * window < least else 0.0 for i, s in enumerate(queues)}
+    while open_ := [s for s in queues if left[s]]:
+        room = min(window - at % window, lane)
+        all_ = sum(rate[s] for s in open_) or 1.0
+        for s in open_:
+            deficit[s] += rate[s] / all_ * room
+        # a source waits until a piece of some length is due; if nobody is due, whoever is owed most, or else all, go by rate
+        due = {s: deficit[s] for s in open_ if deficit[s] >= min(least, left[s])}
+        parts = _dealt(room, due, left) if due else {}
+        if (rest := room - sum(parts.values())) > 0:
+            others = {s: left[s] - parts.get(s, 0) for s in open_ if left[s] > parts.get(s, 0)}
+            for s, n in _dealt(rest, {s: rate[s] or 1e-9 for s in others}, others).items():
+                parts[s] = parts.get(s, 0) + n
+        for s, n in parts.items():
+            deficit[s] -= n
+            left[s] -= n
             queue = queues[s]
-            while queue:
-                row, n = queue[0]
-                size = min(piece, n - begun[s])
-                if credit[s] < size:
-                    break
+            while n:
+                row, size = queue[0]
+                size = min(n, size - begun[s])
                 yield row, begun[s], size
-                served = True
-                credit[s] -= size
                 begun[s] += size
-                if begun[s] == n:
+                n -= size
+                if begun[s] == queue[0][1]:
                     queue.popleft()
                     begun[s] = 0
-        order = [s for s in order if queues[s]]
-        if not served and order:  # grant at once the whole rounds that the first to be served still lacks
-            rounds = min((min(piece, queues[s][0][1] - begun[s]) - credit[s]) / (share[s] * window) for s in order)
-            for s in order:
-                credit[s] += max(0, int(rounds) - 1) * share[s] * window
+        at, lane = at + room, lane - room
 
 
 def cut(at: int, length: int, total: int, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -158,7 +185,7 @@ def _pieces(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
         else:
             queues.setdefault(source, deque()).append((i, n))
     out: list[list] = []
-    for i, start, length in round_robin(queues, credit, share):
+    for i, start, length in round_robin(queues, credit, share, at):
         for sequence, offset, n in cut(at, length, total):
             last = out[-1] if out else None
             if last and last[0] == i and last[3] == sequence and last[1] + last[2] == start:

@@ -112,6 +112,17 @@ def test_urls_are_judged_as_sql_does_and_long_lists_lose_nothing(spark, sf_dir):
     assert url_filter.query(pages.limit(0)).count() == 0
 
 
+def test_urls_without_a_possible_hit_are_not_shuffled(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS page_id", "concat('http://h', id, '.org/p/', id) AS url").write.parquet(str(tmp_path / "pages"))
+    got = url_filter.query(spark.read.parquet(str(tmp_path / "pages")))
+    assert got.count() == 2000 and got.where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan
+    # of the two branches the one for rows without a hit has no exchange but that of the filter itself
+    far = got._jdf.queryExecution().sparkPlan().children().apply(1).toString()
+    assert "BroadcastNestedLoopJoin" in far and "hashpartitioning" not in far and "SortMergeJoin" not in far
+
+
 def test_very_long_urls_and_listed_depths(spark):
     long = "http://a.b.c.d.example.com/en/" + "s/" * 60_000 + "end"
     rules = [("com", "/", "allow"), ("example.com", "/en/s/s/s/x", "block"), ("d.example.com", "/en/s/s/s/s", "block"), ("example.com", "/en/s", "allow"), ("EXAMPLE.com", "", "block"), ("org", "", "block")]
@@ -817,6 +828,45 @@ def test_repeated_rows_go_to_many_lanes(spark, monkeypatch):
     assert all(n <= 4096 and n & (n - 1) == 0 for n in ends.values())
 
 
+@pytest.mark.parametrize("sources", [1, 3, 20, 400])
+def test_every_window_has_its_mixture(sources):
+    from collections import deque
+
+    rnd = random.Random(sources)
+    weight = [rnd.random() ** 3 + 0.002 for _ in range(sources)]
+    queues = {s: deque(((s, i), rnd.randint(1, 3000)) for i in range(1 + int(20_000 / sources * w))) for s, w in enumerate(weight)}
+    left = {s: sum(n for _, n in q) for s, q in queues.items()}
+    sizes = {row: n for q in queues.values() for row, n in q}
+    share = {s: w / sum(weight) for s, w in enumerate(weight)}
+    at, by, out_at = 1000, {}, None
+    pieces = {}
+    for row, start, n in packing.round_robin(queues, {}, share, at):
+        assert start == pieces.get(row, 0)
+        pieces[row] = start + n
+        for sequence, _, k in packing.cut(at, n, 1 << 60):
+            by.setdefault(sequence, Counter())[row[0]] += k
+            at += k
+        left[row[0]] -= n
+        if not left[row[0]] and out_at is None:
+            out_at = at // 4096
+    assert pieces == sizes
+    for sequence in range(1, out_at - 1 if sources > 1 else at // 4096):  # while all queues last
+        assert sum(by[sequence].values()) == 4096
+        assert all(abs(by[sequence][s] - share[s] * 4096) <= 16 + 1 + 0.05 * 4096 * share[s] * (sources > 100) for s in share), sequence
+
+
+def test_windows_of_documents_have_their_mixture(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = packing.pack(docs).select("source", "length", "sequence_id").collect()
+    by, total = {}, Counter()
+    for r in got:
+        by.setdefault(r.sequence_id, Counter())[r.source] += r.length
+        total[r.source] += r.length
+    whole = sum(total.values())
+    off = sorted(max(abs(c[s] / 4096 - total[s] / whole) for s in total) for c in by.values() if sum(c.values()) == 4096)
+    assert off[len(off) // 2] <= 0.02, off
+
+
 def test_windows_of_all_lanes_keep_to_the_shares(spark, monkeypatch):
     monkeypatch.setattr(packing, "LANE_TOKENS", 1 << 15)
     rnd = random.Random(5)
