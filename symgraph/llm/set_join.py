@@ -4,13 +4,13 @@ Texts of equal sets are one node, known by the set's SimHash fingerprint and a h
 texts, frequent ones last, and two sets of similarity t share one of the first ``n - ceil(t * n) + 1`` of each; so every pair that is
 similar meets in the list of some such shingle, whatever was edited. The order is that of counts in a bounded sample, ties by the
 hash: the sample decides how long lists get, never which pairs are found. Of two sets of LARGE shingles or more that meet, those
-whose fingerprints differ in more than APART of 64 bits are not alike: at similarity 0.8 a bit differs with chance 0.15, so a pair is
-passed over with a chance of about 1 in 10^8.
+whose fingerprints differ in more than APART of 64 bits are passed over: at similarity 0.8 a bit differs with chance 0.15, so by the
+binomial law, not by measurement, a similar pair is lost with a chance of about 1 in 10^8. ``apart=64`` passes over none and is exact.
 
 Candidates are verified before any is left out. First come the pairs that the caller's own search proposes (by fingerprints), and each
 node with the first of its lists; after that, round by round, every pair of a list that sizes and places in the prefixes allow,
 within a span of neighbours that grows until it covers the list, unless earlier links already join the two or the pair was checked. When no list is left, each pair that meets
-has been checked or lies within one component.
+and is not passed over has been checked or lies within one component.
 
 Defined cases: a null text counts as empty; texts without words are alike; fewer words than a shingle are one shingle.
 Shingles are compared by hashes of 64 bits.
@@ -164,10 +164,10 @@ def _spans(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
 
 
-def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, at_least: float) -> np.ndarray:
+def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, at_least: float, apart: int = APART) -> np.ndarray:
     """Whether sizes, places and fingerprints allow the similarity, if this is the first shingle that both share; i is no larger than j."""
     shared = np.minimum(n[i] - at[i], n[j] - at[j])
-    near = (n[i] < LARGE) | (np.bitwise_count(fp[i] ^ fp[j]) <= APART)
+    near = (n[i] < LARGE) | (np.bitwise_count(fp[i] ^ fp[j]) <= apart)
     return near & (n[i] >= _least(n[j], at_least)) & (shared >= _least(n[i] + n[j], at_least / (1 + at_least)))
 
 
@@ -195,7 +195,7 @@ def _reach(s: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, at_least: fl
 _POSTING = "s bigint, n bigint, at int, node binary, first binary"
 
 
-def _met(dealt: DataFrame, at_least: float) -> DataFrame:
+def _met(dealt: DataFrame, at_least: float, apart: int = APART) -> DataFrame:
     """s, n, at, node, first: the rows of lists that sizes and places let be similar to another; ``first`` is the list's first node of such a size, if the two may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +211,14 @@ def _met(dealt: DataFrame, at_least: float) -> DataFrame:
             first = np.array(first)
             nodes = np.stack((x, y), axis=1)
             heads = _binary(nodes[first])
-            use = (first != keep) & _may(first, keep, n, at, x.view(np.uint64), at_least)
+            use = (first != keep) & _may(first, keep, n, at, x.view(np.uint64), at_least, apart)
             heads = pa.array([h if u else None for u, h in zip(use.tolist(), heads.to_pylist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep]), pa.array(at[keep]), _binary(nodes[keep]), heads], ["s", "n", "at", "node", "first"])
 
     return dealt.repartition("s").sortWithinPartitions("s", "n", "x", "y").mapInArrow(run, _POSTING)
 
 
-def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least: float) -> DataFrame:
+def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least: float, apart: int = APART) -> DataFrame:
     """a, b: pairs of a list, over ``past`` and up to ``span`` rows apart, that may be similar and that no link joins yet; a row
     of nulls, if some list has rows further apart that may be."""
 
@@ -234,7 +234,7 @@ def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least
                 if not len(i):
                     break
                 j = i + k
-                hit = _may(i, j, n, at, fp, at_least) & (root[i] != root[j]).astype(bool)
+                hit = _may(i, j, n, at, fp, at_least, apart) & (root[i] != root[j]).astype(bool)
                 if hit.any():
                     a, b = node[i[hit]], node[j[hit]]
                     swap = (a > b).astype(bool)
@@ -296,11 +296,12 @@ def _checked(pairs: DataFrame, ends: DataFrame, texts: DataFrame, at_least: floa
     return materialize(similar(pairs, at_least, shingle), "similar-links")
 
 
-def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Callable[[DataFrame], DataFrame] | None = None, apart: int = APART) -> DataFrame:
     """doc_id, th, node, component_id, first_th of every row of ``docs`` (doc_id, text).
 
     Rows of a component share ``component_id``, its smallest doc_id, and ``first_th``, the hash of that row's text.
-    ``proposed``: pairs (a, b) of nodes (node, fp) that are checked first.
+    ``proposed``: pairs (a, b) of nodes (node, fp) that are checked first. ``apart``: how many bits of fingerprints of LARGE sets may
+    differ in pairs that are checked; at 64 no pair is passed over, and the groups are exact.
     """
     rows = materialize(set_rows(docs, at_least, shingle), "similar-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("least")
@@ -308,7 +309,7 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     fps = classes.select("node", F.substring("node", 1, 8).alias("fp"))
     first = proposed(fps).select(*ordered("a", "b")).distinct() if proposed else None
-    postings = materialize(_met(_dealt(classes), at_least), "similar-lists")
+    postings = materialize(_met(_dealt(classes), at_least, apart), "similar-lists")
     classes = classes.select("node", "least")
     ends = classes.select("node", key_of(F.col("least.doc_id"), F.col("least.th")).alias("k"), F.col("least.th").alias("own"))
     heads = postings.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("first"))
@@ -323,7 +324,7 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     roots, span = connected_components(check(tested)), SPAN
     past, more = 0, not postings.isEmpty()
     while more:
-        met = materialize(_round(postings, roots, past, span, at_least), "similar-round")
+        met = materialize(_round(postings, roots, past, span, at_least, apart), "similar-round")
         pairs = met.where("a IS NOT NULL").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "similar-pairs")
         if not pairs.isEmpty():

@@ -652,6 +652,24 @@ def test_every_pair_on_a_shared_template_is_checked(spark):
     assert 5 < len(want) < 80 and kept(spark, texts) == want
 
 
+def test_no_pair_is_passed_over_at_the_exact_setting(spark):
+    from symgraph.llm import set_join
+
+    far = np.array([0, (1 << 40) - 1], dtype=np.uint64)  # 40 bits apart
+    i, j, n, at = np.array([0]), np.array([1]), np.array([100, 100]), np.array([0, 0])
+    assert not set_join._may(i, j, n, at, far, 0.8)[0] and set_join._may(i, j, n, at, far, 0.8, 64)[0]
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(12):
+        words = prose(rnd, 120).split()
+        texts.append(" ".join(words))
+        words[60] = "other"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    groups = [{r.doc_id: r.component_id for r in set_join.similar_groups(docs, 0.8, 5, apart=apart).collect()} for apart in (set_join.APART, 64)]
+    assert groups[0] == groups[1] == {d: d - d % 2 for d in range(24)}
+
+
 def test_blocks_ends_and_repeats_are_found_as_scattered_edits_are(spark):
     rnd = random.Random(6)
     texts, kind = {}, {}
