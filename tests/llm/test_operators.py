@@ -82,6 +82,16 @@ def test_pii_has_the_base_spans_and_checks_others(spark):
     assert [r.text for r in masked] == ["to <EMAIL>, <PHONE>; <CARD> and 4111111111111112", ""]
 
 
+def test_pii_of_no_rows_and_of_repeated_rows(spark):
+    rows = [(1, "mail a.b@example.org or +49 30 1234567"), (1, "mail a.b@example.org or +49 30 1234567"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_email, r.n_phone, r.base_sha256) for r in pii.query(docs).collect()]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    one, none = (1, 1, 1, digest("email:5:20,phone:24:38")), digest("")
+    assert sorted(got, key=str) == sorted([one, one, (None, 0, 0, none), (2, 0, 0, none)], key=str)
+    assert pii.query(docs.limit(0)).count() == 0
+
+
 def test_ibans_are_cut_to_their_country_and_context_counts_on_both_sides(spark):
     texts = [
         "AT611904300234573201 BANK", "GB82 WEST 1234 5698 7654 32 IS MINE AND", "GB82WEST12345698765432X", "DE89370400440532013000", "XX89370400440532013000",
