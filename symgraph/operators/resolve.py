@@ -54,7 +54,7 @@ def references(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("qualifier", F.when(n > 1, F.element_at("parts", -2)))
 
 
-def _enclosing(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+def enclosed(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``refs`` with ``owner``, the name of the nearest class around the place of the reference."""
     classes = chunks.where("type = 'class'").select("repo_url", F.col("file_path").alias("src_file"), F.col("qualified_name").alias("prefix"))
     parts = F.split("src_name", r"\.")
@@ -67,37 +67,52 @@ def _enclosing(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 KEYS = ["repo_url", "src_file", "src_name", "src_type", "role", "ord", "ref", "branch"]
 #: What a candidate may count as: anything that is called, that less methods, methods, classes.
-_FLAGS = {"call": "c_type IN ('function', 'method', 'class')", "plain": "c_type IN ('function', 'class')", "method": "c_type = 'method'", "class": "c_type = 'class'"}
+FLAGS = {"call": "c_type IN ('function', 'method', 'class')", "plain": "c_type IN ('function', 'class')", "method": "c_type = 'method'", "class": "c_type = 'class'"}
 
 
 def _lookup(candidates: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """For each key, how many candidates there are of each flag, and the one if there is one."""
     target = F.struct(F.col("c_file").alias("file"), F.col("c_name").alias("name"))
-    aggregates = [x for f, cond in _FLAGS.items() for x in (F.count_if(F.expr(cond)).alias(f"{tag}_n_{f}"), F.max(F.when(F.expr(cond), target)).alias(f"{tag}_k_{f}"))]
-    return candidates.groupBy(*keys).agg(*aggregates).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[f"{tag}_{x}_{f}" for f in _FLAGS for x in "nk"])
+    aggregates = [x for f, cond in FLAGS.items() for x in (F.count_if(F.expr(cond)).alias(f"{tag}_n_{f}"), F.max(F.when(F.expr(cond), target)).alias(f"{tag}_k_{f}"))]
+    return candidates.groupBy(*keys).agg(*aggregates).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[f"{tag}_{x}_{f}" for f in FLAGS for x in "nk"])
 
 
-def resolved(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """KEYS, dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
+#: What candidates are counted by: their name, and besides their file, the qualifier that a reference may give, or both.
+POOLS = {"a": [], "b": ["c_file"], "x": ["qualifier"], "y": ["qualifier", "c_file"]}
 
-    Candidates are counted by name, by name and file, and by name and qualifier before references meet them, so a name
-    that thousands of symbols share costs a reference one row and not thousands.
-    """
+
+def lookups(chunks: DataFrame) -> dict[str, tuple[list[str], DataFrame]]:
+    """For each of POOLS its keys, and a table of how many candidates they leave."""
     c = chunks.select(
         "repo_url", "language", F.col("name").alias("tail"), F.col("type").alias("c_type"), F.col("file_path").alias("c_file"), F.col("qualified_name").alias("c_name"),
         F.array_compact(F.array_distinct(F.array(last_segment(owner_of(F.col("qualified_name"))), module_name(F.col("file_path"))))).alias("qualifiers"),
     )
     q = c.withColumn("qualifier", F.explode("qualifiers"))
-    name, file = ["repo_url", "language", "tail"], F.col("src_file")
+    keys = {tag: ["repo_url", "language", "tail", *more] for tag, more in POOLS.items()}
+    return {tag: (of, _lookup(q if "qualifier" in of else c, of, tag)) for tag, of in keys.items()}
+
+
+def same_key(refs: DataFrame, table: DataFrame, keys: list[str], tag: str) -> Column:
+    """Whether a reference asks for a row of a table of ``lookups``; what ``c_file`` is to candidates is the reference's own file."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & (refs["src_file" if k == "c_file" else k] == table[f"{tag}_{k}"])
+    return same
+
+
+def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """KEYS, dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
+
+    Candidates are counted by name, by name and file, and by name and qualifier before references meet them, so a name
+    that thousands of symbols share costs a reference one row and not thousands. ``chunks`` may be cut to symbols of the
+    names that are referred to, if ``symbols`` has all.
+    """
     out = refs.where("branch <> 'super'")
-    for tag, rows, more in (("a", c, []), ("b", c, ["c_file"]), ("x", q, ["qualifier"]), ("y", q, ["qualifier", "c_file"])):
-        table = _lookup(rows, [*name, *more], tag)
-        same = F.lit(True)
-        for k in [*name, *more]:
-            same = same & ((file if k == "c_file" else out[k]) == table[f"{tag}_{k}"])
-        out = out.join(table, same, "left").drop(*[f"{tag}_{k}" for k in [*name, *more]])
-    own = chunks.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
-    mine = (F.col("branch") == "self") & (F.col("repo_url") == F.col("_r")) & (file == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))
+    for tag, (keys, table) in lookups(chunks).items():
+        out = out.join(table, same_key(out, table, keys, tag), "left").drop(*[f"{tag}_{k}" for k in keys])
+    every = chunks if symbols is None else symbols
+    own = every.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
+    mine = (F.col("branch") == "self") & (F.col("repo_url") == F.col("_r")) & (F.col("src_file") == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))
     out = out.join(own, mine, "left")
     base, branch = F.col("role") == "base", F.col("branch")
 
@@ -115,7 +130,7 @@ def resolved(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
 
 
-def _super(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
+def inherited(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Targets of ``super.x``: the first class, breadth first over resolved bases in their order, that defines x."""
     asked = refs.where("branch = 'super' AND owner IS NOT NULL").select(*KEYS, "owner", "tail")
     walk = asked.select(*KEYS, "tail", F.col("src_file").alias("at_file"), F.col("owner").alias("at_name"), F.array().cast("array<int>").alias("path"), F.array(F.concat("src_file", F.lit("\n"), "owner")).alias("seen"))
@@ -136,12 +151,17 @@ def _super(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
     return best.select(*KEYS, "b.dst_file", "b.dst_name")
 
 
+def edges_of(found: DataFrame) -> DataFrame:
+    """Resolved references as edges, without loops of one symbol."""
+    kind = F.when(F.col("role") == "base", "INHERITS").otherwise("CALLS")
+    edges = found.where((F.col("src_file") != F.col("dst_file")) | (F.col("src_name") != F.col("dst_name")))
+    return edges.select("repo_url", kind.alias("type"), "src_file", "src_name", "dst_file", "dst_name")
+
+
 def link(chunks: DataFrame) -> DataFrame:
     """All edges: repo_url, type, src_file, src_name, dst_file, dst_name; distinct, without loops of one symbol."""
     chunks = materialize(chunks, "chunks")
-    refs = _enclosing(references(chunks), chunks)
+    refs = enclosed(references(chunks), chunks)
     found = materialize(resolved(refs, chunks), "resolved")
-    every = found.unionByName(_super(refs, found.where("role = 'base'"), chunks))
-    kind = F.when(F.col("role") == "base", "INHERITS").otherwise("CALLS")
-    edges = every.where((F.col("src_file") != F.col("dst_file")) | (F.col("src_name") != F.col("dst_name")))
-    return edges.select("repo_url", kind.alias("type"), "src_file", "src_name", "dst_file", "dst_name").unionByName(has_method(chunks)).distinct()
+    every = found.unionByName(inherited(refs, found.where("role = 'base'"), chunks))
+    return edges_of(every).unionByName(has_method(chunks)).distinct()

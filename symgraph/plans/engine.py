@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import repository_address
-from symgraph.operators import ann, fusion, graph, incremental, lexical, resolve, segments, vector
+from symgraph.operators import ann, fusion, graph, incremental, lexical, relink, resolve, segments, vector
 from symgraph.plans import indexes
 from symgraph.schemas import INDEX_VERSION
 from symgraph.session import materialize, share_code
 from symgraph.sources.parse import parse_files
-from symgraph.sources.store import Store
+from symgraph.sources.store import SCHEMAS, Store
 
 DIMS = 64
 DEPTHS, LIMITS = (1, 5), (1, 1000)
@@ -41,8 +41,10 @@ class Engine:
     def index(self, files: DataFrame, commit: str | None = None, full: bool = False, now: int | None = None) -> DataFrame:
         """Bring a repository's tables up to date with its ``files`` (repo_url, path, language, sha, content); one summary row.
 
-        All files are parsed, as linking needs them; only chunks of changed files are embedded, equal texts once. A file
-        that cannot be read or embedded keeps its old rows and its old hash, so the next run tries it again.
+        All files are parsed, as linking needs them; only chunks of changed files are embedded, equal texts once, and only
+        references that the changes concern are resolved again. A file that cannot be read or embedded keeps its old rows and
+        its old hash, so the next run tries it again. While tables are written, the repository's row has version 0: a run that
+        ends early leaves it so, and the next one trusts nothing of what is stored.
         """
         files = materialize(files, "files")
         repo = files.select("repo_url").first()
@@ -71,18 +73,25 @@ class Engine:
         if not every.take(1):
             raise ValueError("nothing to link")
         gone = changes.where("change IN ('modified', 'deleted')").select("path")
-        edges = resolve.link(every)
+        edges = materialize(resolve.link(every) if full else relink.relink(materialize(old, "old"), every, self.store.read("edges", url)), "edges")
+        if known:
+            self._record(url, known.created_at, known.last_indexed, known.commit, 0)
         self.store.replace("vectors", incremental.replaced(self.store.read("vectors", url), vectors, failed, changes.join(gone.union(changed).distinct(), "path", "left_semi")))
         self.store.replace("chunks", every)
         self._index_terms(url, every, changes, failed, full)
-        self.store.drop("edges", url)
+        if edges.isEmpty():
+            self.store.drop("edges", url)
         self.store.replace("edges", edges)
         done = current.join(failed, "path", "left_anti").unionByName(state.select("path", "sha").join(failed, "path", "left_semi").join(current.select("path"), "path", "left_semi"))
         self.store.replace("file_state", done.select(F.lit(url).alias("repo_url"), "path", "sha"))
-        row = [(url, known.created_at if known else now, now, commit, INDEX_VERSION)]
-        self.store.replace("repositories", self.spark.createDataFrame(row, "repo_url string, created_at bigint, last_indexed bigint, commit string, index_version int"))
+        self._record(url, known.created_at if known else now, now, commit, INDEX_VERSION)
         return incremental.summary(changes, failed)
 
+    def _record(self, url: str, created: int, indexed: int, commit: str | None, version: int) -> None:
+        """Write a repository's row."""
+        row = [(url, created, indexed, commit, version)]
+        self.store.replace("repositories", self.spark.createDataFrame(row, SCHEMAS["repositories"]))
+
     @property
     def terms_index(self) -> segments.SegmentedIndex:
         """The lexical index of all repositories."""
