@@ -1,7 +1,7 @@
 """Linking by change: edges are kept up to date by resolving again only the references that an edit can have changed.
 
-A reference's outcome follows from what ``resolve.lookups`` says of four keys: of how many candidates there are none, one or
-more counts, and of one which it is. So keys are compared before and after, not candidates: the thousand and first symbol of
+A reference's outcome follows from whether there are none, one or more candidates of its name, in its file, by its qualifier
+or by both, and if there is one, from which it is. So keys are compared before and after, not candidates: the thousand and first symbol of
 a name changes no key, and none of the references to that name is looked at again. Only symbols of names that occur in
 differing files are counted anew. ``super`` is followed from the classes that changed down to those that inherit from them.
 
@@ -10,7 +10,7 @@ differing files are counted anew. ``super`` is followed from the classes that ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.operators import resolve
@@ -50,16 +50,26 @@ def _called(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return chunks.join(names.withColumnRenamed("tail", "name"), ["repo_url", "language", "name"], "left_semi")
 
 
-def changed_keys(old: DataFrame, new: DataFrame, tag: str) -> tuple[list[str], DataFrame]:
-    """The keys of a pool, and those for which a reference finds something else in ``new`` than in ``old``."""
+def _keys(file: Column, qualifiers: Column) -> Column:
+    """What candidates are counted by, beside their name: nothing, their file, a qualifier, or both."""
+    key = lambda kind, f, q: F.struct(F.lit(kind).alias("kind"), f.alias("in_file"), q.alias("by"))
+    none = F.lit("")
+    plain = F.array(key("name", none, none), key("file", file, none))
+    return F.concat(plain, F.transform(qualifiers, lambda q: key("qualifier", none, q)), F.transform(qualifiers, lambda q: key("both", file, q)))
 
-    def outcomes(chunks: DataFrame) -> tuple[list[str], DataFrame]:
-        keys, table = resolve.lookups(chunks)[tag]
-        told = [x for f in resolve.FLAGS for x in (F.least(F.col(f"{tag}_n_{f}"), F.lit(2)).alias(f"n_{f}"), F.when(F.col(f"{tag}_n_{f}") == 1, F.col(f"{tag}_k_{f}")).alias(f"k_{f}"))]
-        return keys, table.select(*[f"{tag}_{k}" for k in keys], *told)
 
-    (keys, was), (_, now) = outcomes(old), outcomes(new)
-    return keys, was.subtract(now).unionByName(now.subtract(was)).select(*[f"{tag}_{k}" for k in keys]).distinct()
+def changed_keys(old: DataFrame, new: DataFrame) -> DataFrame:
+    """_NAME, key: where a reference finds something else among the symbols of ``new`` than among those of ``old``."""
+    rows = resolve.candidates(old).withColumn("is_new", F.lit(False)).unionByName(resolve.candidates(new).withColumn("is_new", F.lit(True)))
+    rows = rows.withColumn("key", F.explode(_keys(F.col("c_file"), F.col("qualifiers"))))
+    target, counts, same = F.struct("c_file", "c_name"), [], F.lit(True)
+    for flag, condition in resolve.FLAGS.items():
+        for side in ("NOT is_new", "is_new"):
+            here = F.expr(f"{condition} AND {side}")
+            counts += [F.count_if(here).alias(f"n {flag} {side}"), F.max(F.when(here, target)).alias(f"k {flag} {side}")]
+        n, k = ([F.col(f"{x} {flag} {side}") for side in ("NOT is_new", "is_new")] for x in "nk")
+        same = same & (F.least(n[0], F.lit(2)) == F.least(n[1], F.lit(2))) & ((n[0] != 1) | k[0].eqNullSafe(k[1]))
+    return rows.groupBy(*_NAME, "key").agg(*counts).where(~same).select(*_NAME, "key")
 
 
 def _along(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -84,11 +94,9 @@ def affected(old: DataFrame, new: DataFrame, edges: DataFrame) -> tuple[DataFram
     refs = resolve.references(new).join(names.withColumn("named", F.lit(True)), _NAME, "left")
     refs = materialize(refs.where("named OR branch = 'super'"), "relink-refs")
     counted_old, counted_new = (materialize(_called(x, names).select("repo_url", "language", "name", "type", "file_path", "qualified_name"), "relink-candidates") for x in (old, new))
-    asking, found = refs.where("named"), inside
-    for tag in resolve.POOLS:
-        keys, changed = changed_keys(counted_old, counted_new, tag)
-        found = found.unionByName(asking.join(changed, resolve.same_key(asking, changed, keys, tag), "left_semi").select(*_SOURCE))
-    found = materialize(found.distinct(), "relink-sources")
+    changed = materialize(changed_keys(counted_old, counted_new), "relink-keys")
+    asking = refs.where("named").select(*_SOURCE, "language", "tail", F.explode(_keys(F.col("src_file"), F.array_compact(F.array("qualifier")))).alias("key"))
+    found = materialize(inside.unionByName(asking.join(changed, [*_NAME, "key"], "left_semi").select(*_SOURCE)).distinct(), "relink-sources")
     above = refs.where("branch = 'super'")
     if not above.isEmpty():
         down = edges.where("type = 'INHERITS'").select("repo_url", F.col("dst_file").alias("src_file"), F.col("dst_name").alias("src_name"), F.col("src_file").alias("to_file"), F.col("src_name").alias("to_name"))

@@ -77,27 +77,12 @@ def _lookup(candidates: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return candidates.groupBy(*keys).agg(*aggregates).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[f"{tag}_{x}_{f}" for f in FLAGS for x in "nk"])
 
 
-#: What candidates are counted by: their name, and besides their file, the qualifier that a reference may give, or both.
-POOLS = {"a": [], "b": ["c_file"], "x": ["qualifier"], "y": ["qualifier", "c_file"]}
-
-
-def lookups(chunks: DataFrame) -> dict[str, tuple[list[str], DataFrame]]:
-    """For each of POOLS its keys, and a table of how many candidates they leave."""
-    c = chunks.select(
+def candidates(chunks: DataFrame) -> DataFrame:
+    """Symbols as references may mean them: tail, c_type, c_file, c_name, and the qualifiers that they may be named by."""
+    return chunks.select(
         "repo_url", "language", F.col("name").alias("tail"), F.col("type").alias("c_type"), F.col("file_path").alias("c_file"), F.col("qualified_name").alias("c_name"),
         F.array_compact(F.array_distinct(F.array(last_segment(owner_of(F.col("qualified_name"))), module_name(F.col("file_path"))))).alias("qualifiers"),
     )
-    q = c.withColumn("qualifier", F.explode("qualifiers"))
-    keys = {tag: ["repo_url", "language", "tail", *more] for tag, more in POOLS.items()}
-    return {tag: (of, _lookup(q if "qualifier" in of else c, of, tag)) for tag, of in keys.items()}
-
-
-def same_key(refs: DataFrame, table: DataFrame, keys: list[str], tag: str) -> Column:
-    """Whether a reference asks for a row of a table of ``lookups``; what ``c_file`` is to candidates is the reference's own file."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & (refs["src_file" if k == "c_file" else k] == table[f"{tag}_{k}"])
-    return same
 
 
 def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -107,9 +92,16 @@ def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = Non
     that thousands of symbols share costs a reference one row and not thousands. ``chunks`` may be cut to symbols of the
     names that are referred to, if ``symbols`` has all.
     """
+    c = candidates(chunks)
+    q = c.withColumn("qualifier", F.explode("qualifiers"))
+    name = ["repo_url", "language", "tail"]
     out = refs.where("branch <> 'super'")
-    for tag, (keys, table) in lookups(chunks).items():
-        out = out.join(table, same_key(out, table, keys, tag), "left").drop(*[f"{tag}_{k}" for k in keys])
+    for tag, rows, more in (("a", c, []), ("b", c, ["c_file"]), ("x", q, ["qualifier"]), ("y", q, ["qualifier", "c_file"])):
+        table = _lookup(rows, [*name, *more], tag)
+        same = F.lit(True)
+        for k in [*name, *more]:
+            same = same & (out["src_file" if k == "c_file" else k] == table[f"{tag}_{k}"])
+        out = out.join(table, same, "left").drop(*[f"{tag}_{k}" for k in [*name, *more]])
     every = chunks if symbols is None else symbols
     own = every.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
     mine = (F.col("branch") == "self") & (F.col("repo_url") == F.col("_r")) & (F.col("src_file") == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 from symgraph.functions import text as tx
-from symgraph.operators import context, evaluate, fusion, graph
+from symgraph.operators import context, evaluate, fusion, graph, resolve
 from symgraph.plans import fixtures
 from symgraph.plans.engine import Engine
 
@@ -29,6 +29,8 @@ def test_index_follows_a_repository(spark, tmp_path):
     edited = dict(fixtures.PYTHON) | {"shop/util.py": fixtures.PYTHON["shop/util.py"] + "\n\ndef extra():\n    return add(1, 2)\n"}
     second = engine.index(files(spark, edited), "c2", now=3).first()
     assert (second.modified, second.unchanged) == (1, len(edited) - 1)
+    edges = lambda df: sorted(map(tuple, df.select("type", "src_file", "src_name", "dst_file", "dst_name").collect()))
+    assert edges(engine.store.read("edges", "r")) == edges(resolve.link(engine.store.read("chunks", "r")))  # linked by change
     assert engine.symbols("r").count() == n + 1 and engine.store.read("vectors", "r").count() == n + 1
     new = engine.terms_index.segments().orderBy("chunks").first()
     assert {r.filepath for r in engine.terms_index.docs().where(f"segment = {new.segment}").collect()} == {"shop/util.py"}  # postings of the changed file only
