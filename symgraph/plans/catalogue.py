@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as tx
-from symgraph.operators import ann, context, evaluate, explore, fusion, graph, incremental, lexical, resolve, segments, vector
+from symgraph.operators import ann, context, evaluate, explore, fusion, graph, incremental, lexical, relink, resolve, segments, vector
 from symgraph.plans import fixtures, indexes
 from symgraph.plans.views import SQL, Views
 from symgraph.session import materialize
@@ -595,6 +595,40 @@ def resolve_qualified(v: Views) -> DataFrame:
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 
+def _linked_chunks(v: Views, before: bool) -> DataFrame:
+    """Suppliers as classes, parts as methods, orders as functions that call methods of their line items' parts. ``before``: as it was
+    before an edit that renamed a tenth of the parts, gave some orders their calls, and added or removed others."""
+    text = lambda p, k, q="": F.concat(F.lit(p), k.cast("string"), F.lit(q))
+    s, o, none = F.col("s_suppkey"), F.col("l_orderkey"), F.array().cast("array<string>")
+    bases = F.when(s >= 2, F.array(text("Class_", F.floor(s / 2)))).otherwise(none)
+    classes = v.table("supplier").select(text("Class_", s).alias("qualified_name"), text("Class_", s).alias("name"), F.lit("class").alias("type"), text("cls_", s, ".py").alias("file_path"), none.alias("calls"), bases.alias("bases"))
+    name = F.when(F.substring("node", 2, 20).cast("bigint") % 10 == 0, "Former").otherwise(F.col("name")) if before else F.col("name")
+    methods = _method_chunks(v, "brand").withColumn("node", F.substring_index("qualified_name", ".", -1)).select("qualified_name", name.alias("name"), "type", "file_path", none.alias("calls"), none.alias("bases"))
+    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    calls = F.array_sort(F.collect_set(F.concat(text("Class_", F.col("l_suppkey"), "."), "p_brand")))  # as many as an order has items
+    orders = rows.groupBy("l_orderkey").agg(calls.alias("calls"))
+    if before:
+        gone = orders.where(o % 17 == 3).select((-o).alias("l_orderkey"), "calls")
+        orders = orders.where(o % 13 != 5).withColumn("calls", F.when(o % 11 == 0, none).otherwise(F.col("calls"))).unionByName(gone)
+    functions = orders.select(text("f", o).alias("qualified_name"), text("f", o).alias("name"), F.lit("function").alias("type"), text("orders_", F.floor(F.abs(o) / 100), ".py").alias("file_path"), "calls", none.alias("bases"))
+    every = classes.unionByName(methods).unionByName(functions)
+    return every.select(F.lit("r").alias("repo_url"), F.lit("python").alias("language"), "*")
+
+
+@_query(
+    """, refs AS (SELECT DISTINCT 'f' || l_orderkey AS src, 'Class_' || l_suppkey AS qualifier, p_brand AS tail FROM lineitem JOIN part ON l_partkey = p_partkey),
+found AS (SELECT r.src, r.qualifier, r.tail, count(*) AS n, count(*) FILTER (WHERE split_part(m.qualified_name, '.', 1) = r.qualifier) AS n_exact, max(split_part(m.qualified_name, '.', 1) || '.' || m.node) AS k,
+  max(split_part(m.qualified_name, '.', 1) || '.' || m.node) FILTER (WHERE split_part(m.qualified_name, '.', 1) = r.qualifier) AS k_exact FROM refs r JOIN methods_v m ON m.name = r.tail GROUP BY ALL)
+SELECT DISTINCT 'CALLS' AS type, src AS src_name, CASE WHEN n_exact = 1 THEN k_exact ELSE k END AS dst_name FROM found WHERE n_exact = 1 OR (n_exact = 0 AND n = 1)
+UNION ALL SELECT 'INHERITS', 'Class_' || s_suppkey, 'Class_' || (s_suppkey // 2) FROM supplier WHERE s_suppkey >= 2 AND s_suppkey // 2 IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'HAS_METHOD', split_part(qualified_name, '.', 1), split_part(qualified_name, '.', 1) || '.' || node FROM methods_v WHERE owner IN (SELECT 'c' || s_suppkey FROM supplier)"""
+)
+def relink_after_edits(v: Views) -> DataFrame:
+    old, new = (materialize(_linked_chunks(v, before), "linked") for before in (True, False))
+    edges = materialize(resolve.link(old), "edges")
+    return relink.relink(old, new, edges).select("type", "src_name", "dst_name")
+
+
 @_query("SELECT p_partkey, CASE WHEN rn = 1 THEN p_brand ELSE p_brand || '#' || rn END AS qualified_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS rn FROM part)", views=False)
 def dedupe_qualified_names(v: Views) -> DataFrame:
     rows = v.table("part").select("p_partkey", F.col("p_size").alias("file_path"), F.col("p_brand").alias("qualified_name"))
