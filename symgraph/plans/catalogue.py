@@ -105,7 +105,9 @@ _POSTINGS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, unnest({_TOKENS.
 
 @_query(f", p AS (SELECT doc_id, field, term, count(*) AS tf FROM ({_POSTINGS}) GROUP BY ALL) SELECT field, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY field")
 def inverted_index(v: Views) -> DataFrame:
-    return lexical.indexed(v.chunks()).groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
+    # count by term first: partial counts leave a task as its vocabulary, not its postings
+    terms = lexical.indexed(v.chunks()).groupBy("field", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    return terms.groupBy("field").agg(F.sum("n").alias("postings"), F.sum("tf").alias("tokens"), F.count("*").alias("terms"))
 
 
 @_query(f" SELECT filepath, {' + '.join(f'len({_TOKENS.format(f)})' for f in lexical.FIELDS)} AS dl FROM chunks_v")
