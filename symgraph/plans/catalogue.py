@@ -264,8 +264,8 @@ hybrid AS (SELECT * EXCLUDE (first_at), rrf_score / ({_N_LISTS} / {fusion.RRF_K
 _FUSED = "filepath, symbol, start_line, round(rrf_score, 6) AS rrf_score, round(score, 6) AS score, sources, round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score, rank"
 
 
-def _fused(v: Views) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_lists(v), _N_LISTS).withColumn("sources", F.array_join("sources", ","))
+def _fused(lists: DataFrame) -> DataFrame:
+    return fusion.reciprocal_rank_fusion(lists, _N_LISTS).withColumn("sources", F.array_join("sources", ","))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -275,12 +275,12 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @_query(_RRF + f" SELECT {_FUSED} FROM hybrid")
 def rrf_fuse(v: Views) -> DataFrame:
-    return _shown(_fused(v))
+    return _shown(_fused(_lists(v)))
 
 
 @_query(_RRF + f" SELECT {_FUSED} FROM hybrid WHERE rank <= {fusion.CANDIDATES}")
 def hybrid_search(v: Views) -> DataFrame:
-    return _shown(_fused(v).where(F.col("rank") <= fusion.CANDIDATES))
+    return _shown(_fused(_lists(v)).where(F.col("rank") <= fusion.CANDIDATES))
 
 
 _QUESTION = "the licensed text of idiot von"
@@ -290,8 +290,8 @@ reranked AS (SELECT filepath, symbol, start_line, rank AS retrieval_rank, score
 kept AS (SELECT *, row_number() OVER (ORDER BY score DESC, retrieval_rank) AS rank FROM reranked)"""
 
 
-def _reranked(v: Views, top_k: int) -> DataFrame:
-    top = _fused(v).where(F.col("rank") <= fusion.CANDIDATES)
+def _reranked(v: Views, fused: DataFrame, top_k: int) -> DataFrame:
+    top = fused.where(F.col("rank") <= fusion.CANDIDATES)
     code = v.chunks().select("filepath", "symbol", "start_line", "chunk_type", "code_text")
     hits = code.join(F.broadcast(top), ["filepath", "symbol", "start_line"])  # 24 hits: texts are fetched only for them
     passage = fusion.passage(F.col("symbol"), F.col("chunk_type"), F.col("filepath"), F.col("code_text"))
@@ -300,7 +300,7 @@ def _reranked(v: Views, top_k: int) -> DataFrame:
 
 @_query(_RERANK + f" SELECT filepath, symbol, retrieval_rank, round(rerank_score, 6) AS rerank_score, round(score, 6) AS score, rank FROM kept WHERE rank <= {fusion.KEPT}")
 def rerank_blend(v: Views) -> DataFrame:
-    return _reranked(v, fusion.KEPT).select("filepath", "symbol", "retrieval_rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"), "rank")
+    return _reranked(v, _fused(_lists(v)), fusion.KEPT).select("filepath", "symbol", "retrieval_rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"), "rank")
 
 
 @_query(
@@ -310,8 +310,10 @@ def rerank_blend(v: Views) -> DataFrame:
 )
 def candidate_funnel(v: Views) -> DataFrame:
     stage = lambda name, df: df.agg(F.lit(name).alias("stage"), F.count("*").alias("hits"))
-    last = _reranked(v, fusion.CANDIDATES)
-    out = stage("candidates", _lists(v)).unionByName(stage("fused", _fused(v))).unionByName(stage("reranked", last))
+    lists = materialize(_lists(v), "lists")  # a few dozen rows, as what follows from them: each step is made once and counted
+    fused = materialize(_fused(lists), "fused")
+    last = materialize(_reranked(v, fused, fusion.CANDIDATES), "reranked")
+    out = stage("candidates", lists).unionByName(stage("fused", fused)).unionByName(stage("reranked", last))
     return out.unionByName(stage("kept", last.where(F.col("rank") <= fusion.KEPT)))
 
 
@@ -943,7 +945,7 @@ def merge_repositories(v: Views) -> DataFrame:
 
 @_query(_RERANK + f" SELECT filepath, symbol, retrieval_rank - rank AS rank_change FROM kept WHERE rank <= {fusion.KEPT}")
 def rank_change(v: Views) -> DataFrame:
-    return explore.rank_change(_reranked(v, fusion.KEPT)).select("filepath", "symbol", "rank_change")
+    return explore.rank_change(_reranked(v, _fused(_lists(v)), fusion.KEPT)).select("filepath", "symbol", "rank_change")
 
 
 @_query(" SELECT DISTINCT filepath AS path FROM symbols_v")
