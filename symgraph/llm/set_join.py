@@ -8,8 +8,10 @@ whose fingerprints differ in more than APART of 64 bits are passed over: at simi
 binomial law, not by measurement, a similar pair is lost with a chance of about 1 in 10^8. ``apart=64`` passes over none and is exact.
 
 Candidates are verified before any is left out. First come the pairs that the caller's own search proposes (by fingerprints), and each
-node with the first of its lists; after that, round by round, every pair of a list that sizes and places in the prefixes allow,
-within a span of neighbours that grows until it covers the list, unless earlier links already join the two or the pair was checked. When no list is left, each pair that meets
+node with the first of its lists and with its neighbours there, whose links join most of a group before its other pairs are made; after that, round by round, every pair of a list that sizes and places in the prefixes allow,
+within a span of neighbours that grows until it covers the list, unless earlier links already join the two or the pair was checked. A pair that shares many shingles meets
+in as many lists; a row carries the few shingles before its own, and where two rows share one of those they are left to its list, so a pair is always made in
+the list of the first shingle it shares and in few others. When no list is left, each pair that meets
 and is not passed over has been checked or lies within one component.
 
 Defined cases: a null text counts as empty; texts without words are alike; fewer words than a shingle are one shingle.
@@ -37,6 +39,9 @@ SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
 LARGE, APART = 32, 28
 #: The span of the first full round, and its growth.
 SPAN, GROWTH = 16, 16
+#: How many shingles before its own a row of a list carries.
+BEFORE = 2
+_BEFORE = [f"p{k}" for k in range(1, BEFORE + 1)]
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
@@ -123,8 +128,11 @@ def set_rows(docs: DataFrame, at_least: float, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, th bigint, node binary, n bigint, prefix binary")
 
 
+_WORDS = ", ".join(f"{p} bigint" for p in _BEFORE)
+
+
 def _dealt(classes: DataFrame) -> DataFrame:
-    """s, n, x, y, at: a row for each shingle of a node's prefix; x and y are the node's two words."""
+    """s, n, x, y, at and the BEFORE shingles before s (anything where there are fewer): a row for each shingle of a node's prefix; x and y are the node's two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +142,12 @@ def _dealt(classes: DataFrame) -> DataFrame:
             sizes = np.array([len(p) for p in parts])
             nodes, n = np.repeat(_nodes(batch.column(0)), sizes, axis=0), np.repeat(batch.column(1).to_numpy(), sizes)
             at = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            columns = [np.concatenate(parts), n, nodes[:, 0], nodes[:, 1], at]
+            s = np.concatenate(parts)
+            columns = [s, n, nodes[:, 0], nodes[:, 1], at, *[np.roll(s, k) for k in range(1, BEFORE + 1)]]
             for i in range(0, len(at), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + (1 << 16)])) for c in columns], ["s", "n", "x", "y", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + (1 << 16)])) for c in columns], ["s", "n", "x", "y", "at", *_BEFORE])
 
-    return classes.select("node", "n", "prefix").mapInArrow(run, "s bigint, n bigint, x bigint, y bigint, at int")
+    return classes.select("node", "n", "prefix").mapInArrow(run, f"s bigint, n bigint, x bigint, y bigint, at int, {_WORDS}")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -171,6 +180,15 @@ def _may(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.nda
     return near & (n[i] >= _least(n[j], at_least)) & (shared >= _least(n[i] + n[j], at_least / (1 + at_least)))
 
 
+def _met_before(i: np.ndarray, j: np.ndarray, at: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """Whether two rows share one of the shingles just before their own: they meet in its list too, where all that allows the pair here allows it."""
+    found = np.zeros(len(i), dtype=bool)
+    for u, p in enumerate(before, 1):
+        for v, q in enumerate(before, 1):
+            found |= (p[i] == q[j]) & (at[i] >= u) & (at[j] >= v)
+    return found
+
+
 def _reach(s: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, at_least: float) -> tuple[np.ndarray, np.ndarray]:
     """For rows of whole lists, sizes ascending: where the rows end that sizes and places let be similar to a row before them
     (after i only those before ``end[i]`` can be), and which rows have such a partner more than ``span`` rows away.
@@ -192,14 +210,15 @@ def _reach(s: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, at_least: fl
     return end, ahead | (behind & (np.cumsum(met)[:-1] > 0))
 
 
-_POSTING = "s bigint, n bigint, at int, node binary, first binary"
+_POSTING = f"s bigint, n bigint, at int, node binary, first binary, near binary, {_WORDS}"
 
 
 def _met(dealt: DataFrame, at_least: float, apart: int = APART) -> DataFrame:
-    """s, n, at, node, first: the rows of lists that sizes and places let be similar to another; ``first`` is the list's first node of such a size, if the two may be similar."""
+    """s, n, at, node, first, near and the shingles before: the rows of lists that sizes and places let be similar to another; ``first`` is the list's first
+    node of such a size, ``near`` the one before in the list, if the two may be similar (and meet in no list of the shingles before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, n, x, y, at in _lists(batches):
+        for s, n, x, y, at, *before in _lists(batches):
             starts, _ = _spans(s)
             keep = np.flatnonzero(_reach(s, n, at, 0, at_least)[1])
             if not len(keep):
@@ -213,7 +232,11 @@ def _met(dealt: DataFrame, at_least: float, apart: int = APART) -> DataFrame:
             heads = _binary(nodes[first])
             use = (first != keep) & _may(first, keep, n, at, x.view(np.uint64), at_least, apart)
             heads = pa.array([h if u else None for u, h in zip(use.tolist(), heads.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep]), pa.array(at[keep]), _binary(nodes[keep]), heads], ["s", "n", "at", "node", "first"])
+            prior = np.concatenate((keep[:1], keep[:-1]))
+            use = (s[prior] == s[keep]) & (prior != keep) & _may(prior, keep, n, at, x.view(np.uint64), at_least, apart) & ~_met_before(prior, keep, at, before)
+            near = pa.array([m if u else None for u, m in zip(use.tolist(), _binary(nodes[prior]).to_pylist(), strict=True)], pa.binary())
+            made = [pa.array(s[keep]), pa.array(n[keep]), pa.array(at[keep]), _binary(nodes[keep]), heads, near, *[pa.array(p[keep]) for p in before]]
+            yield pa.RecordBatch.from_arrays(made, ["s", "n", "at", "node", "first", "near", *_BEFORE])
 
     return dealt.repartition("s").sortWithinPartitions("s", "n", "x", "y").mapInArrow(run, _POSTING)
 
@@ -224,7 +247,7 @@ def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = False
-        for s, n, at, node, root in _lists(batches):
+        for s, n, at, node, root, *before in _lists(batches):
             starts, _ = _spans(s)
             fp = _nodes(pa.array(node, pa.binary()))[:, 0].view(np.uint64)
             end, left = _reach(s, n, at, span, at_least)
@@ -234,8 +257,9 @@ def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least
                 if not len(i):
                     break
                 j = i + k
-                hit = _may(i, j, n, at, fp, at_least, apart) & (root[i] != root[j]).astype(bool)
-                if hit.any():
+                hit = np.flatnonzero(_may(i, j, n, at, fp, at_least, apart) & (root[i] != root[j]).astype(bool))
+                hit = hit[~_met_before(i[hit], j[hit], at, before)]
+                if len(hit):
                     a, b = node[i[hit]], node[j[hit]]
                     swap = (a > b).astype(bool)
                     yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.binary()), pa.array(np.where(swap, a, b), pa.binary())], ["a", "b"])
@@ -245,7 +269,7 @@ def _round(postings: DataFrame, roots: DataFrame, past: int, span: int, at_least
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, ["a", "b"])
 
     known = roots.select(F.col("node").alias("_node"), "root")
-    rows = postings.join(known, F.col("node") == F.col("_node"), "left").select("s", "n", "at", "node", F.coalesce("root", "node").alias("root"))
+    rows = postings.join(known, F.col("node") == F.col("_node"), "left").select("s", "n", "at", "node", F.coalesce("root", "node").alias("root"), *_BEFORE)
     return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, "a binary, b binary")
 
 
@@ -313,7 +337,7 @@ def similar_groups(docs: DataFrame, at_least: float, shingle: int, proposed: Cal
     classes = classes.select("node", "least")
     ends = classes.select("node", key_of(F.col("least.doc_id"), F.col("least.th")).alias("k"), F.col("least.th").alias("own"))
     heads = postings.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("first"))
-    tested = heads.select(*ordered("node", "first"))
+    tested = heads.select(*ordered("node", "first")).unionByName(postings.where("near IS NOT NULL").select(*ordered("node", "near")))
     tested = materialize((tested.unionByName(first) if first is not None else tested).distinct(), "similar-pairs")
     # also the sets that only the first search pairs
     needed = postings.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node")))

@@ -258,3 +258,30 @@ def test_every_document_of_the_data_is_the_librarys(spark, sf_dir, library):
         ids = library(r.text or "")
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[r.doc_id].n_tokens * 4 == len(ids)
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_a_pair_is_made_in_few_of_the_lists_that_it_shares(spark):
+    """Texts that share most of their rare shingles once made their pair in each of these lists."""
+    from pyspark.sql import functions as F
+
+    from symgraph.llm import set_join
+
+    r = np.random.default_rng(7)
+    rows = []
+    for group in range(4):
+        base = [f"w{group}x{i}" for i in range(300)]
+        for i in range(8):
+            words = list(base)
+            for at in r.integers(0, 300, 4 * i % 13):
+                words[at] = f"edit{group}n{i}n{at}"
+            rows.append((group * 8 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = set_join.set_rows(docs, 0.8, 5).select("node", "n", "prefix").distinct()
+    postings = set_join._met(set_join._dealt(sets), 0.8, 64)
+    none = spark.createDataFrame([], "node binary, root binary")
+    made = [(bytes(p.a), bytes(p.b)) for p in set_join._round(postings, none, 0, 64, 0.8, 64).where(F.col("a").isNotNull()).collect()]
+    found = {set_join.node_of(s): set(s.tolist()) for s in (set_join.shingle_set(t, 5) for _, t in rows)}
+    names = sorted(found)
+    alike = {(a, b) for a in names for b in names if a < b and len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])}
+    assert len(alike) > 20 and alike <= set(made)
+    assert len(made) <= 4 * len(set(made))
