@@ -62,7 +62,14 @@ def enclosed(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     places = refs.where(F.col("branch").isin("self", "super")).select("repo_url", "src_file", "src_name").distinct()
     around = places.withColumn("prefix", F.explode(prefixes)).join(classes, ["repo_url", "src_file", "prefix"])
     nearest = around.groupBy("repo_url", "src_file", "src_name").agg(F.max_by("prefix", F.length("prefix")).alias("owner"))
-    return refs.join(nearest, ["repo_url", "src_file", "src_name"], "left")
+    inner, rest = _parted(refs, "self", "super")  # all others have none, and are not shuffled for it
+    return inner.join(nearest, ["repo_url", "src_file", "src_name"], "left").unionByName(rest.withColumn("owner", F.lit(None).cast("string")))
+
+
+def _parted(refs: DataFrame, *branches: str) -> tuple[DataFrame, DataFrame]:
+    """``refs`` of some branches, and all others."""
+    among = F.coalesce(F.col("branch").isin(*branches), F.lit(False))
+    return refs.where(among), refs.where(~among)
 
 
 KEYS = ["repo_url", "src_file", "src_name", "src_type", "role", "ord", "ref", "branch"]
@@ -89,24 +96,24 @@ def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = Non
     """KEYS, dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
 
     Candidates are counted by name, by name and file, and by name and qualifier before references meet them, so a name
-    that thousands of symbols share costs a reference one row and not thousands. ``chunks`` may be cut to symbols of the
+    that thousands of symbols share costs a reference one row and not thousands. What is asked for is looked up once,
+    however many references ask: by name and qualifier, and, where their file has the name, by file. References themselves
+    are joined with what was found, and are shuffled at most once for each of the two. ``chunks`` may be cut to symbols of the
     names that are referred to, if ``symbols`` has all.
     """
     c = candidates(chunks)
     q = c.withColumn("qualifier", F.explode("qualifiers"))
-    name = ["repo_url", "language", "tail"]
-    out = refs.where("branch <> 'super'")
-    for tag, rows, more in (("a", c, []), ("b", c, ["c_file"]), ("x", q, ["qualifier"]), ("y", q, ["qualifier", "c_file"])):
+    name, asked = ["repo_url", "language", "tail"], ["repo_url", "language", "tail", "qualifier", "role", "branch"]
+    refs = refs.where("branch <> 'super'")
+    base, branch = F.col("role") == "base", F.col("branch")
+
+    def met(out: DataFrame, rows: DataFrame, tag: str, more: list[str], how: str = "left") -> DataFrame:
+        """``out`` with what is counted of each key of ``rows``."""
         table = _lookup(rows, [*name, *more], tag)
         same = F.lit(True)
         for k in [*name, *more]:
             same = same & (out["src_file" if k == "c_file" else k] == table[f"{tag}_{k}"])
-        out = out.join(table, same, "left").drop(*[f"{tag}_{k}" for k in [*name, *more]])
-    every = chunks if symbols is None else symbols
-    own = every.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
-    mine = (F.col("branch") == "self") & (F.col("repo_url") == F.col("_r")) & (F.col("src_file") == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))
-    out = out.join(own, mine, "left")
-    base, branch = F.col("role") == "base", F.col("branch")
+        return out.join(table, same, how).drop(*[f"{tag}_{k}" for k in [*name, *more]])
 
     def pool(tag: str) -> Column:
         """The one candidate of the reference's pool, null unless there is exactly one."""
@@ -114,11 +121,35 @@ def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = Non
         calls = F.when(branch == "bare", one("plain")).when(branch == "self", one("method")).otherwise(one("call"))
         return F.when(base, F.when(branch != "self", one("class"))).otherwise(calls)
 
-    known = F.coalesce(F.when(base, F.col("a_n_class")).otherwise(F.col("a_n_call")), F.lit(0)) > 0
-    exact = F.coalesce(F.when(base, F.col("x_n_class")).otherwise(F.col("x_n_call")), F.lit(0)) > 0
-    own_one = F.when(known & F.col("_own").isNotNull(), F.struct(F.col("_f").alias("file"), F.col("_own").alias("name")))
-    chosen = F.coalesce(own_one, F.when((branch == "qualified") & exact, F.coalesce(pool("x"), pool("y"))).otherwise(F.coalesce(pool("b"), pool("a"))))
-    out = out.withColumn("target", chosen).where("target IS NOT NULL")
+    def some(tag: str) -> Column:
+        return F.coalesce(F.when(base, F.col(f"{tag}_n_class")).otherwise(F.col(f"{tag}_n_call")), F.lit(0)) > 0
+
+    def joined(out: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+        """``out`` with the columns of ``table``, nulls of the keys being equal."""
+        table = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & (out[k].eqNullSafe(table[f"_{k}"]) if k == "qualifier" else out[k] == table[f"_{k}"])
+        return out.join(table, same, "left").drop(*[f"_{k}" for k in keys])
+
+    anywhere = met(met(refs.select(*asked).distinct(), c, "a", [], "inner"), q, "x", ["qualifier"])
+    anywhere = materialize(anywhere.where(some("a")).select(*asked, some("x").alias("exact"), pool("a").alias("of_name"), pool("x").alias("of_qualifier")), "asked-names")
+    here = refs.select(*name, "src_file").distinct().join(c.select(*name, F.col("c_file").alias("src_file")), [*name, "src_file"], "left_semi")
+    here = refs.select(*asked, "src_file").join(materialize(here, "asked-files"), [*name, "src_file"], "left_semi").distinct()
+    here = met(met(here, c, "b", ["c_file"]), q, "y", ["qualifier", "c_file"])
+    here = materialize(here.select(*asked, "src_file", pool("b").alias("in_file"), pool("y").alias("in_file_of_qualifier")), "asked-in-files")
+
+    every = chunks if symbols is None else symbols
+    own = every.select(F.col("repo_url").alias("_r"), F.col("file_path").alias("_f"), F.col("qualified_name").alias("_own")).distinct()
+    mine = (F.col("repo_url") == F.col("_r")) & (F.col("src_file") == F.col("_f")) & (F.concat("owner", F.lit("."), "tail") == F.col("_own"))
+    inner, rest = _parted(refs, "self")
+    none = F.lit(None).cast("string")
+    out = inner.join(own, mine, "left").drop("_r").unionByName(rest.withColumn("_f", none).withColumn("_own", none))
+    out = joined(joined(out, anywhere, asked), here, [*asked, "src_file"])
+    own_one = F.when(F.col("_own").isNotNull(), F.struct(F.col("_f").alias("file"), F.col("_own").alias("name")))
+    by_name = F.coalesce("in_file", "of_name")
+    chosen = F.coalesce(own_one, F.when((branch == "qualified") & F.col("exact"), F.coalesce("of_qualifier", "in_file_of_qualifier")).otherwise(by_name))
+    out = out.where("exact IS NOT NULL").withColumn("target", chosen).where("target IS NOT NULL")  # without a symbol of the name there is none
     return out.select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
 
 

@@ -127,3 +127,15 @@ def test_a_run_that_ends_early_is_followed_by_a_full_one(spark, tmp_path, monkey
     assert engine.index(files(spark, edit), "c2", now=3).first().added == len(edit)
     assert rows(engine.store.read("edges", "r")) == rows(resolve.link(engine.store.read("chunks", "r")))
     assert engine.store.read("repositories", "r").first().index_version == INDEX_VERSION
+
+
+def test_references_meet_what_was_looked_up_and_not_each_lookup(spark):
+    """References once were joined with four tables of counts and with all symbols, each a shuffle of all their columns."""
+    rows = [("r", "python", f"f{i}.py", f"A.m{i}", f"m{i}", "method", [f"A.m{i + 1}", "m0"], []) for i in range(4)]
+    schema = "repo_url string, language string, file_path string, qualified_name string, name string, type string, calls array<string>, bases array<string>"
+    chunks = spark.createDataFrame(rows, schema)
+    refs = materialize(resolve.enclosed(resolve.references(chunks), chunks), "refs")
+    found = resolve.resolved(refs, chunks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3  # symbols (references of self only), and what was found by name and by file
+    assert {(r.src_name, r.dst_name) for r in found.collect()} == {(f"A.m{i}", f"A.m{i + 1}") for i in range(3)}
