@@ -2,35 +2,42 @@
 
 A reference's outcome follows from whether there are none, one or more candidates of its name, in its file, by its qualifier
 or by both, and if there is one, from which it is. So keys are compared before and after, not candidates: the thousand and first symbol of
-a name changes no key, and none of the references to that name is looked at again. Only symbols of names that occur in
-differing files are counted anew. ``super`` is followed from the classes that changed down to those that inherit from them.
+a name changes no key, and none of the references to that name is looked at again. Symbols are compared, not files: only keys of
+those that came or went, and that some reference names, are counted, in the new version alone, as what came and went tells how many
+there were. References to ``self`` and ``super`` are resolved again in all files that differ, and ``super`` is followed from the
+classes of such files down to those that inherit from them.
 
 ``relink`` returns the rows that ``resolve.link`` would.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.operators import resolve
 from symgraph.session import materialize
 
-#: What linking reads of a symbol, beside its place.
-LINKED = ["language", "qualified_name", "name", "type", "calls", "bases"]
+#: A symbol's place, and what else references find it by.
+SYMBOL = ["repo_url", "file_path", "qualified_name", "language", "name", "type"]
 _SOURCE = ["repo_url", "src_file", "src_name"]
 _NAME = ["repo_url", "language", "tail"]
 
 
-def differing_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """repo_url, file_path of the files whose symbols differ in what linking reads: one hash a file is compared."""
+def changed_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
+    """SYMBOL, more: the symbols that differ in what linking reads, and how many more there are now of each (0 if only calls or bases differ).
+
+    Calls and bases are compared by the sum of a hash in two halves, which do not overflow; the 0 between tells calls from bases.
+    """
 
-    def marks(chunks: DataFrame, tag: str) -> DataFrame:
-        row = F.xxhash64(F.to_json(F.struct(*LINKED))).cast("decimal(20,0)")  # JSON tells nulls and empty lists apart
-        return chunks.groupBy("repo_url", "file_path").agg(F.struct(F.sum(row).alias("s"), F.count("*").alias("n")).alias(tag))
+    def marks(chunks: DataFrame, sign: int) -> DataFrame:
+        mark = F.xxhash64("calls", F.lit(0), "bases")
+        return chunks.select(*SYMBOL, F.lit(sign).cast("bigint").alias("more"), (F.shiftright(mark, 32) * sign).alias("high"), (mark.bitwiseAND(F.lit(0xFFFFFFFF)) * sign).alias("low"))
 
-    both = marks(old, "was").join(marks(new, "now"), ["repo_url", "file_path"], "full")
-    return both.where(~F.col("was").eqNullSafe(F.col("now"))).select("repo_url", "file_path")
+    sums = [F.sum(x).alias(x) for x in ("more", "high", "low")]
+    return marks(old, -1).unionByName(marks(new, 1)).groupBy(*SYMBOL).agg(*sums).where("more <> 0 OR high <> 0 OR low <> 0").select(*SYMBOL, "more")
 
 
 def _of_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -45,11 +52,6 @@ def _sources(chunks: DataFrame) -> DataFrame:
     return chunks.select("repo_url", F.col("file_path").alias("src_file"), F.col("qualified_name").alias("src_name"))
 
 
-def _called(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Symbols of the listed names (_NAME)."""
-    return chunks.join(names.withColumnRenamed("tail", "name"), ["repo_url", "language", "name"], "left_semi")
-
-
 def _keys(file: Column, qualifiers: Column) -> Column:
     """What candidates are counted by, beside their name: nothing, their file, a qualifier, or both."""
     key = lambda kind, f, q: F.struct(F.lit(kind).alias("kind"), f.alias("in_file"), q.alias("by"))
@@ -58,18 +60,22 @@ def _keys(file: Column, qualifiers: Column) -> Column:
     return F.concat(plain, F.transform(qualifiers, lambda q: key("qualifier", none, q)), F.transform(qualifiers, lambda q: key("both", file, q)))
 
 
-def changed_keys(old: DataFrame, new: DataFrame) -> DataFrame:
-    """_NAME, key: where a reference finds something else among the symbols of ``new`` than among those of ``old``."""
-    rows = resolve.candidates(old).withColumn("is_new", F.lit(False)).unionByName(resolve.candidates(new).withColumn("is_new", F.lit(True)))
-    rows = rows.withColumn("key", F.explode(_keys(F.col("c_file"), F.col("qualifiers"))))
-    target, counts, same = F.struct("c_file", "c_name"), [], F.lit(True)
+def changed_keys(touched: DataFrame, new: DataFrame) -> DataFrame:
+    """_NAME, kind, in_file, by: where a reference finds something else among the symbols of ``new`` than before ``touched``
+    (SYMBOL, more) came or went."""
+    names = touched.select("repo_url", "language", F.col("name").alias("tail")).distinct()
+    now = resolve.candidates(resolve.called(new, names)).withColumn("more", F.lit(None).cast("bigint"))
+    rows = resolve.candidates(touched, "more").unionByName(now).withColumn("key", F.explode(_keys(F.col("c_file"), F.col("qualifiers"))))
+    counts, differs = [], F.lit(False)
     for flag, condition in resolve.FLAGS.items():
-        for side in ("NOT is_new", "is_new"):
-            here = F.expr(f"{condition} AND {side}")
-            counts += [F.count_if(here).alias(f"n {flag} {side}"), F.max(F.when(here, target)).alias(f"k {flag} {side}")]
-        n, k = ([F.col(f"{x} {flag} {side}") for side in ("NOT is_new", "is_new")] for x in "nk")
-        same = same & (F.least(n[0], F.lit(2)) == F.least(n[1], F.lit(2))) & ((n[0] != 1) | k[0].eqNullSafe(k[1]))
-    return rows.groupBy(*_NAME, "key").agg(*counts).where(~same).select(*_NAME, "key")
+        here = F.coalesce(F.expr(condition), F.lit(False))
+        gone = F.col("more").isNotNull()
+        counts += [F.count_if(here & ~gone).alias(f"now {flag}"), F.sum(F.when(here & gone, F.col("more")).otherwise(F.lit(0))).alias(f"more {flag}"), F.count_if(here & gone).alias(f"touched {flag}")]
+        n = F.col(f"now {flag}")
+        was = n - F.col(f"more {flag}")
+        # one before and one now is another one, or it were not touched
+        differs = differs | ((F.col(f"touched {flag}") > 0) & ((F.least(was, F.lit(2)) != F.least(n, F.lit(2))) | (n == 1)))
+    return rows.groupBy(*_NAME, "key").agg(*counts).where(differs).select(*_NAME, "key.*")
 
 
 def _along(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -84,33 +90,37 @@ def _along(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _asking(refs: DataFrame, touched: DataFrame, keys: DataFrame) -> list[DataFrame]:
+    """The places (_SOURCE) of ``refs`` that ask for changed ``keys``, by kind of key: no reference is copied for each of its keys, and
+    those within a file are asked of the files that have ``touched`` symbols alone."""
+    near = refs.join(touched.select("repo_url", F.col("file_path").alias("src_file")).distinct(), ["repo_url", "src_file"], "left_semi")
+    out = []
+    for kind, asked, more in (("name", refs, []), ("qualifier", refs, ["qualifier"]), ("file", near, ["src_file"]), ("both", near, ["src_file", "qualifier"])):
+        of_kind = keys.where(F.col("kind") == kind).select(*_NAME, F.col("in_file").alias("src_file"), F.col("by").alias("qualifier"))
+        out.append(asked.join(of_kind.select(*_NAME, *more), [*_NAME, *more], "left_semi").select(*_SOURCE))
+    return out
+
+
 def affected(old: DataFrame, new: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The differing files (repo_url, file_path), and the symbols (_SOURCE) whose references are to be resolved again: those of
-    such files, before and after, those that ask for a changed key, and those that look a name up among changed bases."""
-    files = materialize(differing_files(old, new), "relink-files")
-    was, now = (materialize(_of_files(x, files).select("repo_url", "language", "file_path", "qualified_name", "name"), "relink-symbols") for x in (old, new))
-    inside = _sources(was.unionByName(now))
-    names = materialize(was.unionByName(now).select("repo_url", "language", F.col("name").alias("tail")).distinct(), "relink-names")
-    refs = resolve.references(new).join(names.withColumn("named", F.lit(True)), _NAME, "left")
-    refs = materialize(refs.where("named OR branch = 'super'"), "relink-refs")
-    counted_old, counted_new = (materialize(_called(x, names).select("repo_url", "language", "name", "type", "file_path", "qualified_name"), "relink-candidates") for x in (old, new))
-    changed = materialize(changed_keys(counted_old, counted_new), "relink-keys")
-    asking = refs.where("named").select(*_SOURCE, "language", "tail", F.explode(_keys(F.col("src_file"), F.array_compact(F.array("qualifier")))).alias("key"))
-    found = materialize(inside.unionByName(asking.join(changed, [*_NAME, "key"], "left_semi").select(*_SOURCE)).distinct(), "relink-sources")
+    """The differing files (repo_url, file_path), and the symbols (_SOURCE) whose references are to be resolved again: those that
+    differ, before and after, those that ask for a changed key, and those that look a name up in a class of a differing file or its heirs."""
+    changed = materialize(changed_symbols(old, new), "relink-symbols")
+    files = materialize(changed.select("repo_url", "file_path").distinct(), "relink-files")
+    refs = materialize(resolve.references(new).select(*_SOURCE, "language", "branch", "tail", "qualifier"), "relink-asked")
+    touched = materialize(resolve.called(changed.where("more <> 0"), refs.select(*_NAME).distinct()).select(*SYMBOL, "more"), "relink-touched")
+    keys = materialize(changed_keys(touched, new), "relink-keys")
+    own = refs.where(F.col("branch").isin("self", "super")).join(files.withColumnRenamed("file_path", "src_file"), ["repo_url", "src_file"], "left_semi").select(*_SOURCE)
+    found = materialize(reduce(DataFrame.unionByName, [_sources(changed), own, *_asking(refs, touched, keys)]).distinct(), "relink-sources")
     above = refs.where("branch = 'super'")
     if not above.isEmpty():
         down = edges.where("type = 'INHERITS'").select("repo_url", F.col("dst_file").alias("src_file"), F.col("dst_name").alias("src_name"), F.col("src_file").alias("to_file"), F.col("src_name").alias("to_name"))
-        below = _along(down, found, resolve.SUPER_DEPTH).withColumnRenamed("src_name", "owner")
+        classes = [_sources(_of_files(x.where("type = 'class'"), files)) for x in (old, new)]  # a method that came or went changes its class
+        below = _along(down, reduce(DataFrame.unionByName, [found, *classes]), resolve.SUPER_DEPTH).withColumnRenamed("src_name", "owner")
         more = resolve.enclosed(above, new).join(below, ["repo_url", "src_file", "owner"], "left_semi").select(*_SOURCE)
         found = materialize(found.unionByName(more).distinct(), "relink-sources")
     return files, found
 
 
-def _resolved(refs: DataFrame, new: DataFrame) -> DataFrame:
-    """``refs`` (with their owner) resolved among the symbols of the names that they refer to."""
-    return materialize(resolve.resolved(refs, _called(new, refs.select(*_NAME).distinct()), new), "relink-resolved")
-
-
 def relink(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges of ``new``, given ``edges`` as ``resolve.link`` or this function made them of ``old``.
 
@@ -118,17 +128,18 @@ def relink(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
     are no references. A symbol's edges are replaced as a whole, membership a file at a time.
     """
     files, sources = affected(old, new, edges)
-    refs = materialize(resolve.enclosed(resolve.references(_of_sources(new, sources)), new), "relink-refs")
-    found = _resolved(refs, new)
+    refs = materialize(resolve.references(_of_sources(new, sources)), "relink-refs")
+    found = resolve.found(refs, new)
     kept = edges.where("type <> 'HAS_METHOD'").join(sources, _SOURCE, "left_anti")
-    asked = refs.where("branch = 'super' AND owner IS NOT NULL")
-    if not asked.isEmpty():
+    above = refs.where("branch = 'super'")
+    if not above.isEmpty():
+        asked = materialize(resolve.enclosed(above, new).where("owner IS NOT NULL"), "relink-super")
         # edges do not tell in which order a class names its bases, so those on the way up are resolved again
         fresh = resolve.edges_of(found).where("type = 'INHERITS'")
         up = kept.where("type = 'INHERITS'").unionByName(fresh).select(*_SOURCE, F.col("dst_file").alias("to_file"), F.col("dst_name").alias("to_name"))
         classes = _along(up, asked.select("repo_url", "src_file", F.col("owner").alias("src_name")), resolve.SUPER_DEPTH - 1)
-        bases = resolve.references(_of_sources(new, classes)).where("role = 'base'")
-        found = found.unionByName(resolve.inherited(asked, _resolved(materialize(resolve.enclosed(bases, new), "relink-bases"), new), new))
+        bases = materialize(resolve.references(_of_sources(new, classes)).where("role = 'base'"), "relink-bases")
+        found = found.unionByName(resolve.inherited(asked, resolve.found(bases, new), new))
     members = edges.where("type = 'HAS_METHOD'").join(files.withColumnRenamed("file_path", "src_file"), ["repo_url", "src_file"], "left_anti")
     fresh = resolve.edges_of(found).unionByName(resolve.has_method(_of_files(new, files))).distinct()
     return kept.unionByName(members).unionByName(fresh)

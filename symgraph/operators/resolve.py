@@ -42,16 +42,16 @@ def has_method(chunks: DataFrame) -> DataFrame:
 def references(chunks: DataFrame) -> DataFrame:
     """One row a reference: where it stands, ``ref``, its segments, ``role`` (call or base), ``ord`` and ``branch``."""
     key = ["repo_url", "language", F.col("file_path").alias("src_file"), F.col("qualified_name").alias("src_name"), F.col("type").alias("src_type")]
-    calls = chunks.where("type <> 'class'").select(*key, F.lit("call").alias("role"), F.posexplode("calls").alias("ord", "ref"))
-    bases = chunks.where("type = 'class'").select(*key, F.lit("base").alias("role"), F.posexplode("bases").alias("ord", "ref"))
-    rows = calls.unionByName(bases).withColumn("parts", F.split("ref", r"\."))
+    is_base = F.col("type") == "class"
+    rows = chunks.where("type IS NOT NULL").select(*key, F.when(is_base, "base").otherwise("call").alias("role"), F.posexplode(F.when(is_base, F.col("bases")).otherwise(F.col("calls"))).alias("ord", "ref"))
+    rows = rows.withColumn("parts", F.split("ref", r"\."))
     first, n = F.col("parts")[0], F.size("parts")
     own = F.lit(False)
     for language, names in SELF_NAMES.items():
         own = own | ((F.col("language") == language) & first.isin(names))
     branch = F.when((first == "super") & (n == 2), "super").when(n == 1, "bare").when(own & (n == 2), "self").otherwise("qualified")
     rows = rows.withColumn("branch", branch).withColumn("tail", F.element_at("parts", -1))
-    return rows.withColumn("qualifier", F.when(n > 1, F.element_at("parts", -2)))
+    return rows.withColumn("qualifier", F.when(n > 1, F.element_at("parts", -2))).drop("parts")
 
 
 def enclosed(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def enclosed(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def _parted(refs: DataFrame, *branches: str) -> tuple[DataFrame, DataFrame]:
     """``refs`` of some branches, and all others."""
-    among = F.coalesce(F.col("branch").isin(*branches), F.lit(False))
-    return refs.where(among), refs.where(~among)
+    among = F.col("branch").isin(*branches)
+    return refs.where(among), refs.where(F.col("branch").isNull() | ~among)  # both are left to the reader of a written table
 
 
 KEYS = ["repo_url", "src_file", "src_name", "src_type", "role", "ord", "ref", "branch"]
@@ -84,11 +84,11 @@ def _lookup(candidates: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return candidates.groupBy(*keys).agg(*aggregates).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[f"{tag}_{x}_{f}" for f in FLAGS for x in "nk"])
 
 
-def candidates(chunks: DataFrame) -> DataFrame:
-    """Symbols as references may mean them: tail, c_type, c_file, c_name, and the qualifiers that they may be named by."""
+def candidates(chunks: DataFrame, *more: str) -> DataFrame:
+    """Symbols as references may mean them: tail, c_type, c_file, c_name, and the qualifiers that they may be named by; ``more`` columns are kept."""
     return chunks.select(
         "repo_url", "language", F.col("name").alias("tail"), F.col("type").alias("c_type"), F.col("file_path").alias("c_file"), F.col("qualified_name").alias("c_name"),
-        F.array_compact(F.array_distinct(F.array(last_segment(owner_of(F.col("qualified_name"))), module_name(F.col("file_path"))))).alias("qualifiers"),
+        F.array_compact(F.array_distinct(F.array(last_segment(owner_of(F.col("qualified_name"))), module_name(F.col("file_path"))))).alias("qualifiers"), *more,
     )
 
 
@@ -153,6 +153,18 @@ def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = Non
     return out.select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
 
 
+def called(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbols of the listed names (repo_url, language, tail)."""
+    return chunks.join(names.withColumnRenamed("tail", "name"), ["repo_url", "language", "name"], "left_semi")
+
+
+def found(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``resolved`` of ``refs`` (written, as they are read often, without owner): only symbols of the names that they refer to are counted."""
+    symbols = chunks.select("repo_url", "language", "name", "type", "file_path", "qualified_name")
+    named = materialize(called(symbols, refs.select("repo_url", "language", "tail").distinct()), "asked-symbols")
+    return materialize(resolved(enclosed(refs, chunks), named, chunks), "resolved")
+
+
 def inherited(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Targets of ``super.x``: the first class, breadth first over resolved bases in their order, that defines x."""
     asked = refs.where("branch = 'super' AND owner IS NOT NULL").select(*KEYS, "owner", "tail")
@@ -181,10 +193,12 @@ def edges_of(found: DataFrame) -> DataFrame:
     return edges.select("repo_url", kind.alias("type"), "src_file", "src_name", "dst_file", "dst_name")
 
 
-def link(chunks: DataFrame) -> DataFrame:
-    """All edges: repo_url, type, src_file, src_name, dst_file, dst_name; distinct, without loops of one symbol."""
-    chunks = materialize(chunks, "chunks")
-    refs = enclosed(references(chunks), chunks)
-    found = materialize(resolved(refs, chunks), "resolved")
-    every = found.unionByName(inherited(refs, found.where("role = 'base'"), chunks))
+def link(chunks: DataFrame, written: bool = False) -> DataFrame:
+    """All edges: repo_url, type, src_file, src_name, dst_file, dst_name; distinct, without loops of one symbol. ``written``: chunks are read from files."""
+    chunks = chunks if written else materialize(chunks, "chunks")
+    refs = materialize(references(chunks), "refs")
+    every = found(refs, chunks)
+    above = refs.where("branch = 'super'")
+    if not above.isEmpty():
+        every = every.unionByName(inherited(enclosed(above, chunks), every.where("role = 'base'"), chunks))
     return edges_of(every).unionByName(has_method(chunks)).distinct()

@@ -599,7 +599,14 @@ def resolve_qualified(v: Views) -> DataFrame:
     return out.select("src_name", "ref", F.concat("dst_file", F.lit(":"), "dst_name").alias("target"))
 
 
-def _linked_chunks(v: Views, before: bool) -> DataFrame:
+def _order_calls(v: Views) -> DataFrame:
+    """l_orderkey, calls: what an order's line items refer to."""
+    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    calls = F.array_sort(F.collect_set(F.concat(F.lit("Class_"), F.col("l_suppkey").cast("string"), F.lit("."), "p_brand")))  # as many as an order has items
+    return rows.groupBy("l_orderkey").agg(calls.alias("calls"))
+
+
+def _linked_chunks(v: Views, orders: DataFrame, before: bool) -> DataFrame:
     """Suppliers as classes, parts as methods, orders as functions that call methods of their line items' parts. ``before``: as it was
     before an edit that renamed a tenth of the parts, gave some orders their calls, and added or removed others."""
     text = lambda p, k, q="": F.concat(F.lit(p), k.cast("string"), F.lit(q))
@@ -608,9 +615,6 @@ def _linked_chunks(v: Views, before: bool) -> DataFrame:
     classes = v.table("supplier").select(text("Class_", s).alias("qualified_name"), text("Class_", s).alias("name"), F.lit("class").alias("type"), text("cls_", s, ".py").alias("file_path"), none.alias("calls"), bases.alias("bases"))
     name = F.when(F.substring("node", 2, 20).cast("bigint") % 10 == 0, "Former").otherwise(F.col("name")) if before else F.col("name")
     methods = _method_chunks(v, "brand").withColumn("node", F.substring_index("qualified_name", ".", -1)).select("qualified_name", name.alias("name"), "type", "file_path", none.alias("calls"), none.alias("bases"))
-    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    calls = F.array_sort(F.collect_set(F.concat(text("Class_", F.col("l_suppkey"), "."), "p_brand")))  # as many as an order has items
-    orders = rows.groupBy("l_orderkey").agg(calls.alias("calls"))
     if before:
         gone = orders.where(o % 17 == 3).select((-o).alias("l_orderkey"), "calls")
         orders = orders.where(o % 13 != 5).withColumn("calls", F.when(o % 11 == 0, none).otherwise(F.col("calls"))).unionByName(gone)
@@ -628,8 +632,9 @@ UNION ALL SELECT 'INHERITS', 'Class_' || s_suppkey, 'Class_' || (s_suppkey // 2)
 UNION ALL SELECT 'HAS_METHOD', split_part(qualified_name, '.', 1), split_part(qualified_name, '.', 1) || '.' || node FROM methods_v WHERE owner IN (SELECT 'c' || s_suppkey FROM supplier)"""
 )
 def relink_after_edits(v: Views) -> DataFrame:
-    old, new = (materialize(_linked_chunks(v, before), "linked") for before in (True, False))
-    edges = materialize(resolve.link(old), "edges")
+    orders = materialize(_order_calls(v), "orders")
+    old, new = (materialize(_linked_chunks(v, orders, before), "linked") for before in (True, False))
+    edges = materialize(resolve.link(old, written=True), "edges")
     return relink.relink(old, new, edges).select("type", "src_name", "dst_name")
 
 

@@ -139,3 +139,22 @@ def test_references_meet_what_was_looked_up_and_not_each_lookup(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3  # symbols (references of self only), and what was found by name and by file
     assert {(r.src_name, r.dst_name) for r in found.collect()} == {(f"A.m{i}", f"A.m{i + 1}") for i in range(3)}
+
+
+def test_an_edit_of_one_symbol_leaves_the_others_of_its_file_alone(spark):
+    """All symbols of a file that differed were once resolved again, and all names in it counted anew."""
+    users = [symbol("p/u.py", f"u{i}", "function", ["go"]) for i in range(5)]
+    rest = [symbol("p/go.py", "go", "function"), symbol("p/to.py", "to", "function"), symbol("p/k.py", "K", "class", bases=["go"])]
+    old = spark.createDataFrame(users + rest, SCHEMA)
+    new = spark.createDataFrame([symbol("p/u.py", "u0", "function", ["to"]), *users[1:], *rest], SCHEMA)
+    edges = resolve.link(old)
+    files, sources = relink.affected(old, new, edges)
+    assert [r.file_path for r in files.collect()] == ["p/u.py"] and [r.src_name for r in sources.collect()] == ["u0"]
+    assert rows(relink.relink(old, new, edges)) == rows(resolve.link(new))
+    # what was a call is now a base, one of two alike is gone, and another file has the only one
+    moved = [("r", "K", "K", "class", "p/k.py", "python", 1, 2, None, "", ["go"], [])]
+    changed = {(r.qualified_name, r.more) for r in relink.changed_symbols(spark.createDataFrame([*users, *users, *rest], SCHEMA), spark.createDataFrame([*users, *users[1:], *rest[:2], *moved], SCHEMA)).collect()}
+    assert changed == {("u0", -1), ("K", 0)}
+    away = spark.createDataFrame([*users, symbol("p/other.py", "go", "function"), *rest[1:]], SCHEMA)
+    assert {r.src_name for r in relink.affected(old, away, edges)[1].collect()} == {"go", "K", *(f"u{i}" for i in range(5))}
+    assert rows(relink.relink(old, away, edges)) == rows(resolve.link(away))
