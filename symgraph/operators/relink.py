@@ -64,8 +64,11 @@ def changed_keys(touched: DataFrame, new: DataFrame) -> DataFrame:
     """_NAME, kind, in_file, by: where a reference finds something else among the symbols of ``new`` than before ``touched``
     (SYMBOL, more) came or went."""
     names = touched.select("repo_url", "language", F.col("name").alias("tail")).distinct()
-    now = resolve.candidates(resolve.called(new, names)).withColumn("more", F.lit(None).cast("bigint"))
-    rows = resolve.candidates(touched, "more").unionByName(now).withColumn("key", F.explode(_keys(F.col("c_file"), F.col("qualifiers"))))
+    near = touched.select("repo_url", F.col("file_path").alias("c_file")).distinct().withColumn("near", F.lit(True))
+    now = resolve.candidates(resolve.called(new, names)).join(near, ["repo_url", "c_file"], "left").withColumn("more", F.lit(None).cast("bigint"))
+    rows = resolve.candidates(touched, "more").withColumn("near", F.lit(True)).unionByName(now)
+    file = F.when(F.col("near"), F.col("c_file"))  # elsewhere no key within a file can have changed
+    rows = rows.withColumn("key", F.explode(F.filter(_keys(file, F.col("qualifiers")), lambda k: k["in_file"].isNotNull())))
     counts, differs = [], F.lit(False)
     for flag, condition in resolve.FLAGS.items():
         here = F.coalesce(F.expr(condition), F.lit(False))
@@ -128,18 +131,18 @@ def relink(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
     are no references. A symbol's edges are replaced as a whole, membership a file at a time.
     """
     files, sources = affected(old, new, edges)
-    refs = materialize(resolve.references(_of_sources(new, sources)), "relink-refs")
+    again = resolve.references(_of_sources(new, sources))
+    refs = materialize(again.drop(*resolve.SPARED), "relink-refs")
     found = resolve.found(refs, new)
     kept = edges.where("type <> 'HAS_METHOD'").join(sources, _SOURCE, "left_anti")
-    above = refs.where("branch = 'super'")
-    if not above.isEmpty():
-        asked = materialize(resolve.enclosed(above, new).where("owner IS NOT NULL"), "relink-super")
+    if not refs.where("branch = 'super'").isEmpty():
+        asked = materialize(resolve.enclosed(again.where("branch = 'super'"), new).where("owner IS NOT NULL"), "relink-super")
         # edges do not tell in which order a class names its bases, so those on the way up are resolved again
         fresh = resolve.edges_of(found).where("type = 'INHERITS'")
         up = kept.where("type = 'INHERITS'").unionByName(fresh).select(*_SOURCE, F.col("dst_file").alias("to_file"), F.col("dst_name").alias("to_name"))
         classes = _along(up, asked.select("repo_url", "src_file", F.col("owner").alias("src_name")), resolve.SUPER_DEPTH - 1)
-        bases = materialize(resolve.references(_of_sources(new, classes)).where("role = 'base'"), "relink-bases")
-        found = found.unionByName(resolve.inherited(asked, resolve.found(bases, new), new))
+        bases = materialize(resolve.references(_of_sources(new, classes)).where("role = 'base'").drop(*resolve.SPARED), "relink-bases")
+        found = found.unionByName(resolve.inherited(asked, resolve.found(bases, new), new).select(found.columns))
     members = edges.where("type = 'HAS_METHOD'").join(files.withColumnRenamed("file_path", "src_file"), ["repo_url", "src_file"], "left_anti")
     fresh = resolve.edges_of(found).unionByName(resolve.has_method(_of_files(new, files))).distinct()
     return kept.unionByName(members).unionByName(fresh)

@@ -35,8 +35,8 @@ def unique_names(chunks: DataFrame, order: str) -> DataFrame:
 def has_method(chunks: DataFrame) -> DataFrame:
     """repo_url, src (class), dst (method), both with their file: a method's owner is its name without the last segment."""
     methods = chunks.where("type = 'method'").select("repo_url", "file_path", F.col("qualified_name").alias("dst_name"), owner_of(F.col("qualified_name")).alias("src_name"))
-    owners = chunks.select("repo_url", "file_path", F.col("qualified_name").alias("src_name")).distinct()
-    return methods.join(owners, ["repo_url", "file_path", "src_name"]).select("repo_url", F.lit("HAS_METHOD").alias("type"), F.col("file_path").alias("src_file"), "src_name", F.col("file_path").alias("dst_file"), "dst_name")
+    owners = chunks.select("repo_url", "file_path", F.col("qualified_name").alias("src_name"))
+    return methods.join(owners, ["repo_url", "file_path", "src_name"], "left_semi").select("repo_url", F.lit("HAS_METHOD").alias("type"), F.col("file_path").alias("src_file"), "src_name", F.col("file_path").alias("dst_file"), "dst_name")
 
 
 def references(chunks: DataFrame) -> DataFrame:
@@ -73,6 +73,8 @@ def _parted(refs: DataFrame, *branches: str) -> tuple[DataFrame, DataFrame]:
 
 
 KEYS = ["repo_url", "src_file", "src_name", "src_type", "role", "ord", "ref", "branch"]
+#: What edges do not tell; not written with references.
+SPARED = ["src_type", "ref"]
 #: What a candidate may count as: anything that is called, that less methods, methods, classes.
 FLAGS = {"call": "c_type IN ('function', 'method', 'class')", "plain": "c_type IN ('function', 'class')", "method": "c_type = 'method'", "class": "c_type = 'class'"}
 
@@ -93,7 +95,7 @@ def candidates(chunks: DataFrame, *more: str) -> DataFrame:
 
 
 def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """KEYS, dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
+    """KEYS (as far as ``refs`` has them), dst_file, dst_name of every reference (``super`` aside) for which the rules leave one candidate.
 
     Candidates are counted by name, by name and file, and by name and qualifier before references meet them, so a name
     that thousands of symbols share costs a reference one row and not thousands. What is asked for is looked up once,
@@ -150,7 +152,7 @@ def resolved(refs: DataFrame, chunks: DataFrame, symbols: DataFrame | None = Non
     by_name = F.coalesce("in_file", "of_name")
     chosen = F.coalesce(own_one, F.when((branch == "qualified") & F.col("exact"), F.coalesce("of_qualifier", "in_file_of_qualifier")).otherwise(by_name))
     out = out.where("exact IS NOT NULL").withColumn("target", chosen).where("target IS NOT NULL")  # without a symbol of the name there is none
-    return out.select(*KEYS, F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
+    return out.select(*[k for k in KEYS if k in refs.columns], F.col("target.file").alias("dst_file"), F.col("target.name").alias("dst_name"))
 
 
 def called(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def found(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``resolved`` of ``refs`` (written, as they are read often, without owner): only symbols of the names that they refer to are counted."""
     symbols = chunks.select("repo_url", "language", "name", "type", "file_path", "qualified_name")
     named = materialize(called(symbols, refs.select("repo_url", "language", "tail").distinct()), "asked-symbols")
-    return materialize(resolved(enclosed(refs, chunks), named, chunks), "resolved")
+    return materialize(resolved(enclosed(refs, chunks), named, chunks).drop("branch"), "resolved")
 
 
 def inherited(refs: DataFrame, bases: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -196,9 +198,9 @@ def edges_of(found: DataFrame) -> DataFrame:
 def link(chunks: DataFrame, written: bool = False) -> DataFrame:
     """All edges: repo_url, type, src_file, src_name, dst_file, dst_name; distinct, without loops of one symbol. ``written``: chunks are read from files."""
     chunks = chunks if written else materialize(chunks, "chunks")
-    refs = materialize(references(chunks), "refs")
+    refs = materialize(references(chunks).drop(*SPARED), "refs")
     every = found(refs, chunks)
-    above = refs.where("branch = 'super'")
-    if not above.isEmpty():
-        every = every.unionByName(inherited(enclosed(above, chunks), every.where("role = 'base'"), chunks))
+    if not refs.where("branch = 'super'").isEmpty():
+        above = enclosed(references(chunks).where("branch = 'super'"), chunks)
+        every = every.unionByName(inherited(above, every.where("role = 'base'"), chunks).select(every.columns))
     return edges_of(every).unionByName(has_method(chunks)).distinct()
